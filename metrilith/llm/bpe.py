@@ -56,14 +56,15 @@ class PieceEncoder:
         if _RUN.search(text):
             return _CUT.split(text)
         first, *rest = text.replace("\n", " \n").split(" ")
-        # a piece after a space is written without it, one after a line end with it
-        return ["\x00" + first, *rest]
+        # a piece after a space is written without it, one after a line end with it; the
+        # first is marked by a space, which no other piece here holds
+        return [" " + first, *rest]
 
     def _plain(self, piece: str, fast: bool) -> str:
         """What the tokenizer has to encode for a piece."""
         if not fast:
             return piece
-        return piece[1:] if piece[:1] == "\x00" else piece if piece[:1] == "\n" else " " + piece
+        return piece[1:] if piece[:1] == " " else piece if piece[:1] == "\n" else " " + piece
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -78,8 +79,8 @@ class PieceEncoder:
             elif fast[k]:
                 plain.update((p, self._plain(p, True)) for p in set(pieces).difference(known))
             else:  # pieces with their white space have a key of their own
-                cut[k] = pieces = ["\x01" + p for p in pieces]
-                plain.update((p, p[1:]) for p in set(pieces).difference(known))
+                cut[k] = pieces = ["  " + p for p in pieces]
+                plain.update((p, p[2:]) for p in set(pieces).difference(known))
         if plain:
             coded = self.tokenizer.encode_batch_fast(list(plain.values()), add_special_tokens=False)
             known.update((p, np.asarray(e.ids, self.dtype).tobytes()) for p, e in zip(plain, coded, strict=True))

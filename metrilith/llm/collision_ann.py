@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 PROJECTIONS = 40
 #: Share of the lines on which a vector has to collide.
 COLLISIONS = 0.55
-#: Share of a block that is verified at least before widening stops.
-VERIFIED = 0.12
+#: Share of a block that is verified at least before widening stops, and vectors for each wanted one.
+VERIFIED, VERIFIED_FOR_ONE = 0.12, 25
 #: First half-width, in standard deviations of a projection, what each step multiplies it by, and steps.
 FIRST, WIDEN, STEPS = 0.1, 1.6, 9
 #: Vectors in a block, and queries in a block.
@@ -58,7 +58,7 @@ def _search(k: int, top_norm: float, verified: float):
         order = np.argsort(px, axis=0, kind="stable")
         arrays = np.take_along_axis(px, order, axis=0)
         order = np.ascontiguousarray(order.T)
-        need, enough = COLLISIONS * PROJECTIONS, max(k + 1, int(np.ceil(verified * n)))
+        need, enough = COLLISIONS * PROJECTIONS, max(VERIFIED_FOR_ONE * k, int(np.ceil(verified * n)))
         bounds = [(np.stack([np.searchsorted(arrays[:, j], pq[:, j] - w, "left") for j in range(PROJECTIONS)], 1), np.stack([np.searchsorted(arrays[:, j], pq[:, j] + w, "right") for j in range(PROJECTIONS)], 1)) for w in (FIRST * WIDEN**s for s in range(STEPS))]
         out = []
         for i in range(len(q)):

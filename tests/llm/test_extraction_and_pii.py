@@ -18,7 +18,7 @@ def test_lines_of_a_page():
     <i>it</i>alic</p><form>name</form><section id="comments"><p>nice</p></section></article><footer>&copy;</footer></body></html>"""
     assert html_diff.text_lines(page) == [("A & B", True), ("First.", True), ("Secé ond italic", True)]
     assert html_diff.text_lines("") == []
-    assert html_diff.text_lines("plain < 3 &amp; <unclosed") == [("plain < 3 &", False)]
+    assert html_diff.text_lines("plain < 3 &amp; <unclosed") == [("plain < 3 & <unclosed", False)]
     assert html_diff.text_lines("<p>a<script>never closed") == [("a", False)]
 
 
