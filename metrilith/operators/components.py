@@ -31,9 +31,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     diameter. Both steps are an aggregation and an equi-join; no neighbour list is gathered.
     Loops and repeated edges are allowed; edges with a null end are left out.
     """
-    e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u is not null and v is not null")
-    loops = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    e = _write(e.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = edges.filter(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
+    e = _write(e.distinct())
+    loops = e.select("u").union(e.select("v")).distinct().withColumnRenamed("u", "node")
+    e = e.filter("u != v")
     while True:
         # large star: all larger neighbours of a node join its smallest one
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
