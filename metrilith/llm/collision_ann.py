@@ -23,7 +23,7 @@ PROJECTIONS = 40
 #: Share of the lines on which a vector has to collide.
 COLLISIONS = 0.55
 #: Share of a block that is verified at least before widening stops, and vectors for each wanted one.
-VERIFIED, VERIFIED_FOR_ONE = 0.12, 25
+VERIFIED, VERIFIED_FOR_ONE = 0.12, 45
 #: First half-width, in standard deviations of a projection, what each step multiplies it by, and steps.
 FIRST, WIDEN, STEPS = 0.1, 1.6, 9
 #: Vectors in a block, and queries in a block.
