@@ -239,10 +239,48 @@ def _edges(u=(), v=(), big=None, tab=0) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.asarray(v, np.uint64).view(np.int64)), pa.array([big] * len(u), pa.int64()), pa.array(tab)], schema=_EDGE)
 
 
+def _spanning(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Links of a spanning forest of the given ones, taken in ascending order."""
+    u, v, tab = (batch.column(c).to_numpy() for c in ("u", "v", "tab"))
+    edges = np.unique(np.stack([tab, np.minimum(u, v), np.maximum(u, v)]), axis=1).T.tolist()
+    parent: dict[tuple, tuple] = {}
+
+    def root(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    kept = []
+    for t, a, b in edges:
+        p, q = root((t, a)), root((t, b))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            kept.append((t, a, b))
+    t, a, b = zip(*kept, strict=True)
+    return _edges(np.asarray(a).view(np.uint64), np.asarray(b).view(np.uint64), tab=t)
+
+
+def _fewer(batches):
+    """The links of a task, cut down to a spanning forest whenever many have come together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.column("big").null_count < batch.num_rows:
+            yield batch
+            continue
+        held.append(batch)
+        if sum(x.num_rows for x in held) > 1 << 18:
+            held = [_spanning(pa.Table.from_batches(held).combine_chunks().to_batches()[0])]
+    if sum(x.num_rows for x in held):
+        yield _spanning(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
 def _compare(most: int, block: int):
     """Links within the groups of equal `key`; batches come sorted by (key, fp)."""
 
     def run(batches):
+        yield from _fewer(compared(batches))
+
+    def compared(batches):
         key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         skipped = None
 
@@ -298,9 +336,10 @@ def _compare_blocks(most: int):
 
 
 def link_fingerprints(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
-    """(u, v, tab) links over the distinct values of `fp` within each `tab`: any two fingerprints at `most` bits or fewer are joined by a chain of them.
+    """(u, v, tab) links over the distinct values of `fp` within each `tab`: two fingerprints are joined by a chain of them if a chain of steps of at most `most` bits joins them.
 
-    `tab` (int) tells apart the fingerprints of several hash functions.
+    `tab` (int) tells apart the fingerprints of several hash functions. Each task cuts its
+    links down to a spanning forest, so there are far fewer than pairs.
     """
     if most > MOST_BITS:
         raise ValueError(f"the keys find all links of at most {MOST_BITS} bits")
@@ -325,7 +364,7 @@ def link_fingerprints(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK)
         dealt = dealt.select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         pair = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
         out = out.union(pair.groupBy("key", "i", "j").applyInArrow(_compare_blocks(most), _EDGE_DDL).select("u", "v", "tab"))
-    return out
+    return out.distinct()
 
 
 def simhash(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
