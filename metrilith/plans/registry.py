@@ -28,3 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from metrilith.plans import choices, errors, series  # noqa: F401
