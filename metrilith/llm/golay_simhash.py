@@ -402,7 +402,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
 
 #: For similarity on shingles of five words: words in a shingle of the fingerprints that
 #: propose pairs, and the number of such fingerprints.
-PROPOSING, TABLES = 2, 4
+PROPOSING, TABLES = 2, 8
 
 
 def _portions(texts: list[bytes], size: int = 1 << 20):
