@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrilith.llm import collision_ann, gam_quality, golay_simhash, html_diff, license_rules, packing, pii, span_dedup, token_store, wu_manber
+from metrilith.llm import collision_ann, gam_quality, golay_simhash, html_diff, license_rules, packing, pii, span_dedup, sql, token_store, wu_manber
 from metrilith.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in pii.BASE), F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("found")).alias("spans"))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2_pii that SQL can express: without the kinds that the method adds."""
+    return op2_pii(spark, sf_dir).drop("spans")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.drop_repeats(table(spark, sf_dir, "documents"))
 
@@ -79,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_pii, op3_substring_dedup, op4_simhash_near_dedup, op5_quality_classifier, op6_token_ids, op7_decontamination, op8_nearest_neighbours, op9_license_scan, op10_best_fit_packing, pipeline)
+    for f in (op1_html_extraction, op2_pii, op3_substring_dedup, op4_simhash_near_dedup, op5_quality_classifier, op6_token_ids, op7_decontamination, op8_nearest_neighbours, op9_license_scan, op10_best_fit_packing, pipeline, pii_base_spans)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": sql.DECONTAMINATION, "pii_base_spans": sql.PII_BASE}
