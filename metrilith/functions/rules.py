@@ -44,8 +44,8 @@ def names_of(flags: dict[str, Column], sep: str = "+") -> Column:
 
 
 def evidence(residual: Column, scale: float = 15.0) -> Column:
-    """exp(-residual / scale) of a residual of at least zero."""
-    return F.exp(-F.greatest(residual, F.lit(0.0)) / scale)
+    """exp(-residual / scale) of a residual of at least zero; null without one."""
+    return F.when(residual.isNotNull(), F.exp(-F.greatest(residual, F.lit(0.0)) / scale))
 
 
 def needed_sigma(sigma_z: Column, focal: Column, baseline: Column, depth: Column) -> Column:

@@ -78,3 +78,18 @@ def neighbour_median(df: DataFrame, frame: Sequence[str], value: str, out: str)
     low = F.when(F.col("__k") <= m, F.col("__b")).otherwise(F.col("__a"))
     high = F.when(F.col("__k") <= m + 1, F.col("__c")).otherwise(F.col("__b"))
     return df.withColumn(out, F.when(n > 1, F.when(odd, single).otherwise((low + high) / 2))).drop("__k", "__n", "__a", "__b", "__c")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Inner join in which a key that stands twice on either side fails the query.
+
+    Each side is grouped by the key anyway, so the check needs no further shuffle.
+    """
+
+    def single(df: DataFrame) -> DataFrame:
+        keep = [c for c in df.columns if c not in by]
+        g = df.groupBy(*by).agg(F.count("*").alias("__n"), F.first(F.struct(*keep)).alias("__r"))
+        once = F.when(F.col("__n") == 1, F.col("__r")).otherwise(F.raise_error(F.lit(f"keys {', '.join(by)} repeat")).cast(g.schema["__r"].dataType))
+        return g.select(*by, once.alias("__r")).select(*by, *(F.col(f"__r.{c}").alias(c) for c in keep))
+
+    return single(left).join(single(right), list(by))

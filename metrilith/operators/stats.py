@@ -48,3 +48,35 @@ def confusion(df: DataFrame, truth: str, guess: str, labels: Sequence) -> DataFr
     counts = df.groupBy(truth).pivot(guess, list(labels)).count()
     out = dim.join(counts, truth, "left").fillna(0)
     return out.select(truth, *(F.col(f"`{x}`").alias(f"n_{x}") for x in labels))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, at: dict[str, float], cells: int = 512) -> DataFrame:
+    """Exact quantiles, linear between neighbours, one row for each key; {name: share} in `at`.
+
+    Keys may hold any number of rows: equal values are counted first, approximate
+    quantiles cut a key's values into cells, a cell's rows are ranked apart from the others',
+    and a cell's first rank is the rows in the cells before it. Only the cells' counts (at
+    most `cells` + 1 for a key) meet in one place. Nulls and NaN take no part; a key without other
+    values has no row.
+    """
+    counts = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    edges = counts.groupBy(*by).agg(F.percentile_approx("__v", [k / cells for k in range(1, cells)], 10 * cells).alias("__e"))
+    keyed = counts.join(edges, list(by)) if by else counts.crossJoin(F.broadcast(edges))  # one row without keys
+    cell = F.size(F.filter("__e", lambda e: e < F.col("__v")))
+    rows = keyed.select(*by, "__v", "__n", cell.alias("__c"))
+    w = Window.partitionBy(*by)
+    sizes = rows.groupBy(*by, "__c").agg(F.sum("__n").alias("__s"))
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__s").over(w.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__s").over(w))
+    spot = {n: (F.col("__all") - 1) * p for n, p in at.items()}
+    places = [f(s) for s in spot.values() for f in (F.floor, F.ceil)]
+    inside = lambda c: (c >= F.col("__before")) & (c < F.col("__before") + F.col("__s"))
+    needed = sizes.filter(sum((inside(c).cast("int") for c in places), F.lit(0)) > 0)
+    last = F.sum("__n").over(Window.partitionBy(*by, "__c").orderBy("__v")) + F.col("__before")
+    ranked = rows.join(needed, [*by, "__c"]).withColumn("__last", last).withColumn("__first", F.col("__last") - F.col("__n"))
+    here = lambda c: F.max(F.when((c >= F.col("__first")) & (c < F.col("__last")), F.col("__v")))
+    out = []
+    for n, s in spot.items():
+        out += [here(F.floor(s)).alias(f"__low_{n}"), here(F.ceil(s)).alias(f"__high_{n}"), F.first(s - F.floor(s)).alias(f"__part_{n}")]
+    got = ranked.groupBy(*by).agg(*out)
+    between = lambda n: F.col(f"__low_{n}") + (F.col(f"__high_{n}") - F.col(f"__low_{n}")) * F.col(f"__part_{n}")
+    return got.select(*by, *(between(n).alias(n) for n in at))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from metrilith.functions.kernels import dominant
+
 
 def series(by: Sequence[str], order: str) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(order)
@@ -65,3 +68,28 @@ def held_counter(df: DataFrame, by: Sequence[str], order: str, score: str, low:
     run = F.count_if(F.col(score) < low).over(Window.partitionBy(*by, "__island").orderBy(order))
     state = F.when(F.col(score) >= medium, "ACCEPTED").when(F.col(score) >= low, "LOW").when(run >= lost_after, "LOST").otherwise("LOW")
     return d.withColumn("very_low_frames", run).withColumn("state", state).drop("__island")
+
+
+def gap_prediction(c: str, t: str, w: WindowSpec, longest: float) -> Column:
+    """Constant-velocity prediction over uneven times; the row before alone where a gap is too long or there is no second row."""
+    x1, x2, t1, t2 = F.lag(c, 1).over(w), F.lag(c, 2).over(w), F.lag(t, 1).over(w), F.lag(t, 2).over(w)
+    fine = (F.col(t) - t1 <= longest) & (t1 - t2 <= longest) & (t1 > t2)
+    return F.when(fine, x1 + F.try_divide((x1 - x2) * (F.col(t) - t1), t1 - t2)).otherwise(x1)
+
+
+def evenly(i: Column, n: Column, count: int) -> Column:
+    """Whether place i of n (from 0) is one of `count` places at equal distances, cut to whole numbers; all are if n <= count."""
+    k = F.ceil(i * (count - 1) / (n - 1))
+    hit = F.when(n > count, F.floor(k * (n - 1) / (count - 1)) == i)
+    return F.coalesce(hit, n <= count)
+
+
+def spectral(df: DataFrame, by: Sequence[str], order: str, c: str, fs: float, most: int = 64, least: int = 16) -> DataFrame:
+    """Dominant frequency, its amplitude and band energy over the last `most` rows, where there are `least`."""
+    @F.pandas_udf("frequency double, amplitude double, energy double")
+    def found(series: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([dominant(v, fs) for v in series], columns=["frequency", "amplitude", "energy"])
+
+    last = F.collect_list(F.col(c).cast("double")).over(Window.partitionBy(*by).orderBy(order).rowsBetween(1 - most, 0))
+    rows = df.select(*by, order, last.alias("__w")).filter(F.size("__w") >= least)
+    return rows.withColumn("__s", found("__w")).select(*by, order, "__s.*")
