@@ -28,12 +28,15 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def with_ranks(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Average ranks of `cols` within `by`, as rank_<col>: equal values share the mean of their places."""
+    """Average ranks of numeric `cols` within `by`, as rank_<col>: equal values share the mean of their places.
+
+    Rows with a null or NaN in one of the columns go.
+    """
     for c in cols:
-        counts = df.groupBy(*by, c).agg(F.count("*").alias("__n"))
-        w = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        place = counts.withColumn(f"rank_{c}", F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-        df = df.join(place, [*by, c])
+        v = F.col(c)
+        df = df.filter(v.isNotNull() & ~F.isnan(v.cast("double")))
+        place = running(df.groupBy(*by, c).agg(F.count("*").alias("__n")), by, c, "__n")
+        df = df.join(place.select(*by, c, (F.col("upto") - (F.col("__n") - 1) / 2).alias(f"rank_{c}")), [*by, c])
     return df
 
 
@@ -50,33 +53,55 @@ def confusion(df: DataFrame, truth: str, guess: str, labels: Sequence) -> DataFr
     return out.select(truth, *(F.col(f"`{x}`").alias(f"n_{x}") for x in labels))
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, at: dict[str, float], cells: int = 512) -> DataFrame:
-    """Exact quantiles, linear between neighbours, one row for each key; {name: share} in `at`.
+def _cells(rows: DataFrame, by: Sequence[str], value: str, weight: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a cell number __c, and each cell's weight __s, the weight before it and of its whole key.
 
-    Keys may hold any number of rows: equal values are counted first, approximate
-    quantiles cut a key's values into cells, a cell's rows are ranked apart from the others',
-    and a cell's first rank is the rows in the cells before it. Only the cells' counts (at
-    most `cells` + 1 for a key) meet in one place. Nulls and NaN take no part; a key without other
-    values has no row.
+    Approximate quantiles cut a key's values into 256 cells: a cell is found by 15 coarse and
+    15 fine comparisons. Only the cells' sums, at most 256 for a key, meet in one place.
     """
-    counts = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-    edges = counts.groupBy(*by).agg(F.percentile_approx("__v", [k / cells for k in range(1, cells)], 10 * cells).alias("__e"))
-    keyed = counts.join(edges, list(by)) if by else counts.crossJoin(F.broadcast(edges))  # one row without keys
-    cell = F.size(F.filter("__e", lambda e: e < F.col("__v")))
-    rows = keyed.select(*by, "__v", "__n", cell.alias("__c"))
+    edges = rows.groupBy(*by).agg(F.percentile_approx(value, [k / 256 for k in range(1, 256)], 5000).alias("__e"))
+    keyed = rows.join(edges, list(by)) if by else rows.crossJoin(F.broadcast(edges))  # one row without keys
+    below = lambda e: F.size(F.filter(e, lambda x: x < F.col(value)))
+    coarse = below(F.array(*(F.col("__e")[16 * k + 15] for k in range(15))))
+    keyed = keyed.withColumn("__k", coarse)
+    rows = keyed.withColumn("__c", F.col("__k") * 16 + below(F.slice("__e", F.col("__k") * 16 + 1, F.lit(15)))).drop("__e", "__k")
     w = Window.partitionBy(*by)
-    sizes = rows.groupBy(*by, "__c").agg(F.sum("__n").alias("__s"))
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__s").over(w.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__s").over(w))
+    sizes = rows.groupBy(*by, "__c").agg(F.sum(weight).alias("__s"))
+    before = F.coalesce(F.sum("__s").over(w.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows, sizes.withColumn("__before", before).withColumn("__all", F.sum("__s").over(w))
+
+
+def running(rows: DataFrame, by: Sequence[str], value: str, weight: str, then: Sequence[str] = ()) -> DataFrame:
+    """Adds upto, the sum of weights up to and with each row in the order of value and `then`, and total, that of its key.
+
+    A key may hold any number of rows: sums run inside cells of neighbouring values. Rows
+    with equal places share no order; values must be numbers, neither null nor NaN.
+    """
+    rows, sizes = _cells(rows, by, value, weight)
+    w = Window.partitionBy(*by, "__c").orderBy(value, *then).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(sizes, [*by, "__c"]).withColumn("upto", F.sum(weight).over(w) + F.col("__before"))
+    return out.withColumnRenamed("__all", "total").drop("__c", "__s", "__before")
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles, linear between neighbours, one row for each key; {name: share} in `at`.
+
+    Equal values are counted first, and only cells that hold a wanted place are ranked, so a
+    key may hold any number of rows. Nulls and NaN take no part; a key without other values has no row.
+    """
+    v = F.col(value).cast("double")
+    counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n"))
+    rows, sizes = _cells(counts, by, "__v", "__n")
     spot = {n: (F.col("__all") - 1) * p for n, p in at.items()}
     places = [f(s) for s in spot.values() for f in (F.floor, F.ceil)]
-    inside = lambda c: (c >= F.col("__before")) & (c < F.col("__before") + F.col("__s"))
-    needed = sizes.filter(sum((inside(c).cast("int") for c in places), F.lit(0)) > 0)
+    inside = lambda c: ((c >= F.col("__before")) & (c < F.col("__before") + F.col("__s"))).cast("int")
+    needed = sizes.filter(F.greatest(*map(inside, places)) > 0)
     last = F.sum("__n").over(Window.partitionBy(*by, "__c").orderBy("__v")) + F.col("__before")
     ranked = rows.join(needed, [*by, "__c"]).withColumn("__last", last).withColumn("__first", F.col("__last") - F.col("__n"))
     here = lambda c: F.max(F.when((c >= F.col("__first")) & (c < F.col("__last")), F.col("__v")))
     out = []
     for n, s in spot.items():
-        out += [here(F.floor(s)).alias(f"__low_{n}"), here(F.ceil(s)).alias(f"__high_{n}"), F.first(s - F.floor(s)).alias(f"__part_{n}")]
+        out += [here(F.floor(s)).alias(f"__low_{n}"), here(F.ceil(s)).alias(f"__high_{n}"), F.max(s - F.floor(s)).alias(f"__part_{n}")]
     got = ranked.groupBy(*by).agg(*out)
     between = lambda n: F.col(f"__low_{n}") + (F.col(f"__high_{n}") - F.col(f"__low_{n}")) * F.col(f"__part_{n}")
     return got.select(*by, *(between(n).alias(n) for n in at))

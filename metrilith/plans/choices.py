@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metrilith.functions import parse, rules
+from metrilith.operators import stats
 from metrilith.plans.registry import register
 from metrilith.plans.views import MEASURES, measures, table
 
@@ -128,7 +129,8 @@ def p47(spark, d):
 
 @register("p48_speed_up", "WITH k AS (SELECT l_returnflag AS method, quantile_cont(l_extendedprice,0.5) AS med FROM lineitem GROUP BY 1) SELECT method, round((SELECT med FROM k WHERE method='A')/med,6) AS speed_up FROM k")
 def p48(spark, d):
-    k = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("method")).agg(F.percentile("l_extendedprice", F.lit(0.5)).alias("med"))
+    m = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("method"), "l_extendedprice")
+    k = stats.quantiles(m, ["method"], "l_extendedprice", {"med": 0.5})
     base = k.filter("method = 'A'").select(F.col("med").alias("base"))
     return k.crossJoin(F.broadcast(base)).select("method", r(F.try_divide("base", "med"), "speed_up"))  # one row
 

@@ -18,6 +18,11 @@ def r(c, name, n=4):
     return F.round(c, n).alias(name)
 
 
+def quantiles(df, by, value, at, digits):
+    q = stats.quantiles(df, by, value, at)
+    return q.select(*by, *(r(F.col(c), c, digits) for c in at))
+
+
 @register("a1_mae_rmse", f"WITH {MEASURES} SELECT method, status, round(avg(abs(err)),4) AS mae, round(sqrt(avg(err*err)),4) AS rmse, round(avg(err),4) AS bias FROM m GROUP BY ALL")
 def a1(spark, d):
     e = F.col("err")
@@ -38,7 +43,8 @@ def a3(spark, d):
 @register("a5_runtime_per_frame", "WITH f AS (SELECT l_returnflag AS method, l_orderkey, arg_max(l_extendedprice, (l_linenumber, l_extendedprice)) AS ms FROM lineitem GROUP BY 1,2) SELECT method, round(avg(ms),4) AS mean_ms, round(quantile_cont(ms,0.5),4) AS median_ms, round(quantile_cont(ms,0.95),4) AS p95_ms FROM f GROUP BY 1")
 def a5(spark, d):
     f = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("method"), "l_orderkey").agg(F.max_by("l_extendedprice", F.struct("l_linenumber", "l_extendedprice")).alias("ms"))
-    return f.groupBy("method").agg(r(F.avg("ms"), "mean_ms"), r(F.percentile("ms", F.lit(0.5)), "median_ms"), r(F.percentile("ms", F.lit(0.95)), "p95_ms"))
+    q = quantiles(f, ["method"], "ms", {"median_ms": 0.5, "p95_ms": 0.95}, 4)
+    return f.groupBy("method").agg(r(F.avg("ms"), "mean_ms")).join(q, "method", "left")
 
 
 @register("a6_false_match_and_tracking", f"WITH {MEASURES} SELECT method, round(100.0*count(*) FILTER (rel>50 AND status='F')/count(*) FILTER (status='F'),6) AS false_match, round(100.0*count(*) FILTER (rel<=20 AND status='F')/count(*),6) AS accurate FROM m GROUP BY 1")
@@ -68,7 +74,8 @@ def a10(spark, d):
 @register("a12_a13_group_spread", "WITH s AS (SELECT user_id, stddev_pop(value) AS sd FROM events GROUP BY 1 HAVING count(*)>=2) SELECT count(*) AS groups, round(avg(sd),6) AS mean_sd, round(quantile_cont(sd,0.5),6) AS median_sd, round(quantile_cont(sd,0.95),6) AS p95_sd FROM s")
 def a12(spark, d):
     s = table(spark, d, "events").groupBy("user_id").agg(F.stddev_pop("value").alias("sd"), F.count("*").alias("n")).filter("n >= 2")
-    return s.agg(F.count("*").alias("groups"), r(F.avg("sd"), "mean_sd", 6), r(F.percentile("sd", F.lit(0.5)), "median_sd", 6), r(F.percentile("sd", F.lit(0.95)), "p95_sd", 6))
+    q = quantiles(s, [], "sd", {"median_sd": 0.5, "p95_sd": 0.95}, 6)
+    return s.agg(F.count("*").alias("groups"), r(F.avg("sd"), "mean_sd", 6)).crossJoin(q)  # one row each
 
 
 @register("a14_amplitude_ratio", f"WITH {MEASURES}, a AS (SELECT method, part, (max(pred)-min(pred))/(max(truth)-min(truth)) AS ratio FROM m GROUP BY ALL HAVING count(*)>=3 AND max(truth)-min(truth)>2e-12) SELECT method, round(avg(ratio),6) AS ratio FROM a GROUP BY 1")
@@ -85,13 +92,16 @@ def a14(spark, d):
 def a17(spark, d):
     e = F.when(valid(), F.col("err"))
     bad = lambda k: r(stats.share(F.col("rel") > k, valid()), f"bad_{k}", 6)
-    return measures(spark, d).groupBy("method").agg(F.count("*").alias("n"), F.count_if(valid()).alias("n_valid"), r(stats.mae(e), "mae"), r(stats.rmse(e), "rmse"), r(F.percentile(F.when(valid(), F.col("rel")), F.lit(0.9)), "p90", 6), bad(20), bad(50))
+    m = measures(spark, d)
+    q = quantiles(m.filter(valid()), ["method"], "rel", {"p90": 0.9}, 6)
+    return m.groupBy("method").agg(F.count("*").alias("n"), F.count_if(valid()).alias("n_valid"), r(stats.mae(e), "mae"), r(stats.rmse(e), "rmse"), bad(20), bad(50)).join(q, "method", "left")
 
 
 @register("a19_depth_percentiles", f"WITH {MEASURES} SELECT status, round(quantile_cont(abs(err),0.5),4) AS p50, round(quantile_cont(abs(err),0.9),4) AS p90, round(quantile_cont(abs(err),0.95),4) AS p95, round(max(abs(err)),4) AS worst, round(avg(rel),6) AS relative FROM m GROUP BY 1")
 def a19(spark, d):
-    e = F.abs("err")
-    return measures(spark, d).groupBy("status").agg(*(r(F.percentile(e, F.lit(k / 100)), f"p{k}") for k in (50, 90, 95)), r(F.max(e), "worst"), r(F.avg("rel"), "relative", 6))
+    m = measures(spark, d).select("status", "rel", F.abs("err").alias("e"))
+    q = quantiles(m, ["status"], "e", {f"p{k}": k / 100 for k in (50, 90, 95)}, 4)
+    return m.groupBy("status").agg(r(F.max("e"), "worst"), r(F.avg("rel"), "relative", 6)).join(q, "status", "left")
 
 
 SWEEP = f"WITH {MEASURES}, g AS (SELECT a.v AS min_margin, b.v AS min_confidence FROM (VALUES (0.0),(0.02),(0.04),(0.06)) a(v), (VALUES (0.0),(0.25),(0.55),(0.75)) b(v)), s AS (SELECT min_margin, min_confidence, count(*) FILTER (ok) AS kept, round(100.0*count(*) FILTER (ok)/count(*),6) AS coverage, round(100.0*count(*) FILTER (ok AND rel>50)/count(*) FILTER (ok),6) AS cer, round(sqrt(avg(err*err) FILTER (ok)),4) AS rmse FROM (SELECT *, margin>=min_margin-1e-9 AND confidence>=min_confidence-1e-9 AS ok FROM m, g) GROUP BY ALL)"
@@ -144,7 +154,9 @@ def a28(spark, d):
 @register("a30_scenario_summary", "SELECT event_type, count(*) AS n, round(sum(value),4) AS total, round(avg(value),6) AS mean, round(quantile_cont(value,0.5),6) AS median, round(max(value),6) AS top, count(DISTINCT user_id) AS points FROM events GROUP BY 1")
 def a30(spark, d):
     v = "value"
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), r(F.sum(v), "total"), r(F.avg(v), "mean", 6), r(F.percentile(v, F.lit(0.5)), "median", 6), r(F.max(v), "top", 6), F.count_distinct("user_id").alias("points"))
+    e = table(spark, d, "events")
+    q = quantiles(e, ["event_type"], v, {"median": 0.5}, 6)
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), r(F.sum(v), "total"), r(F.avg(v), "mean", 6), r(F.max(v), "top", 6), F.count_distinct("user_id").alias("points")).join(q, "event_type", "left")
 
 
 @register("a32_shadow_summary", f"WITH {MEASURES} SELECT method, count(*) AS n, round(100.0*count(*) FILTER (status='F')/count(*),6) AS coverage, round(100.0*count(*) FILTER (rel<=10)/count(*),6) AS cer_10 FROM m GROUP BY 1")
@@ -231,18 +243,17 @@ def a49(spark, d):
 
 @register("a57_weighted_median", "WITH c AS (SELECT l_returnflag AS method, l_extendedprice AS v, l_quantity AS w, sum(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS c, sum(l_quantity) OVER (PARTITION BY l_returnflag) AS t FROM lineitem) SELECT method, round(min(v),4) AS weighted_median FROM c WHERE c >= t/2 GROUP BY 1")
 def a57(spark, d):
-    """The smallest value at which half the weight is reached: weights are summed by value, then over the values of a group."""
+    """The smallest value at which half the weight is reached: weights are summed by value, then run over the values of a group."""
     v = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("method"), F.col("l_extendedprice").alias("v")).agg(F.sum("l_quantity").alias("w"))
-    w = Window.partitionBy("method")
-    c = v.withColumn("c", F.sum("w").over(w.orderBy("v"))).withColumn("t", F.sum("w").over(w))
-    return c.filter("c >= t / 2").groupBy("method").agg(r(F.min("v"), "weighted_median"))
+    return stats.running(v, ["method"], "v", "w").filter("upto >= total / 2").groupBy("method").agg(r(F.min("v"), "weighted_median"))
 
 
 @register("a58_median_and_mad", "WITH k AS (SELECT l_returnflag AS method, quantile_cont(l_extendedprice,0.5) AS med FROM lineitem GROUP BY 1) SELECT l_returnflag AS method, round(any_value(med),4) AS median, round(quantile_cont(abs(l_extendedprice-med),0.5),4) AS mad FROM lineitem JOIN k ON l_returnflag=method GROUP BY 1")
 def a58(spark, d):
     m = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("method"), F.col("l_extendedprice").alias("v"))
-    k = m.groupBy("method").agg(F.percentile("v", F.lit(0.5)).alias("med"))
-    return m.join(F.broadcast(k), "method").groupBy("method").agg(r(F.first("med"), "median"), r(F.percentile(F.abs(F.col("v") - F.col("med")), F.lit(0.5)), "mad"))  # one row for each flag
+    k = stats.quantiles(m, ["method"], "v", {"med": 0.5})
+    away = m.join(k, "method").select("method", F.abs(F.col("v") - F.col("med")).alias("away"))
+    return k.select("method", r(F.col("med"), "median")).join(quantiles(away, ["method"], "away", {"mad": 0.5}, 4), "method")
 
 
 @register("a59_best_and_second", "WITH b AS (SELECT l_orderkey, arg_min(l_linenumber, (l_extendedprice, l_linenumber)) AS best, min(l_extendedprice) AS cost FROM lineitem GROUP BY 1) SELECT l.l_orderkey, any_value(best) AS best, round(any_value(cost),4) AS cost, round(min(l_extendedprice) FILTER (abs(l_linenumber-best)>1),4) AS second FROM lineitem l JOIN b ON l.l_orderkey=b.l_orderkey GROUP BY 1")

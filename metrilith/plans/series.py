@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from metrilith.operators import align, temporal
+from metrilith.operators import align, stats, temporal
 from metrilith.operators.components import connected_components
 from metrilith.plans.registry import register
 from metrilith.plans.views import MEASURES, TRACKS, measures, table, tracks
@@ -217,5 +217,5 @@ def st3(spark, d):
 
 @register("w21_every_kth", f"WITH {MEASURES}, k AS (SELECT method, frame, point_id, row_number() OVER (PARTITION BY method ORDER BY frame, point_id) AS k FROM m) SELECT method, frame, point_id FROM k WHERE (k-1)%50=0")
 def w21(spark, d):
-    w = Window.partitionBy("method").orderBy("frame", "point_id")
-    return measures(spark, d).select("method", "frame", "point_id").withColumn("k", F.row_number().over(w)).filter("(k - 1) % 50 = 0").drop("k")
+    m = measures(spark, d).select("method", "frame", "point_id", F.lit(1).alias("one"))
+    return stats.running(m, ["method"], "frame", "one", ["point_id"]).filter("(upto - 1) % 50 = 0").select("method", "frame", "point_id")
