@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from metrilith.functions import rules
+from metrilith.functions import decisions, kernels, rules
 from metrilith.operators import align, stats, temporal
 from metrilith.plans.registry import register
 from metrilith.plans.views import MEASURES, TRACKS, measures, table, tracks
@@ -169,3 +169,23 @@ def r18(spark, d):
 def w12(spark, d):
     """Dominant frequency of each point's last 64 samples, from 16 on."""
     return temporal.spectral(tracks(spark, d), ["point_id"], "frame", "x", 30.0)
+
+
+@register("k1_st9_reference_motion")
+def k1(spark, d):
+    """Each frame's rigid motion against the first place of its reference points, and the points moved back by it."""
+    t = tracks(spark, d)
+    w = temporal.series(["point_id"], "frame")
+    ref = t.select("frame", *(F.col(c).alias(f"p{c}") for c in XYZ), *(F.first(c).over(w).alias(f"q{c}") for c in XYZ))
+    fit = kernels.frame_motion(ref)
+    q = [[F.col("rotation")[3 * i + j] for j in range(3)] for i in range(3)]
+    back = decisions.moved(q, [F.col("shift")[i] for i in range(3)], [F.col(c) for c in XYZ])
+    return t.join(fit, "frame").select("event_id", "status", "inliers", *(r(c, n) for c, n in zip(back, XYZ, strict=True)))
+
+
+@register("r7_r8_method_occlusion_diagnostics", f"WITH {MEASURES}, k AS (SELECT method, frame, point_id, rel, row_number() OVER (PARTITION BY method ORDER BY rel DESC, frame, point_id) AS place FROM m WHERE status='O') SELECT method, place, frame, point_id, round(rel,6) AS rel FROM k WHERE place<=10")
+def r8(spark, d):
+    """The ten worst rows of each method."""
+    w = Window.partitionBy("method").orderBy(F.desc("rel"), "frame", "point_id")
+    m = measures(spark, d).filter("status = 'O'").select("method", "frame", "point_id", "rel", F.row_number().over(w).cast("bigint").alias("place"))
+    return m.filter("place <= 10").select("method", "place", "frame", "point_id", r(F.col("rel"), "rel"))

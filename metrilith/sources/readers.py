@@ -105,3 +105,58 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     kinds = dict(df.dtypes)
     cell = lambda c: F.when(F.abs(c) < float("inf"), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c)
     df.select(*(cell(c) for c in columns)).write.option("header", True).option("nullValue", "").csv(path)
+
+
+#: Names of folders with left images, and of their right siblings.
+SIBLINGS = {"left": "right", "image_0": "image_1", "image_2": "image_3", "cam0": "cam1", "l": "r"}
+IMAGES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "ppm", "pgm")
+
+
+def generic_pairs(spark: SparkSession, folder: str, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Images of sibling folders of any known naming, paired by the path below them.
+
+    Folder names are compared without case, file names with it. Files under an excluded
+    path, without a partner or without an image's suffix have no row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    kind = "|".join([*SIBLINGS, *SIBLINGS.values()])
+    cut = rf"(?i)^(.*)/({kind})/(.+)\.({'|'.join(IMAGES)})$"
+    part = lambda k: F.regexp_extract("path", cut, k)
+    named = files.select("path", part(1).alias("parent"), F.lower(part(2)).alias("side"), part(3).alias("frame_id"), part(4).alias("suffix")).filter("side <> ''")
+    for root in excluded:
+        named = named.filter(~F.contains("path", F.lit(f"{root.rstrip('/')}/")))
+    partner = F.create_map(*(F.lit(x) for pair in SIBLINGS.items() for x in pair))
+    left = named.select("parent", "frame_id", "suffix", F.try_element_at(partner, F.col("side")).alias("side"), F.col("path").alias("left_path")).filter("side is not null")
+    right = named.select("parent", "frame_id", "suffix", "side", F.col("path").alias("right_path"))
+    sequence = F.regexp_extract("parent", r"([^/]+)$", 1)
+    return left.join(right, ["parent", "frame_id", "suffix", "side"]).select(sequence.alias("sequence_name"), "frame_id", "left_path", "right_path")
+
+
+def external_truth(spark: SparkSession, path: str, axis: str = "Z") -> DataFrame:
+    """timestamp_s and x, y, z in metres from columns X_gt, Y_gt, Z_gt, or from position_mm along one axis.
+
+    Rows of a table have no order but their times', so strictly increasing times are times
+    that don't repeat; a repeated or missing one fails the query.
+    """
+    df = csv_text(spark, path)
+    if "timestamp_s" not in df.columns:
+        raise ValueError("timestamp_s is missing")
+    number = lambda c: F.col(c).try_cast("double") if c in df.columns else F.lit(None).cast("double")
+    if set(df.columns) & {"X_gt", "Y_gt", "Z_gt"}:
+        xyz = [number(f"{a}_gt") for a in "XYZ"]
+    elif "position_mm" in df.columns and axis.upper() in ("X", "Y", "Z"):
+        xyz = [number("position_mm") / 1000 if a == axis.upper() else F.lit(None).cast("double") for a in "XYZ"]
+    else:
+        raise ValueError("truth needs X_gt, Y_gt or Z_gt, or position_mm and an axis of X, Y or Z")
+    rows = df.select(number("timestamp_s").alias("t"), F.struct(*(c.alias(n) for c, n in zip(xyz, "xyz", strict=True))).alias("p"))
+    g = rows.groupBy("t").agg(F.count("*").alias("n"), F.first("p").alias("p"))
+    fine = F.when((F.col("n") == 1) & F.col("t").isNotNull(), F.col("t")).otherwise(F.raise_error(F.lit("times have to increase strictly")).cast("double"))
+    return g.select(fine.alias("timestamp_s"), "p.*")
+
+
+def union_columns(*tables: DataFrame) -> DataFrame:
+    """All rows under all columns, in the order in which the tables first have them."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
