@@ -61,10 +61,9 @@ def _cells(rows: DataFrame, by: Sequence[str], value: str, weight: str) -> tuple
     """
     edges = rows.groupBy(*by).agg(F.percentile_approx(value, [k / 256 for k in range(1, 256)], 5000).alias("__e"))
     keyed = rows.join(edges, list(by)) if by else rows.crossJoin(F.broadcast(edges))  # one row without keys
-    below = lambda e: F.size(F.filter(e, lambda x: x < F.col(value)))
-    coarse = below(F.array(*(F.col("__e")[16 * k + 15] for k in range(15))))
-    keyed = keyed.withColumn("__k", coarse)
-    rows = keyed.withColumn("__c", F.col("__k") * 16 + below(F.slice("__e", F.col("__k") * 16 + 1, F.lit(15)))).drop("__e", "__k")
+    below = lambda places: sum(((F.get("__e", k) < F.col(value)).cast("int") for k in places), F.lit(0))
+    keyed = keyed.withColumn("__k", below(F.lit(16 * k + 15) for k in range(15)))
+    rows = keyed.withColumn("__c", F.col("__k") * 16 + below(F.col("__k") * 16 + k for k in range(15))).drop("__e", "__k")
     w = Window.partitionBy(*by)
     sizes = rows.groupBy(*by, "__c").agg(F.sum(weight).alias("__s"))
     before = F.coalesce(F.sum("__s").over(w.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
