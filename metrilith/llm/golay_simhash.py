@@ -403,6 +403,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
 #: For similarity on shingles of five words: words in a shingle of the fingerprints that
 #: propose pairs, and the number of such fingerprints.
 PROPOSING, TABLES = 2, 8
+#: Counters of how often shingles occur; they decide how many pairs are compared, not which are found.
+COUNTERS = 22
 
 
 def _portions(texts: list[bytes], size: int = 1 << 20):
@@ -414,39 +416,170 @@ def _portions(texts: list[bytes], size: int = 1 << 20):
             start, held = k + 1, 0
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sets(texts: list[bytes], shingle: int):
+    """(position, sorted distinct shingle hashes) of the texts that have words."""
+    for a, b in _portions(texts):
+        s = Shingles(_words(texts[a:b]), shingle)
+        hashes = np.concatenate([h for *_, h in s.portions()] or [np.zeros(0, np.uint64)])
+        for k, (x, y) in enumerate(zip(s.edge[:-1], s.edge[1:], strict=True)):
+            yield a + int(s.full[k]), np.unique(hashes[x:y])
+
+
+def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counters (upper bits of hashes) that stand out within some task, and their sums."""
+
+    def run(batches):
+        n = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            texts = utf8(batch.column("text"))
+            for a, b in _portions(texts):
+                for *_, h in Shingles(_words(texts[a:b]), shingle).portions():
+                    slot, times = np.unique(h >> np.uint64(64 - COUNTERS), return_counts=True)
+                    n[slot.astype(np.int64)] += times
+        mean = n.mean()
+        out = np.flatnonzero(n > mean + 4 * np.sqrt(mean) + 2)
+        yield pa.RecordBatch.from_arrays([pa.array(out.astype(np.int32)), pa.array(n[out])], names=["slot", "n"])
+
+    found = rows.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    return found.column("slot").to_numpy(), found.column("n").to_numpy()
+
+
+def _shared(batches):
+    """Of rows sorted by (key, node), the distinct ones whose key has another node."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        table = pa.Table.from_batches([x for x in (held, batch) if x is not None]) if batch is not None or held is not None else None
+        if table is None or not table.num_rows:
+            continue
+        rows = table.combine_chunks().to_batches()[0]
+        key, node = (rows.column(c).to_numpy() for c in ("key", "node"))
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        rows = rows.filter(pa.array(new))
+        key, joined = rows.column("key").to_numpy(), rows.column("joined").to_numpy(zero_copy_only=False)
+        same = key[1:] == key[:-1]
+        before, after = np.append(False, same) | joined, np.append(same, False)
+        done = len(key) if batch is None else len(key) - 1
+        yield rows.slice(0, done).filter(pa.array((before | after)[:done]))
+        last = rows.slice(len(key) - 1)
+        held = last.set_column(last.schema.get_field_index("joined"), "joined", pa.array([bool(before[-1])]))
+
+
+def rare_first(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(key, node, size, pos): each text's rarest shingles, where another text has them among its rarest too.
+
+    Two sets with a Jaccard similarity of `similarity` always share one of the first
+    `size - similarity * size + 1` members of each, in whatever order, if it is one for
+    all texts. By counters, rare ones come first here, so that few other texts share them.
+    """
+    slots, times = _frequent(rows, shingle)
+
+    def run(batches):
+        often = np.zeros(1 << COUNTERS, np.int64)
+        often[slots] = times
+        seen: set[int] = set()
+        for batch in batches:
+            texts = utf8(batch.column("text"))
+            node = _nodes(texts)
+            out = []
+            for k, own in _sets(texts, shingle):
+                if (x := int(node[k])) in seen:
+                    continue
+                seen.add(x)
+                order = np.lexsort((own, often[(own >> np.uint64(64 - COUNTERS)).astype(np.int64)]))
+                first = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1
+                out.append((own[order[:first]].view(np.int64), node[k : k + 1].view(np.int64), len(own)))
+            if out:
+                sizes = np.asarray([len(x[0]) for x in out])
+                pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                columns = [np.concatenate([x[0] for x in out]), np.repeat(np.concatenate([x[1] for x in out]), sizes), np.repeat([x[2] for x in out], sizes).astype(np.int32), pos.astype(np.int32)]
+                yield from pa.Table.from_arrays([*map(pa.array, columns), pa.array(np.zeros(len(pos), bool))], names=["key", "node", "size", "pos", "joined"]).to_batches(1 << 16)
+
+    schema = "key bigint, node bigint, size int, pos int, joined boolean"
+    found = rows.select("text").mapInArrow(run, schema)
+    return found.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, schema).drop("joined")
+
+
+def _nodes(texts: list[bytes]) -> np.ndarray:
+    """A hash of each text without case and runs of white space."""
+    node = np.zeros(len(texts), np.uint64)
+    for a, b in _portions(texts):
+        whole = [b" ".join(w) for w in _words(texts[a:b])]
+        size = np.asarray([len(w) for w in whole], np.int64)
+        node[a:b] = xxh64(b"".join(whole), np.cumsum(size) - size, size)
+    return node
+
+
+def _may_reach(similarity: float, a: str, b: str):
+    """Whether two sets that share a member at these places may be as similar: what stands before and after it bounds what they share."""
+    s, t, i, j = (F.col(f"{x}.{c}") for c in ("size", "pos") for x in (a, b))
+    most = F.least(i, j) + 1 + F.least(s - i - 1, t - j - 1)
+    return most >= similarity * (s + t - most) - 1e-6
+
+
+def _unequal(entries: DataFrame, comps: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their components, and the keys in which several meet: members, those of the largest component, a hub that changes by turn."""
+    at = entries.join(comps, "node", "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("comp"))
+    at = materialise(at, "entries")
+    hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "pos", "comp")).alias("hub")
+    groups = at.groupBy("key", "comp").agg(F.count("*").alias("n"), hub)
+    keys = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.min("hub").alias("hub")).filter("n > top")
+    return at, materialise(keys, "keys")
+
+
+def _hub_pairs(at: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """Each key's hub with the members of other components."""
+    met = at.select("key", F.struct("node", "size", "pos", "comp").alias("x")).join(keys.select("key", "hub"), "key")
+    return met.filter((F.col("x.comp") != F.col("hub.comp")) & _may_reach(similarity, "x", "hub")).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b"))
+
+
+def _all_pairs(at: DataFrame, keys: DataFrame, similarity: float, block: int) -> DataFrame:
+    """All pairs of a key that lie in different components; one of them always lies outside the key's largest one."""
+    blocks = F.ceil((F.col("n") - F.col("top")) / block).cast("int")
+    met = at.join(keys.select("key", "major", blocks.alias("blocks")), "key")
+    met = met.select("key", "blocks", F.struct("node", "size", "pos", "comp", (F.col("comp") != F.col("major")).alias("minor")).alias("x"))
+    first = met.filter("x.minor").select("key", F.pmod(F.xxhash64("x.node"), "blocks").cast("int").alias("block"), F.col("x").alias("p"))
+    second = met.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("x").alias("q"))
+    once = ~F.col("q.minor") | (F.col("p.node") < F.col("q.node"))
+    pairs = first.join(second, ["key", "block"]).filter((F.col("p.comp") != F.col("q.comp")) & once & _may_reach(similarity, "p", "q"))
+    return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK >> 3) -> DataFrame:
     """(doc_id, component_id) of every row: texts joined by chains of pairs whose sets of five-word shingles have a Jaccard similarity of at least `similarity`.
 
     Fingerprints of five-word shingles differ in far more than four bits at that
     similarity, so pairs are proposed by several fingerprints of word pairs, linked at four
     bits by the Golay keys, and each proposed pair is confirmed on its whole shingle
-    sets. Texts that agree but for case and white space are one node. Null, empty and
-    wordless texts are alike. component_id is the smallest doc_id of a component.
+    sets. That joins most copies early, but misses pairs; the rest are proposed by
+    `rare_first`, which misses none: keys in which several components meet compare a hub
+    with all others and are looked at again while that joins many, and at last every pair
+    of a key that lies in different components is compared. Texts that agree but for case
+    and white space are one node. Null, empty and wordless texts are alike. component_id
+    is the smallest doc_id of a component.
     """
 
     def prints(batches):
         for batch in batches:
             texts = utf8(batch.column("text"))
             fp = np.zeros((len(texts), tables), np.uint64)
-            node = np.zeros(len(texts), np.uint64)
             for a, b in _portions(texts):
                 fp[a:b] = fingerprints(texts[a:b], PROPOSING, tables).reshape(tables, -1).T
-                whole = [b" ".join(w) for w in _words(texts[a:b])]
-                size = np.asarray([len(w) for w in whole], np.int64)
-                node[a:b] = xxh64(b"".join(whole), np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node.view(np.int64)), pa.array(list(fp.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "node", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_nodes(texts).view(np.int64)), pa.array(list(fp.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "node", "fps"])
 
     def sets(batches):
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for a, b in _portions(texts):
-                s = Shingles(_words(texts[a:b]), shingle)
-                hashes = np.concatenate([h for *_, h in s.portions()] or [np.zeros(0, np.uint64)])
-                own: list = [[] for _ in range(a, b)]
-                for k, (x, y) in enumerate(zip(s.edge[:-1], s.edge[1:], strict=True)):
-                    own[s.full[k]] = np.unique(hashes[x:y]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
-
+            own: list = [[] for _ in range(batch.num_rows)]
+            for k, x in _sets(utf8(batch.column("text")), shingle):
+                own[k] = x.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        alike = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n")).filter(F.col("c") >= similarity * (F.col("n") - F.col("c")))
+        return materialise(alike.select("a", "b"), "alike")
+
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     rows = id_and_text(docs, id_col, text_col)
     found = materialise(rows.mapInArrow(prints, "doc_id bigint, node bigint, fps array<bigint>"), "fingerprints")
     nodes = materialise(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("fps").alias("fps")), "nodes")
@@ -457,15 +590,29 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t
     second = reps.select("tab", F.col("fp").alias("v"), F.col("rep").alias("b"))
     pairs = links.join(first, ["tab", "u"]).join(second, ["tab", "v"]).select("a", "b")
     same = each.join(reps, ["tab", "fp"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    pairs = pairs.union(same).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("low").alias("doc_id"))
+    tested = materialise(pairs.union(same).filter("a != b").select(*ordered).distinct(), "pairs")
+    entries = materialise(rare_first(rows, similarity, shingle), "rare-first")
+    involved = tested.select(F.explode(F.array("a", "b")).alias("node")).union(entries.select("node")).distinct().join(nodes, "node").select("node", F.col("low").alias("doc_id"))
     texts = rows.join(involved, "doc_id").select("node", "text")
     shingles = materialise(texts.mapInArrow(sets, "node bigint, own array<bigint>").groupBy("node").agg(F.first("own").alias("own")), "shingles")
-    both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n")).filter(F.col("c") >= similarity * (F.col("n") - F.col("c")))
-    comps = connected_components(alike.select("a", "b"), "a", "b")
+    alike = confirmed(tested)
+    left = None
+    for turn in itertools.count():
+        entries, keys = _unequal(entries, connected_components(alike, "a", "b"), turn)
+        before = left
+        left, members = keys.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - F.col("top"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if not left:
+            break
+        # hubs go on only while they at least halve what would be compared
+        whole = left <= 4 * members or (before is not None and 2 * left > before)
+        new = _all_pairs(entries, keys, similarity, block) if whole else _hub_pairs(entries, keys, similarity)
+        new = materialise(new.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        alike = alike.union(confirmed(new))
+        if whole:
+            break
+        tested = tested.union(new)
+        entries = entries.join(keys, "key", "left_semi").drop("comp")
+    comps = connected_components(alike, "a", "b")
     linked = comps.join(nodes.select("node", "low"), "node")
     least = linked.groupBy("component").agg(F.min("low").alias("component_id"))
     named = linked.join(least, "component").select("node", "component_id")

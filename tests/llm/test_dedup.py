@@ -115,6 +115,34 @@ def test_similar_groups(spark):
     assert got == {i: i if i % 10 == 3 else i // 10 * 10 for i, _ in rows}
 
 
+def brute_similar(rows, similarity=0.8, k=5):
+    """Components by comparing every pair of whole shingle sets."""
+    own = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (t.lower().split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and len(own[a] & own[b]) >= similarity * len(own[a] | own[b]):
+                x, y = label[a], label[b]
+                label = [x if c == y else c for c in label]
+    low = {}
+    for (i, _), c in zip(rows, label, strict=True):
+        low[c] = min(low.get(c, i), i)
+    return {i: low[c] for (i, _), c in zip(rows, label, strict=True)}
+
+
+def test_similar_groups_find_contiguous_differences(spark):
+    """Appended, cut-off and replaced stretches at similarities from 0.80 to 0.90."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    rows = []
+    for k in range(60):
+        text, a = draw(400), int(rng.integers(50, 250))
+        copy = [text + draw(int(rng.integers(48, 96))), text[: int(rng.integers(328, 358))], text[:a] + (new := draw(int(rng.integers(20, 38)))) + text[a + len(new) :]][k % 3]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in g.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows} == brute_similar(rows)
+
+
 def brute_repeats(rows, words):
     """Sentences of each document that a repeated run covers, by hash-free comparison."""
     own = {i: [t[a:b].lower().split() for a, b in span_dedup.sentences(t or "")] for i, t in rows}
