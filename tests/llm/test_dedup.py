@@ -143,6 +143,25 @@ def test_similar_groups_find_contiguous_differences(spark):
     assert got == {i: i // 2 * 2 for i, _ in rows} == brute_similar(rows)
 
 
+def test_rejected_links_hide_no_pair(spark):
+    """Families of a template around 0.8: what a text shares with its family's first one says nothing about the others."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
+    rows = []
+    for size in (160, *[12] * 20):
+        base = draw(120)
+        for _ in range(size):
+            text = list(base)
+            for _ in range(int(rng.integers(1, 6))):
+                a = int(rng.integers(0, 4)) * 30 + int(rng.integers(0, 10))
+                text[a : a + 6] = draw(6)
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_similar(rows)
+    for block in (g.BLOCK, 10):
+        assert {r.doc_id: r.component_id for r in g.similar_groups(df, block=block).collect()} == want
+
+
 def brute_repeats(rows, words):
     """Sentences of each document that a repeated run covers, by hash-free comparison."""
     own = {i: [t[a:b].lower().split() for a, b in span_dedup.sentences(t or "")] for i, t in rows}
