@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -18,16 +19,26 @@ def rigid_fit(p: np.ndarray, q: np.ndarray, w: np.ndarray | None = None) -> tupl
     return r, cq - r @ cp
 
 
+def _triplets(n: int, most: int, seed: int) -> list[tuple[int, ...]]:
+    """All triplets of n points, or `most` distinct ones drawn from all of them."""
+    if math.comb(n, 3) <= most:
+        return list(itertools.combinations(range(n), 3))
+    rng = np.random.default_rng(seed)
+    picks: set[tuple[int, ...]] = set()
+    while len(picks) < most:
+        x = tuple(sorted(rng.integers(0, n, 3).tolist()))
+        if len(set(x)) == 3:
+            picks.add(x)
+    return sorted(picks)
+
+
 def robust_rigid(p: np.ndarray, q: np.ndarray, tolerance: float = 3.0, least_share: float = 0.6, most: int = 100, seed: int = 0) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     """Status, rotation, shift and inliers; three-point fits vote, and the winners' inliers are fitted once more."""
     none = ("insufficient", np.eye(3), np.zeros(3), np.zeros(len(p), bool))
     if len(p) < 3:
         return none
-    picks = list(itertools.islice(itertools.combinations(range(len(p)), 3), 5000))
-    if len(picks) > most:
-        picks = [picks[k] for k in np.random.default_rng(seed).choice(len(picks), most, replace=False)]
     best = none[3]
-    for pick in map(list, picks):
+    for pick in map(list, _triplets(len(p), most, seed)):
         if np.linalg.matrix_rank(p[pick] - p[pick].mean(0), tol=1e-9) < 2:
             continue
         r, t = rigid_fit(p[pick], q[pick])
@@ -39,11 +50,19 @@ def robust_rigid(p: np.ndarray, q: np.ndarray, tolerance: float = 3.0, least_sha
     return ("valid", *rigid_fit(p[best], q[best]), best)
 
 
+#: Columns that settle the order of rows that share a point_id.
+XYZ = ["px", "py", "pz", "qx", "qy", "qz"]
+
+
 def frame_motion(df: DataFrame) -> DataFrame:
-    """Rigid motion of each frame's reference points (px, py, pz) to (qx, qy, qz): status, rotation, shift, inliers."""
+    """Rigid motion of each frame's reference points (px, py, pz) to (qx, qy, qz): status, rotation, shift, inliers.
+
+    Rows are taken by point_id, so that the order in which they arrive changes nothing.
+    """
     schema = "frame bigint, status string, rotation array<double>, shift array<double>, inliers int"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["point_id", *XYZ])
         status, r, t, inside = robust_rigid(pdf[["px", "py", "pz"]].to_numpy(float), pdf[["qx", "qy", "qz"]].to_numpy(float))
         return pd.DataFrame({"frame": [key[0]], "status": [status], "rotation": [r.ravel()], "shift": [t], "inliers": [int(inside.sum())]})
 

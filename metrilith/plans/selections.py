@@ -176,7 +176,7 @@ def k1(spark, d):
     """Each frame's rigid motion against the first place of its reference points, and the points moved back by it."""
     t = tracks(spark, d)
     w = temporal.series(["point_id"], "frame")
-    ref = t.select("frame", *(F.col(c).alias(f"p{c}") for c in XYZ), *(F.first(c).over(w).alias(f"q{c}") for c in XYZ))
+    ref = t.select("frame", "point_id", *(F.col(c).alias(f"p{c}") for c in XYZ), *(F.first(c).over(w).alias(f"q{c}") for c in XYZ))
     fit = kernels.frame_motion(ref)
     q = [[F.col("rotation")[3 * i + j] for j in range(3)] for i in range(3)]
     back = decisions.moved(q, [F.col("shift")[i] for i in range(3)], [F.col(c) for c in XYZ])

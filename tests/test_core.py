@@ -117,6 +117,21 @@ def test_filter_skips_outliers():
     assert np.std(est[20:, 0] - truth[20:]) < np.std(np.delete(z[:, 0] - truth, 30))
 
 
+def test_rigid_fit_of_many_points_with_a_bad_first_one(spark):
+    """Triplets come from all points, and the order of rows changes nothing."""
+    rng = np.random.default_rng(3)
+    p = rng.normal(0, 100, (400, 3))
+    q = p + [1, 2, 3]
+    q[0] += 500
+    status, _, t, inside = kernels.robust_rigid(p, q)
+    assert status == "valid" and np.allclose(t, [1, 2, 3]) and inside.sum() == 399
+    q[50:190] += rng.normal(0, 50, (140, 3))
+    rows = [(1, i, *map(float, (*a, *b))) for i, (a, b) in enumerate(zip(p, q, strict=True))]
+    made = lambda x: spark.createDataFrame(x, "frame bigint, point_id bigint, px double, py double, pz double, qx double, qy double, qz double")
+    one, two = (kernels.frame_motion(made(x).coalesce(1)).first() for x in (rows, rows[::-1]))
+    assert one == two and one.status == "valid"
+
+
 def test_kernels():
     rng = np.random.default_rng(1)
     p = rng.normal(0, 100, (8, 3))
