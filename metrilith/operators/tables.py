@@ -85,16 +85,20 @@ def _remove_held() -> None:
                 _remove(spark, path)
 
 
-def join_one(many: DataFrame, one: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+def join_one(many: DataFrame, one: DataFrame, keys: list[str], spread: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Join `many` with `one`, which has a row for each key at most; a key with a large share of `many` is dealt out.
 
     Keys with over one in SHARE rows are looked up first (fewer than SHARE of them). Their
     rows are spread by the hash of column `spread`, and their row of `one` is repeated as
-    often. `many` is read twice, so it should be a written table. Null keys don't join.
+    often. `counts` holds the keys with their numbers of rows as `n`, if they are known (those
+    of rare keys may be left out); else `many` is counted, so it should be a written
+    table. Null keys don't join.
     """
-    total = many.count()
-    often = many.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(total // SHARE, 1 << 10))
-    heavy = often.select(*keys, F.least(F.ceil(F.col("__n") * SHARE / max(total, 1)), F.lit(SHARE)).cast("int").alias("__parts")).collect()
+    if counts is None:
+        counts = many.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.filter(F.col("n") > max(total // SHARE, 1 << 10))
+    heavy = often.select(*keys, F.least(F.ceil(F.col("n") * SHARE / max(total, 1)), F.lit(SHARE)).cast("int").alias("__parts")).collect()
     if not heavy:
         return many.join(one, keys, how)
     schema = many.select(*keys, F.lit(0).alias("__parts")).schema
