@@ -18,11 +18,12 @@ from __future__ import annotations
 import itertools
 import os
 import re
+from collections import Counter
 
 import numpy as np
 
-#: Pieces that stay in a worker's cache; up to twice as many are held for a while.
-CACHE_PIECES = 400_000
+#: Pieces in a worker's cache above which only those stay that the last texts held twice or more.
+CACHE_PIECES = 150_000
 
 _RUN = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -68,8 +69,6 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.known) > 2 * CACHE_PIECES:
-            self.known = dict(itertools.islice(self.known.items(), CACHE_PIECES))
         known, cut = self.known, [self.cut(x) for x in texts]
         fast = [not self.led or not x or not _RUN.search(x) for x in texts] if self.led else None
         plain: dict[str, str] = {}
@@ -84,7 +83,14 @@ class PieceEncoder:
         if plain:
             coded = self.tokenizer.encode_batch_fast(list(plain.values()), add_special_tokens=False)
             known.update((p, np.asarray(e.ids, self.dtype).tobytes()) for p, e in zip(plain, coded, strict=True))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        if len(known) > CACHE_PIECES:
+            self.known = {p: known[p] for p, n in Counter(itertools.chain.from_iterable(cut)).items() if n > 1}
+        return out
+
+    def clear(self) -> None:
+        """Forget all pieces; a worker that waits for its next task holds the vocabulary alone."""
+        self.known = {}
 
 
 def encoder(path: str, cut: str) -> PieceEncoder:
@@ -92,15 +98,3 @@ def encoder(path: str, cut: str) -> PieceEncoder:
     if (path, cut) not in _ENCODERS:
         _ENCODERS[path, cut] = PieceEncoder(path, cut)
     return _ENCODERS[path, cut]
-
-
-def in_portions(texts: list[str], characters: int = 2_000_000):
-    """Slices of `texts` of about so many characters (one text at least), as (start, end)."""
-    start = held = 0
-    for k, text in enumerate(texts):
-        if held and held + len(text) > characters:
-            yield start, k
-            start, held = k, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)

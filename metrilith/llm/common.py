@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: The temporary folder of a session that names no shared one.
-_OWN: list[str] = []
+from metrilith.operators.tables import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,29 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (a local test) a temporary folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _OWN:
-            _OWN.append(f"file://{tempfile.mkdtemp(prefix='metrilith-')}")
-        root = _OWN[0]
-    return root.rstrip("/")
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there.
+    """`df` as a written table of its own in the shared folder."""
+    return Scratch(df.sparkSession, label).write(df, "table")
 
-    Lost executors then cost a re-read, not a recomputation, and a Python stage
-    that several branches use runs once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/metrilith/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,6 +34,21 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def slices(batches, column: str = "text", size: int = 1 << 20, rows: int = 2048):
+    """The batches cut to runs of rows with about `size` bytes in `column` (one row at least) and at most `rows` rows.
+
+    What a task holds as Python objects is bounded by this, not by Arrow's batches.
+    """
+    for batch in batches:
+        length = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(length, length[at] + size, "left"))
+            end = min(max(end, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values of a string column as UTF-8 bytes; a null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

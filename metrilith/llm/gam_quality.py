@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrilith.llm.common import id_and_text, utf8
+from metrilith.llm.common import id_and_text, slices, utf8
 
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -163,7 +163,7 @@ class AdditiveModel:
 
 def _with_features(rows: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = [features(t) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", out: st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text_col):
             texts = utf8(batch.column(text_col))
             x = np.asarray([features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x))], names=[*batch.schema.names, out])

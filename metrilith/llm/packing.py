@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Pieces are dealt to groups by hash. Each group packs best-fit decreasing and gets a lower
-bound on its number of sequences from dual-feasible functions; where the two agree the
-group is certified and only its loosest sequences can still gain. Sequences with room
-in all groups then give up their pieces, which are dealt to new groups and packed anew,
-for a fixed number of rounds; a round that doesn't lower the count is not taken.
+bound on its number of sequences from dual-feasible functions. Where the two agree the group
+is certified: alone it can't do better, so it keeps its sequences, but for the loosest ones,
+which other groups' pieces may still fill. Groups with a gap give up all their pieces. What
+was given up is dealt to new groups and packed anew, until the count meets the bound of all
+pieces together, a round doesn't lower it, or the rounds are used up.
 """
 
 from __future__ import annotations
@@ -17,18 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrilith.llm.bpe import encoder, in_portions
-from metrilith.llm.common import id_and_text, materialise, strings
+from metrilith.llm.bpe import encoder
+from metrilith.llm.common import id_and_text, slices, strings
+from metrilith.operators.tables import Scratch
 
 CAPACITY = 2048
 #: Pieces in a group, on average; a group is packed in one task.
 GROUP_PIECES = 4096
-#: Sequences with at least this much room give up their pieces for the next round.
+#: Sequences of certified groups with at least this much room give up their pieces for the next round.
 ROOM = 32
-ROUNDS = 3
+ROUNDS = 4
 
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_PLACED = _PIECE + ", sequence_id bigint, offset bigint, room int, bins int, bound int"
+_PLACED = _PIECE + ", row bigint, sequence_id bigint, offset bigint, room int, bins int, bound int"
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, cut: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,16 +43,15 @@ def cut_pieces(docs: DataFrame, tokenizer: str, cut: str, end_id: int, capacity:
     def pieces(batches):
         enc = encoder(tokenizer, cut)
         end = np.asarray([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            texts, doc_ids = strings(batch.column("text")), batch.column("doc_id").to_pylist()
-            for a, b in in_portions(texts):
-                rows: list[tuple] = []
-                for doc_id, coded in zip(doc_ids[a:b], enc.encode(texts[a:b]), strict=True):
-                    ids = np.frombuffer(coded + end, enc.dtype).astype("<u4")
-                    edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
-                    rows += ((doc_id, k, s, e - s, zlib.crc32(ids[s:e].tobytes())) for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False)))
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in slices(batches):
+            rows: list[tuple] = []
+            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), enc.encode(strings(batch.column("text"))), strict=True):
+                ids = np.frombuffer(coded + end, enc.dtype).astype("<u4")
+                edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+                rows += ((doc_id, k, s, e - s, zlib.crc32(ids[s:e].tobytes())) for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False)))
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.clear()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(pieces, _PIECE)
 
@@ -91,9 +92,13 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     rest, for k up to capacity / 2; the other rounds length * (k + 1) / capacity down to
     k-ths, whole multiples staying.
     """
-    if not len(lengths):
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The same from how many pieces there are of each length."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     n_from = np.concatenate([np.cumsum(count[::-1])[::-1], [0]])
     sum_from = np.concatenate([np.cumsum((count * size)[::-1])[::-1], [0]])
@@ -114,42 +119,53 @@ def _pack_groups(pieces: DataFrame, n: int, round_no: int, capacity: int) -> Dat
     seed = F.lit(round_no)
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy()
         where, offset, room = best_fit(lengths, capacity)
         # 2^40 sequences in a group, 2^20 groups, 8 rounds
         base = (round_no << 60) | (int(key[0]) << 40)
         return pdf.assign(sequence_id=base + where, offset=offset, room=room[where].astype("int32"), bins=np.int32(len(room)), bound=np.int32(lower_bound(lengths, capacity)))[_COLUMNS]
 
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", seed), F.lit(groups)).alias("g")
-    return pieces.select(key, "doc_id", "piece", "start", "length", "ids_crc32").groupBy("g").applyInPandas(pack, _PLACED)
+    key = F.pmod(F.xxhash64("row", seed), F.lit(groups)).alias("g")
+    return pieces.select(key, *_COLUMNS[:6]).groupBy("g").applyInPandas(pack, _PLACED)
 
 
-_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "room", "bins", "bound"]
+_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "row", "sequence_id", "offset", "room", "bins", "bound"]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """Place every piece: its sequence and offset, and its group's count and bound.
 
-    `pieces` is read more than once, so it should be a written table. An empty table
-    gives an empty result. Equal lengths are taken in ascending (doc_id, piece) order.
+    A group with bins = bound is certified. An empty table gives an empty result. Equal
+    lengths are taken in ascending (doc_id, piece) order; pieces that agree in all are
+    dealt out like any others.
     """
+    kept = Scratch(pieces.sparkSession, "packing")
+    pieces = kept.write(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     whole = pieces.filter(F.col("length") == capacity)
     rest = pieces.filter(F.col("length") < capacity)
-    n = rest.count()
     # a piece of full length is a sequence by itself; 7 is no round
-    done = [whole.select(*_COLUMNS[:5], (F.lit(7 << 60) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(0).alias("room"), F.lit(1).alias("bins"), F.lit(1).alias("bound"))]
-    current = materialise(_pack_groups(rest, n, 0, capacity), "packed")
+    done = [whole.select(*_COLUMNS[:6], (F.lit(7 << 60) + F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(0).alias("room"), F.lit(1).alias("bins"), F.lit(1).alias("bound"))]
+    count = np.zeros(capacity + 1, np.int64)
+    for length, times in rest.groupBy("length").count().collect():  # fewer rows than `capacity`
+        count[length] = times
+    least = bound_of_counts(count, capacity)
+    sequences = lambda df: df.filter("offset = 0").count()
+    current = kept.write(_pack_groups(rest, int(count.sum()), 0, capacity), "packed")
+    total = sequences(current)
+    given = (F.col("bins") > F.col("bound")) | (F.col("room") >= ROOM)
     for round_no in range(1, rounds + 1):
-        loose = current.filter(F.col("room") >= ROOM)
-        n, bins = loose.agg(F.count("*"), F.countDistinct("sequence_id")).first()
-        if bins < 2:
+        loose = current.filter(given)
+        bins = sequences(loose)
+        if total <= least or bins < 2:
             break
-        again = materialise(_pack_groups(loose, n, round_no, capacity), "packed")
-        if again.select("sequence_id").distinct().count() >= bins:
+        again = kept.write(_pack_groups(loose, loose.count(), round_no, capacity), "packed")
+        fewer = bins - sequences(again)
+        if fewer <= 0:
             break
-        done.append(current.filter(F.col("room") < ROOM))
+        done.append(current.filter(~given))
         current = again
+        total -= fewer
     done.append(current)
     out = done[0]
     for part in done[1:]:
@@ -159,5 +175,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
 
 def pack_documents(docs: DataFrame, tokenizer: str, cut: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack whole documents."""
-    pieces = materialise(cut_pieces(docs, tokenizer, cut, end_id, capacity, id_col, text_col), "pieces")
-    return pack(pieces, capacity)
+    return pack(cut_pieces(docs, tokenizer, cut, end_id, capacity, id_col, text_col), capacity)

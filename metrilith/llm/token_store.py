@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metrilith.llm.bpe import encoder, in_portions
-from metrilith.llm.common import id_and_text, shared_dir, strings
+from metrilith.llm.bpe import encoder
+from metrilith.llm.common import id_and_text, slices, strings
+from metrilith.operators.tables import shared_dir
 
 #: A block is closed when it holds so many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1 << 16
@@ -55,35 +56,45 @@ class EliasFano:
         high[places] = 1
         return cls(n, low_bits, np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), places[::SAMPLE].astype("<u4").tobytes())
 
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """Places of the i-th set bits of the upper part: each is found from its nearest sample on, byte by byte."""
+        i = np.asarray(i, np.int64)
+        high = np.frombuffer(self.high, np.uint8)
+        at, left = self.sample[i // SAMPLE].astype(np.int64), i % SAMPLE
+        byte = at >> 3
+        word = (high[byte].astype(np.int64) >> (at & 7)) << (at & 7)
+        live = np.arange(len(i))
+        while len(live):
+            here = np.bitwise_count(word[live]).astype(np.int64)
+            live, here = live[beyond := left[live] >= here], here[beyond]
+            left[live] -= here
+            byte[live] += 1
+            word[live] = high[byte[live]]
+        while len(live := np.flatnonzero(left)):
+            word[live] &= word[live] - 1
+            left[live] -= 1
+        return 8 * byte + np.bitwise_count((word & -word) - 1)
+
     def _low(self, i: int) -> int:
         at = i * self.low_bits
         window = int.from_bytes(self.low[at >> 3 : (at + self.low_bits + 7) >> 3], "little")
         return (window >> (at & 7)) & ((1 << self.low_bits) - 1)
 
-    def select(self, i: int) -> int:
-        """The place of the i-th set bit of the upper part, found from the nearest sample."""
-        at, left = int(self.sample[i // SAMPLE]), i % SAMPLE
-        byte = at >> 3
-        word = self.high[byte] >> (at & 7) << (at & 7)
-        while left >= word.bit_count():
-            left -= word.bit_count()
-            byte += 1
-            word = self.high[byte]
-        for _ in range(left):
-            word &= word - 1
-        return 8 * byte + (word & -word).bit_length() - 1
+    def take(self, i: np.ndarray) -> np.ndarray:
+        """The i-th numbers; no others are decoded."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.zeros(0, np.int64)
+        if self.low_bits > 56:  # more than an eight-byte window holds
+            low = np.asarray([self._low(int(x)) for x in i], np.int64)
+        else:
+            windows = np.ndarray(len(self.low) + 1, "<u8", self.low + b"\0" * 8, strides=(1,))
+            at = i * self.low_bits
+            low = (windows[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << self.low_bits) - 1)
+        return ((self.select(i) - i) << self.low_bits) | low
 
     def __getitem__(self, i: int) -> int:
-        """The i-th number alone."""
-        return ((self.select(i) - i) << self.low_bits) | self._low(i)
-
-    def all(self) -> np.ndarray:
-        """All numbers in order."""
-        if not self.n:
-            return np.zeros(0, np.int64)
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        low = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return ((places - np.arange(self.n)) << self.low_bits) + (low.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        return int(self.take(np.asarray([i]))[0])
 
     def row(self) -> dict:
         return {"n": self.n, "low_bits": self.low_bits, "low": self.low, "high": self.high, "sample": self.sample.tobytes()}
@@ -114,15 +125,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, cut: str, end_id: in
             ids, names, held = [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        for batch in batches:
-            texts, doc_ids = strings(batch.column("text")), batch.column("doc_id").to_pylist()
-            for a, b in in_portions(texts):
-                for doc_id, coded in zip(doc_ids[a:b], enc.encode(texts[a:b]), strict=True):
-                    ids.append(coded + end)
-                    names.append(doc_id)
-                    held += len(ids[-1]) // width
-                    if held >= BLOCK_IDS or len(ids) >= BLOCK_DOCS:
-                        yield close()
+        for batch in slices(batches):
+            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), enc.encode(strings(batch.column("text"))), strict=True):
+                ids.append(coded + end)
+                names.append(doc_id)
+                held += len(ids[-1]) // width
+                if held >= BLOCK_IDS or len(ids) >= BLOCK_DOCS:
+                    yield close()
+        enc.clear()
         if ids:
             yield close()
 
@@ -146,8 +156,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}")
-                ends, names = EliasFano(**row["ends"]).all(), EliasFano(**row["doc_ids"]).all() + row["base"]
-                starts = np.concatenate([[0], ends[:-1]])
+                ends, names = EliasFano(**row["ends"]), EliasFano(**row["doc_ids"])
+                starts = np.append(0, ends.take(np.arange(ends.n - 1)))
+                ends = ends.take(np.arange(ends.n))
+                names = names.take(np.arange(names.n)) + row["base"]
                 wide = memoryview(ids.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_pydict(
                     {
