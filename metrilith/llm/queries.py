@@ -27,12 +27,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), out="found")
     base = F.filter("found", lambda x: x["kind"] < len(pii.BASE))
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == pii.BASE.index(k))).cast("bigint").alias(f"n_{k}")
-    return found.select("doc_id", *(count(k) for k in pii.BASE), F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("found")).alias("spans"))
+    return found.select("doc_id", *(count(k) for k in pii.BASE), F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("found")).alias("spans"), F.size("found").cast("bigint").alias("n_spans"))
 
 
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op2_pii that SQL can express: without the kinds that the method adds."""
-    return op2_pii(spark, sf_dir).drop("spans")
+    return op2_pii(spark, sf_dir).drop("spans", "n_spans")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
