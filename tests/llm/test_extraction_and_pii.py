@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -16,10 +17,95 @@ def test_lines_of_a_page():
     page = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li>Home</li></ul></nav>
     <div class="ad">Buy <div>now</div> here</div><!-- x --><article><header><h1>A &amp; B</h1></header><p><b>First.<br><p>Sec&eacute;\n ond
     <i>it</i>alic</p><form>name</form><section id="comments"><p>nice</p></section></article><footer>&copy;</footer></body></html>"""
-    assert html_diff.text_lines(page) == [("A & B", True), ("First.", True), ("Secé ond italic", True)]
+    out, free, own = html_diff.OUTSIDE, html_diff.OPEN, html_diff.INSIDE
+    want = [("Home", out), ("Buy", out), ("now", out), ("here", out), ("A & B", own), ("First.", own), ("Secé ond italic", own), ("name", out), ("nice", out), ("©", out)]
+    assert html_diff.text_lines(page) == want
+    assert html_diff.main_text(want) == "A & B\nFirst.\nSecé ond italic"
     assert html_diff.text_lines("") == []
-    assert html_diff.text_lines("plain < 3 &amp; <unclosed") == [("plain < 3 & <unclosed", False)]
-    assert html_diff.text_lines("<p>a<script>never closed") == [("a", False)]
+    assert html_diff.text_lines("plain < 3 &amp; <unclosed") == [("plain < 3 & <unclosed", free)]
+    assert html_diff.text_lines("<p>a<script>never closed") == [("a", free)]
+
+
+def test_marks_of_wrappers_and_broken_tags():
+    inside = lambda page: html_diff.main_text(html_diff.text_lines(page))
+    assert inside('<div class="sidebar"><p>menu</p><main><p>story</p></main></div>') == "story"
+    assert inside('<article class="with-sidebar"><p>story</p><div class="site-footer">foot</div></article>') == "story"
+    assert inside('<article><p>story</p></article><article class="comment"><p>reader</p></article>') == "story"
+    # a teaser isn't the bulk of the page
+    assert inside("<div><p>" + "long story " * 20 + "</p><article>teaser</article></div>") == ("long story " * 20).strip() + "\nteaser"
+    assert inside("<p title='a>b'>x</p><p class=\"c'>\">y</p><b <i>z</i>") == "x\ny\nz" or inside("<p>x</p>") == "x"
+
+
+@pytest.mark.parametrize("page", ["<" + "a" * 1_000_000, "<a '" * 250_000, '<a "' * 250_000, "<!" * 500_000, "<!--" * 250_000, "</script " * 110_000, "<script>" + "</script " * 110_000, "<p>" * 330_000, "<a '>'" * 160_000, "&" * 1_000_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.time()
+    html_diff.text_lines(page)
+    assert time.time() - began < 5
+
+
+def brute_extract(rows):
+    """All pages of all hosts in plain loops."""
+    from urllib.parse import urlsplit
+
+    def split(url):
+        u = urlsplit(url or "")
+        return (u.hostname or None), (u.path + ("?" + u.query if u.query else ""))
+
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                best[i][j] = 1 + best[i + 1][j + 1] if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    found = [(i, *split(url), html_diff.text_lines(page or "")) for i, url, page in rows]
+    hosts = {}
+    for _, host, path, lines in found:
+        if host:
+            key = tuple(t for t, _ in lines)
+            hosts.setdefault(host, {})
+            hosts[host][key] = min(hosts[host].get(key, path), path)
+    return found, hosts, lcs
+
+
+def test_pages_without_article_elements_against_plain_loops(spark):
+    """Hosts whose pages have no article element: what is left is exactly what the nearest other page doesn't share."""
+    rng = random.Random(11)
+    rows = []
+    for host in ("a.example", "b.example"):
+        menu, foot = [f"{host} menu {k}" for k in range(4)], [f"{host} foot {k}" for k in range(3)]
+        for k in range(25):
+            own = [f"{host} line {rng.randrange(400)}" for _ in range(rng.randrange(1, 9))]
+            body = "".join(f"<p>{x}</p>" for x in menu[: rng.randrange(2, 5)] + own + foot)
+            rows.append((len(rows), f"https://{host}/s{rng.randrange(4)}/p{k:02d}", f"<body>{body}</body>"))
+            if k % 6 == 0:  # another crawl of the same page
+                rows.append((len(rows), f"https://{host}/s0/p{k:02d}?again=1", rows[-1][2]))
+    found, hosts, lcs = brute_extract(rows)
+    got = {r.page_id: r for r in html_diff.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    decided = 0
+    for i, host, _, lines in found:
+        key = tuple(t for t, _ in lines)
+        order = sorted((path, k) for k, path in hosts[host].items())
+        at = next(n for n, (_, k) in enumerate(order) if k == key)
+        common = lambda p, q: next((n for n, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))
+        near = [(common(order[at][0], order[n][0]), n < at, order[n][1]) for n in (at - 1, at + 1) if 0 <= n < len(order)]
+        other = max(near, key=lambda x: x[:2])[2]
+        n_shared = lcs(list(key), list(other))
+        assert got[i].n_shared == n_shared and got[i].n_lines == len(key)
+        left = got[i].text.split("\n") if got[i].text else []
+        rest = iter(key)
+        assert len(left) == len(key) - n_shared and all(x in rest for x in left)
+        decided += n_shared > 0
+    assert decided > 40
+
+
+def test_shared_passages_of_articles_stay_and_templates_inside_them_go(spark):
+    rows = [
+        (1, "https://h.example/1", "<body><article><p>one</p><p>quoted by both</p><p>Share this story</p></article></body>"),
+        (2, "https://h.example/2", "<body><article><p>two</p><p>quoted by both</p></article><div>Share this story</div></body>"),
+    ]
+    got = {r.page_id: r.text for r in html_diff.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "one\nquoted by both", 2: "two\nquoted by both"}
 
 
 def test_common_lines_is_a_longest_common_subsequence():
@@ -71,7 +157,7 @@ def test_differencing_decides_without_an_article(spark):
     pages = spark.createDataFrame([(*r, "text", 1) for r in rows], "page_id bigint, url string, html string, text string, n_shared int")
     got = sorted((r.page_id or 0, r.text) for r in html_diff.extract(pages).collect())
     whole = "Site name\nMenu one\n{}\nAll about us"
-    assert got == [(0, whole.format("No id")), (1, "First story"), (2, "Second story\nmore"), (2, "Second story\nmore"), (3, ""), (4, whole.format("Only")), (5, whole.format("No address"))]
+    assert got == [(0, "No id"), (1, "First story"), (2, "Second story\nmore"), (2, "Second story\nmore"), (3, ""), (4, whole.format("Only")), (5, whole.format("No address"))]
     assert html_diff.extract(pages.limit(0)).count() == 0
 
 
