@@ -1,10 +1,14 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences at line ends and after sentence marks. From every sentence on,
-and back from every sentence, the shortest run of consecutive sentences with at least
+and back from every sentence, the shortest run of several consecutive sentences with at least
 WORDS words is hashed; runs in both directions cover a repeated passage to its last
-sentence. Hashes are counted over all texts, repeated runs meet their first occurrence
-(smallest doc_id, then place), and the sentences of every other one are removed.
+sentence. (A single sentence counts as several if it has twice as many words.) Hashes are
+counted over all texts, repeated runs meet their first occurrence (smallest doc_id, then
+place), and the sentences of every other one are removed.
+
+Runs are written once. What meets are 64 bits of a hash of 128; all 128 have to agree, so
+that no text goes because two runs share a key by chance.
 """
 
 from __future__ import annotations
@@ -17,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrilith.llm.common import id_and_text, materialise, strings
+from metrilith.llm.common import id_and_text, slices, strings
+from metrilith.operators.tables import Scratch, join_one
 
-#: Words of a run, at least.
-WORDS = 24
+#: Words of a run, at least; sentences of a run, at least; words of a sentence that is a run alone.
+WORDS, SENTENCES, ALONE = 24, 2, 48
 
 _END = re.compile(r"(?<=[.!?])\s+|\n")
-_RUN = "doc_id bigint, h bigint, first int, last int"
+_RUN = "doc_id bigint, h bigint, g bigint, first int, last int"
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -36,40 +41,46 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
-def runs(text: str, words: int = WORDS) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, last sentence) of all runs; hashes disregard case and white space."""
+def runs(text: str, words: int = WORDS, alone: int = ALONE) -> list[tuple[int, int, int, int]]:
+    """(two halves of a hash, first sentence, last sentence) of all runs; hashes disregard case and white space."""
     own = [text[a:b].lower().split() for a, b in sentences(text)]
     total = np.concatenate([[0], np.cumsum([len(w) for w in own])])
     if total[-1] < words:
         return []
     n = len(own)
-    ahead = np.searchsorted(total, total[:-1] + words, "left")  # one past the last sentence of the run from i
-    back = np.searchsorted(total, total[1:] - words, "right") - 1  # the first sentence of the run up to j
+    at = np.arange(n)
+    ahead = np.maximum(np.searchsorted(total, total[:-1] + words, "left"), at + SENTENCES)  # one past the last sentence of the run from i
+    back = np.minimum(np.searchsorted(total, total[1:] - words, "right") - 1, at + 1 - SENTENCES)  # the first sentence of the run up to j
     spans = {(i, int(e)) for i, e in enumerate(ahead) if e <= n} | {(int(s), j + 1) for j, s in enumerate(back) if s >= 0}
+    spans |= {(i, i + 1) for i, w in enumerate(own) if len(w) >= alone}
     joined = [" ".join(w) for w in own]
-    return [(xxhash.xxh64_intdigest(" ".join(joined[a:b])) - (1 << 63), a, b - 1) for a, b in sorted(spans)]
+    out = []
+    for a, b in sorted(spans):
+        x = xxhash.xxh3_128_intdigest(" ".join(joined[a:b]))
+        out.append(((x & _LOW) - (1 << 63), (x >> 64) - (1 << 63), a, b - 1))
+    return out
+
+
+_LOW = (1 << 64) - 1
 
 
-def repeated_runs(rows: DataFrame, words: int = WORDS) -> DataFrame:
+def repeated_runs(rows: DataFrame, kept: Scratch, words: int = WORDS, alone: int = ALONE) -> DataFrame:
     """(doc_id, first, last, first_doc) of every run that repeats an earlier one."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    names = [x.split()[0] for x in _RUN.split(", ")]
 
     def cut(batches):
-        for batch in batches:
-            ids, h, first, last = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")), strict=True):
-                for x, a, b in runs(text, words):
-                    ids.append(doc_id), h.append(x), first.append(a), last.append(b)
-                if len(ids) > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["doc_id", "h", "first", "last"])
-                    ids, h, first, last = [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["doc_id", "h", "first", "last"])
-
-    spans = rows.mapInArrow(cut, _RUN)
-    # only hashes and counts are shuffled for all runs; places only for those that repeat
-    often = spans.select("h").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    again = materialise(spans.join(often, "h", "left_semi"), "repeated-runs")
-    origin = again.groupBy("h").agg(F.min(F.struct("doc_id", "first", "last")).alias("o"))
-    met = again.join(origin, "h")
+        for batch in slices(batches):
+            found = [(doc_id, *x) for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")), strict=True) for x in runs(text, words, alone)]
+            columns = zip(*found, strict=True) if found else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    spans = kept.write(rows.mapInArrow(cut, _RUN), "runs")
+    often = kept.write(spans.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    again = kept.write(join_one(spans, often.select("h"), ["h"], "doc_id", "left_semi", counts=often), "repeated-runs")
+    kept.drop(spans, often)
+    origin = again.groupBy("h", "g").agg(F.min(F.struct("doc_id", "first", "last")).alias("o"))
+    met = join_one(again, origin, ["h", "g"], "doc_id")
     return met.filter(~F.struct("doc_id", "first", "last").eqNullSafe(F.col("o"))).select("doc_id", "first", "last", F.col("o.doc_id").alias("first_doc"))
 
 
@@ -84,10 +95,13 @@ def drop_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     """
     rows = id_and_text(docs, id_col, text_col)
     unique = rows.filter("doc_id is not null")
-    cut = repeated_runs(unique, words).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("cut"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
+    kept = Scratch(docs.sparkSession, "repeats")
+    found = repeated_runs(unique, kept, words, 2 * words)
+    # written, so that Spark knows its size when it chooses how to join
+    cut = kept.write(found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("cut"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")), "cut")
 
     def remove(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[str] = []
             total, gone = [], []
             for text, spans in zip(strings(batch.column("text")), batch.column("cut").to_pylist(), strict=True):

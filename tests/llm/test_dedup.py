@@ -168,23 +168,14 @@ def brute_repeats(rows, words):
     seen = {}
     for i in sorted(own):
         s = own[i]
-        for a in range(len(s)):
-            n = 0
-            for b in range(a, len(s)):
-                n += len(s[b])
-                if n >= words:
-                    break
+        spans = {(k, k) for k in range(len(s)) if len(s[k]) >= 2 * words}
+        enough = lambda a, b: b > a and sum(map(len, s[a : b + 1])) >= words
+        for k in range(len(s)):
             # the shortest runs from a sentence on and back from one
-            if n >= words:
-                seen.setdefault(tuple(sum(s[a : b + 1], [])), set()).add((i, a, b))
-        for b in range(len(s)):
-            n = 0
-            for a in range(b, -1, -1):
-                n += len(s[a])
-                if n >= words:
-                    break
-            if n >= words:
-                seen.setdefault(tuple(sum(s[a : b + 1], [])), set()).add((i, a, b))
+            spans |= {(k, b) for b in [next((b for b in range(k, len(s)) if enough(k, b)), None)] if b is not None}
+            spans |= {(a, k) for a in [next((a for a in range(k, -1, -1) if enough(a, k)), None)] if a is not None}
+        for a, b in spans:
+            seen.setdefault(tuple(sum(s[a : b + 1], [])), set()).add((i, a, b))
     gone = {i: set() for i in own}
     for places in seen.values():
         for i, a, b in sorted(places)[1:]:
@@ -211,3 +202,26 @@ def test_repeats_of_odd_texts(spark, odd_docs, no_docs):
     got = span_dedup.drop_repeats(odd_docs).collect()
     assert len(got) == odd_docs.count() and span_dedup.drop_repeats(no_docs).count() == 0
     assert all(r.text == "" for r in got if r.doc_id in (2, 3))
+
+
+def test_a_common_passage_is_dealt_out(spark, monkeypatch):
+    """A passage in a third of all documents is found whole when its rows are spread over parts."""
+    from metrilith.operators import tables
+
+    monkeypatch.setattr(tables, "SHARE", 8)
+    passage = "This passage stands in very many of the documents here. It goes on for more than a few words. And then it ends with these last words, after which the own text follows."
+    rows = [(k, f"Document {k} begins with words of its own. {passage if k % 3 == 0 else ''} It ends with words {k} {k * 7} of its own.") for k in range(6000)]
+    got = {r.doc_id: r for r in span_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0].n_removed == 0 and got[0].text == rows[0][1]
+    assert all(got[k].n_removed == 3 and got[k].first_docs == [0] and "passage" not in got[k].text for k in range(3, 6000, 3))
+    assert all(got[k].text == t for k, t in rows if k % 3)
+
+
+def test_halves_of_a_hash_that_agree_by_chance(spark, monkeypatch):
+    """Runs that share a key but not the whole hash leave each other alone."""
+    whole = span_dedup.xxhash.xxh3_128_intdigest
+    monkeypatch.setattr(span_dedup.xxhash, "xxh3_128_intdigest", lambda x: whole(x) >> 64 << 64)
+    texts = ["one two three four five six seven. eight nine ten eleven twelve", "a b c d e f g. h i j k l"]
+    assert [x[0] for t in texts for x in span_dedup.runs(t, 10)] and len({x[0] for t in texts for x in span_dedup.runs(t, 10)}) == 1
+    rows = spark.createDataFrame([(1, *span_dedup.runs(texts[0], 10)[0][:2]), (2, *span_dedup.runs(texts[1], 10)[0][:2])], "doc_id bigint, h bigint, g bigint")
+    assert rows.groupBy("h", "g").count().filter("count > 1").count() == 0 and rows.select("h").distinct().count() == 1
