@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 _OWN: list[str] = []
 #: Folders of tables that results may still read.
 _HELD: dict[str, SparkSession] = {}
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings that hold while a table is written: its shuffle files go with its end, and
+#: Python tasks get their rows in batches of at most a few megabytes.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: A key is frequent if it holds more than one in so many rows: there are always fewer such keys than this.
 SHARE = 1024
 
@@ -59,12 +61,15 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.tables)}"
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in _WRITING}
+        for k, v in _WRITING.items():
+            conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append(out)
         self.paths[id(out)] = path
