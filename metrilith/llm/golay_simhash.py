@@ -21,11 +21,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrilith.llm.common import id_and_text, materialise, utf8
+from metrilith.llm.common import id_and_text, slices, utf8
 from metrilith.operators.components import connected_components
+from metrilith.operators.tables import Scratch, join_one
 
 SEED = 42
 SHINGLE = 4
@@ -335,7 +336,7 @@ def _compare_blocks(most: int):
     return run
 
 
-def link_fingerprints(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
+def link_fingerprints(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK, kept: Scratch | None = None) -> DataFrame:
     """(u, v, tab) links over the distinct values of `fp` within each `tab`: two fingerprints are joined by a chain of them if a chain of steps of at most `most` bits joins them.
 
     `tab` (int) tells apart the fingerprints of several hash functions. Each task cuts its
@@ -343,6 +344,7 @@ def link_fingerprints(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK)
     """
     if most > MOST_BITS:
         raise ValueError(f"the keys find all links of at most {MOST_BITS} bits")
+    kept = kept or Scratch(fps.sparkSession, "links")
 
     def keys(batches):
         for batch in batches:
@@ -354,11 +356,11 @@ def link_fingerprints(fps: DataFrame, most: int = MOST_BITS, block: int = BLOCK)
                 yield pa.RecordBatch.from_arrays([pa.array(key | tab[who] << _TABLE), pa.array(fp[who].view(np.int64))], names=["key", "fp"])
 
     keyed = fps.select("fp", "tab").mapInArrow(keys, "key bigint, fp bigint")
-    links = materialise(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare(most, block), _EDGE_DDL), "links")
+    links = kept.write(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare(most, block), _EDGE_DDL), "links")
     big = links.filter("big is not null").select(F.col("big").alias("key")).distinct()
     out = links.filter("big is null").select("u", "v", "tab")
     if big.limit(1).count():
-        met = materialise(keyed.join(big, "key"), "big-groups")
+        met = kept.write(keyed.join(big, "key"), "big-groups")
         blocks = met.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
         dealt = met.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         dealt = dealt.select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -371,11 +373,8 @@ def simhash(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", tex
     """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a signed number."""
 
     def run(batches):
-        for batch in batches:
-            texts = utf8(batch.column("text"))
-            fp = np.empty(len(texts), np.uint64)
-            for a, b in _portions(texts):
-                fp[a:b] = fingerprints(texts[a:b], shingle)
+        for batch in slices(batches):
+            fp = fingerprints(utf8(batch.column("text")), shingle)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fp bigint")
@@ -390,58 +389,87 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
     linked like any other. Rows with a null id take part and can't name a component; one
     of such rows alone has none. Repeated rows give a row each.
     """
-    prints = materialise(simhash(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    comps = connected_components(link_fingerprints(nodes.withColumn("tab", F.lit(0)), most))
-    linked = comps.join(nodes.withColumnRenamed("fp", "node"), "node")
+    kept = Scratch(docs.sparkSession, "near-duplicates")
+    prints = kept.write(simhash(docs, shingle, id_col, text_col), "fingerprints")
+    nodes = kept.write(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    comps = connected_components(link_fingerprints(nodes.withColumn("tab", F.lit(0)), most, kept=kept))
+    linked = kept.write(comps.join(nodes.withColumnRenamed("fp", "node"), "node"), "linked")
     least = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = linked.join(least, "component").select(F.col("node").alias("fp"), "component_id")
+    named = join_one(linked, least, ["component"], "node").select(F.col("node").alias("fp"), "component_id")
     labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_one(prints, labels, ["fp"], "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: For similarity on shingles of five words: words in a shingle of the fingerprints that
 #: propose pairs, and the number of such fingerprints.
-PROPOSING, TABLES = 2, 8
+PROPOSING, TABLES = 2, 4
 #: Counters of how often shingles occur; they decide how many pairs are compared, not which are found.
 COUNTERS = 22
+#: Least and most bits of a text's sketch, which tell whether an odd number of its shingles falls on each.
+SKETCH, SKETCH_MOST = 1 << 10, 1 << 16
+#: Words of 64 bits in a brief sketch, which every member of a key carries.
+BRIEF = 8
+
+
+def _sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; none for a text without words."""
+    out = [np.zeros(0, np.uint64)] * len(texts)
+    words = _words(texts)
+    if any(words):
+        s = Shingles(words, shingle)
+        hashes = np.concatenate([h for *_, h in s.portions()])
+        for k, x, y in zip(s.full.tolist(), s.edge[:-1], s.edge[1:], strict=True):
+            out[k] = np.unique(hashes[x:y])
+    return out
+
 
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """Bits of a set, at least as many as it has members: two sets differ in at least as many members as their sketches do in bits."""
+    bits = min(max(SKETCH, 1 << (len(own) - 1).bit_length()), SKETCH_MOST) if len(own) else SKETCH
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
-def _portions(texts: list[bytes], size: int = 1 << 20):
-    start = held = 0
-    for k, text in enumerate(texts):
-        held += len(text)
-        if held > size or k + 1 == len(texts):
-            yield start, k + 1
-            start, held = k + 1, 0
 
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two sketches differ, the longer one folded to the other's length; twice as long at most."""
+    n = F.least(F.size(a), F.size(b))
+    fold = lambda x: F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
 
-def _sets(texts: list[bytes], shingle: int):
-    """(position, sorted distinct shingle hashes) of the texts that have words."""
-    for a, b in _portions(texts):
-        s = Shingles(_words(texts[a:b]), shingle)
-        hashes = np.concatenate([h for *_, h in s.portions()] or [np.zeros(0, np.uint64)])
-        for k, (x, y) in enumerate(zip(s.edge[:-1], s.edge[1:], strict=True)):
-            yield a + int(s.full[k]), np.unique(hashes[x:y])
 
+_PRINT = "doc_id bigint, node bigint, fps array<bigint>, size int, sketch array<bigint>, brief array<bigint>, slots array<int>, times array<int>"
 
-def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counters (upper bits of hashes) that stand out within some task, and their sums."""
+
+def _printed(rows: DataFrame, tables: int, shingle: int) -> DataFrame:
+    """For each row its fingerprints, the size of its shingle set and the set's sketch; for each task one row of counters (upper bits of hashes) that stand out in it."""
 
     def run(batches):
-        n = np.zeros(1 << COUNTERS, np.int64)
-        for batch in batches:
+        n = np.zeros(1 << COUNTERS, np.int32)
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+        names = [x.split()[0] for x in _PRINT.split(", ")]
+        for batch in slices(batches):
             texts = utf8(batch.column("text"))
-            for a, b in _portions(texts):
-                for *_, h in Shingles(_words(texts[a:b]), shingle).portions():
-                    slot, times = np.unique(h >> np.uint64(64 - COUNTERS), return_counts=True)
-                    n[slot.astype(np.int64)] += times
+            own = _sets(texts, shingle)
+            for x in own:  # distinct within a text
+                slot, times = np.unique((x >> np.uint64(64 - COUNTERS)).astype(np.int32), return_counts=True)
+                n[slot] += times.astype(np.int32)
+            fps = fingerprints(texts, PROPOSING, tables).reshape(tables, -1).T.view(np.int64)
+            none = pa.nulls(len(texts), ints)
+            sketch = [_sketch(x) for x in own]
+            brief = [np.bitwise_xor.reduce(x.reshape(-1, BRIEF), axis=0) for x in sketch]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(list(fps), longs), pa.array([len(x) for x in own], pa.int32()), pa.array(sketch, longs), pa.array(brief, longs), none, none], names=names)
         mean = n.mean()
-        out = np.flatnonzero(n > mean + 4 * np.sqrt(mean) + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(out.astype(np.int32)), pa.array(n[out])], names=["slot", "n"])
+        out = np.flatnonzero(n > mean + 4 * np.sqrt(mean) + 2).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, longs), pa.nulls(1, pa.int32()), pa.nulls(1, longs), pa.nulls(1, longs), pa.array([out], ints), pa.array([n[out]], ints)], names=names)
+
+    return rows.mapInArrow(run, _PRINT)
 
-    found = rows.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    return found.column("slot").to_numpy(), found.column("n").to_numpy()
+
+def _frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counters that stand out within some task, and their sums: at most 2^COUNTERS numbers."""
+    each = found.filter("slots is not null").select(F.explode(F.arrays_zip("slots", "times")).alias("x"))
+    out = each.groupBy(F.col("x.slots").alias("slot")).agg(F.least(F.sum(F.col("x.times").cast("bigint")), F.lit(1 << 30)).cast("int").alias("n")).toArrow()
+    return out.column("slot").to_numpy(), out.column("n").to_numpy()
 
 
 def _shared(batches):
@@ -464,49 +492,46 @@ def _shared(batches):
         held = last.set_column(last.schema.get_field_index("joined"), "joined", pa.array([bool(before[-1])]))
 
 
-def rare_first(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def rare_first(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float, shingle: int) -> DataFrame:
     """(key, node, size, pos): each text's rarest shingles, where another text has them among its rarest too.
 
     Two sets with a Jaccard similarity of `similarity` always share one of the first
     `size - similarity * size + 1` members of each, in whatever order, if it is one for
     all texts. By counters, rare ones come first here, so that few other texts share them.
     """
-    slots, times = _frequent(rows, shingle)
+    slots, times = frequent
 
     def run(batches):
-        often = np.zeros(1 << COUNTERS, np.int64)
+        often = np.zeros(1 << COUNTERS, np.int32)
         often[slots] = times
         seen: set[int] = set()
-        for batch in batches:
-            texts = utf8(batch.column("text"))
-            node = _nodes(texts)
+        for batch in slices(batches):
+            node = batch.column("node").to_pylist()
             out = []
-            for k, own in _sets(texts, shingle):
-                if (x := int(node[k])) in seen:
+            for x, own in zip(node, _sets(utf8(batch.column("text")), shingle), strict=True):
+                if x in seen or not len(own):
                     continue
                 seen.add(x)
                 order = np.lexsort((own, often[(own >> np.uint64(64 - COUNTERS)).astype(np.int64)]))
                 first = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1
-                out.append((own[order[:first]].view(np.int64), node[k : k + 1].view(np.int64), len(own)))
+                out.append((own[order[:first]].view(np.int64), x, len(own)))
             if out:
                 sizes = np.asarray([len(x[0]) for x in out])
                 pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                columns = [np.concatenate([x[0] for x in out]), np.repeat(np.concatenate([x[1] for x in out]), sizes), np.repeat([x[2] for x in out], sizes).astype(np.int32), pos.astype(np.int32)]
+                columns = [np.concatenate([x[0] for x in out]), np.repeat(np.asarray([x[1] for x in out], np.int64), sizes), np.repeat([x[2] for x in out], sizes).astype(np.int32), pos.astype(np.int32)]
                 yield from pa.Table.from_arrays([*map(pa.array, columns), pa.array(np.zeros(len(pos), bool))], names=["key", "node", "size", "pos", "joined"]).to_batches(1 << 16)
 
     schema = "key bigint, node bigint, size int, pos int, joined boolean"
-    found = rows.select("text").mapInArrow(run, schema)
+    found = rows.select("node", "text").mapInArrow(run, schema)
     return found.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, schema).drop("joined")
 
 
-def _nodes(texts: list[bytes]) -> np.ndarray:
-    """A hash of each text without case and runs of white space."""
-    node = np.zeros(len(texts), np.uint64)
-    for a, b in _portions(texts):
-        whole = [b" ".join(w) for w in _words(texts[a:b])]
-        size = np.asarray([len(w) for w in whole], np.int64)
-        node[a:b] = xxh64(b"".join(whole), np.cumsum(size) - size, size)
-    return node
+def node_of(text: Column) -> Column:
+    """The same number for copies; texts without words are copies of each other.
+
+    Of 10^10 different texts two or three are expected to share a number by chance.
+    """
+    return F.xxhash64(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(""))
 
 
 def _may_reach(similarity: float, a: str, b: str):
@@ -516,14 +541,14 @@ def _may_reach(similarity: float, a: str, b: str):
     return most >= similarity * (s + t - most) - 1e-6
 
 
-def _unequal(entries: DataFrame, comps: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _unequal(entries: DataFrame, comps: DataFrame, turn: int, kept: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows with their components, and the keys in which several meet: members, those of the largest component, a hub that changes by turn."""
     at = entries.join(comps, "node", "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("comp"))
-    at = materialise(at, "entries")
+    at = kept.write(at, "entries")
     hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "pos", "comp")).alias("hub")
     groups = at.groupBy("key", "comp").agg(F.count("*").alias("n"), hub)
     keys = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.min("hub").alias("hub")).filter("n > top")
-    return at, materialise(keys, "keys")
+    return at, kept.write(keys, "keys")
 
 
 def _hub_pairs(at: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
@@ -532,20 +557,24 @@ def _hub_pairs(at: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
     return met.filter((F.col("x.comp") != F.col("hub.comp")) & _may_reach(similarity, "x", "hub")).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b"))
 
 
-def _all_pairs(at: DataFrame, keys: DataFrame, similarity: float, block: int) -> DataFrame:
-    """All pairs of a key that lie in different components; one of them always lies outside the key's largest one."""
+def _all_pairs(at: DataFrame, keys: DataFrame, nodes: DataFrame, similarity: float, block: int) -> DataFrame:
+    """The pairs of a key that lie in different components and that brief sketches don't rule out; one of a pair always lies outside the key's largest component."""
     blocks = F.ceil((F.col("n") - F.col("top")) / block).cast("int")
-    met = at.join(keys.select("key", "major", blocks.alias("blocks")), "key")
-    met = met.select("key", "blocks", F.struct("node", "size", "pos", "comp", (F.col("comp") != F.col("major")).alias("minor")).alias("x"))
+    brief = nodes.select("node", *(F.get("brief", F.lit(k)).alias(f"s{k}") for k in range(BRIEF)))
+    met = at.join(keys.select("key", "major", blocks.alias("blocks")), "key").join(brief, "node")
+    met = met.select("key", "blocks", F.struct("node", "size", "pos", "comp", (F.col("comp") != F.col("major")).alias("minor"), *(f"s{k}" for k in range(BRIEF))).alias("x"))
     first = met.filter("x.minor").select("key", F.pmod(F.xxhash64("x.node"), "blocks").cast("int").alias("block"), F.col("x").alias("p"))
     second = met.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("x").alias("q"))
     once = ~F.col("q.minor") | (F.col("p.node") < F.col("q.node"))
-    pairs = first.join(second, ["key", "block"]).filter((F.col("p.comp") != F.col("q.comp")) & once & _may_reach(similarity, "p", "q"))
+    total = F.col("p.size") + F.col("q.size")
+    differ = sum((F.bit_count(F.col(f"p.s{k}").bitwiseXOR(F.col(f"q.s{k}"))) for k in range(BRIEF)), F.lit(0))
+    alike = (total - differ) / 2 >= similarity * (total - (total - differ) / 2) - 1e-6
+    pairs = first.join(second, (first["key"] == second["key"]) & (first["block"] == second["block"]) & (F.col("p.comp") != F.col("q.comp")) & once & _may_reach(similarity, "p", "q") & alike)
     return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK >> 3) -> DataFrame:
-    """(doc_id, component_id) of every row: texts joined by chains of pairs whose sets of five-word shingles have a Jaccard similarity of at least `similarity`.
+    """(doc_id, node, component_id, first) of every row with an id: texts joined by chains of pairs whose sets of five-word shingles have a Jaccard similarity of at least `similarity`.
 
     Fingerprints of five-word shingles differ in far more than four bits at that
     similarity, so pairs are proposed by several fingerprints of word pairs, linked at four
@@ -553,68 +582,89 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t
     sets. That joins most copies early, but misses pairs; the rest are proposed by
     `rare_first`, which misses none: keys in which several components meet compare a hub
     with all others and are looked at again while that joins many, and at last every pair
-    of a key that lies in different components is compared. Texts that agree but for case
-    and white space are one node. Null, empty and wordless texts are alike. component_id
-    is the smallest doc_id of a component.
-    """
+    of a key that lies in different components is compared. Sketches rule out most
+    proposals before that: sets whose sketches differ in too many bits can't be alike.
 
-    def prints(batches):
-        for batch in batches:
-            texts = utf8(batch.column("text"))
-            fp = np.zeros((len(texts), tables), np.uint64)
-            for a, b in _portions(texts):
-                fp[a:b] = fingerprints(texts[a:b], PROPOSING, tables).reshape(tables, -1).T
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_nodes(texts).view(np.int64)), pa.array(list(fp.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "node", "fps"])
+    Copies are one node. Null, empty and wordless texts are alike. component_id is the
+    smallest doc_id of a component, and `first` marks the rows of its smallest (doc_id,
+    node). Rows that share an id but not a text are texts of their own; rows without
+    an id take no part and aren't returned.
+    """
+    if similarity < 0.5:
+        raise ValueError("sketches are compared down to a similarity of 0.5")
+    kept = Scratch(docs.sparkSession, "similar-groups")
 
     def sets(batches):
-        for batch in batches:
-            own: list = [[] for _ in range(batch.num_rows)]
-            for k, x in _sets(utf8(batch.column("text")), shingle):
-                own[k] = x.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
+        for batch in slices(batches):
+            own = _sets(utf8(batch.column("text")), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["node", "own"])
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs that their sketches don't rule out."""
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = both.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
+        common = (F.col("na") + F.col("nb") - _differing("sa", "sb")) / 2
+        return both.filter(common >= similarity * (F.col("na") + F.col("nb") - common) - 1e-6).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b")
+        """Pairs whose whole sets are alike; only their texts are read into sets."""
+        pairs = kept.write(likely(pairs), "likely")
+        # written, so that Spark knows its size when it chooses how to join
+        involved = kept.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("low").alias("doc_id"), "node"), "involved")
+        texts = rows.join(involved, ["doc_id", "node"], "left_semi").select("node", "text")
+        # rows that agree in id and text count once
+        own = kept.write(texts.mapInArrow(sets, "node bigint, own array<bigint>").groupBy("node").agg(F.first("own").alias("own")), "sets")
+        both = join_one(pairs, own.select(F.col("node").alias("a"), F.col("own").alias("sa")), ["a"], "b")
+        both = join_one(both, own.select(F.col("node").alias("b"), F.col("own").alias("sb")), ["b"], "a", counts=pairs.groupBy("b").agg(F.count("*").alias("n")))
         common = F.size(F.array_intersect("sa", "sb"))
-        alike = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n")).filter(F.col("c") >= similarity * (F.col("n") - F.col("c")))
-        return materialise(alike.select("a", "b"), "alike")
+        alike = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n")).filter(F.col("c") >= similarity * (F.col("n") - F.col("c")) - 1e-6)
+        out = kept.write(alike.select("a", "b"), "alike")
+        kept.drop(pairs, involved, own)
+        return out
 
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    rows = id_and_text(docs, id_col, text_col)
-    found = materialise(rows.mapInArrow(prints, "doc_id bigint, node bigint, fps array<bigint>"), "fingerprints")
-    nodes = materialise(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("fps").alias("fps")), "nodes")
-    each = nodes.select("node", F.posexplode("fps").alias("tab", "fp"))
-    reps = materialise(each.groupBy("tab", "fp").agg(F.min("node").alias("rep")), "representatives")
-    links = link_fingerprints(reps)
+    rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", node_of(F.col("text")).alias("node"), "text")
+    found = kept.write(_printed(rows, tables, shingle), "fingerprints")
+    frequent, found = _frequent(found), found.filter("doc_id is not null")
+    nodes = kept.write(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("fps").alias("fps"), F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("brief").alias("brief")), "nodes")
+    each = kept.write(nodes.select("node", F.posexplode("fps").alias("tab", "fp")), "each")
+    reps = kept.write(each.groupBy("tab", "fp").agg(F.min("node").alias("rep")), "representatives")
+    links = link_fingerprints(reps, kept=kept)
     first = reps.select("tab", F.col("fp").alias("u"), F.col("rep").alias("a"))
     second = reps.select("tab", F.col("fp").alias("v"), F.col("rep").alias("b"))
     pairs = links.join(first, ["tab", "u"]).join(second, ["tab", "v"]).select("a", "b")
-    same = each.join(reps, ["tab", "fp"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    tested = materialise(pairs.union(same).filter("a != b").select(*ordered).distinct(), "pairs")
-    entries = materialise(rare_first(rows, similarity, shingle), "rare-first")
-    involved = tested.select(F.explode(F.array("a", "b")).alias("node")).union(entries.select("node")).distinct().join(nodes, "node").select("node", F.col("low").alias("doc_id"))
-    texts = rows.join(involved, "doc_id").select("node", "text")
-    shingles = materialise(texts.mapInArrow(sets, "node bigint, own array<bigint>").groupBy("node").agg(F.first("own").alias("own")), "shingles")
+    same = join_one(each, reps, ["tab", "fp"], "node").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    tested = kept.write(pairs.union(same).filter("a != b").select(*ordered).distinct(), "pairs")
+    kept.drop(each, reps)
     alike = confirmed(tested)
+    entries = kept.write(rare_first(rows, frequent, similarity, shingle), "rare-first")
     left = None
     for turn in itertools.count():
-        entries, keys = _unequal(entries, connected_components(alike, "a", "b"), turn)
+        before_turn = entries
+        entries, keys = _unequal(entries, connected_components(alike, "a", "b"), turn, kept)
+        kept.drop(before_turn)
         before = left
         left, members = keys.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - F.col("top"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not left:
             break
         # hubs go on only while they at least halve what would be compared
         whole = left <= 4 * members or (before is not None and 2 * left > before)
-        new = _all_pairs(entries, keys, similarity, block) if whole else _hub_pairs(entries, keys, similarity)
-        new = materialise(new.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = _all_pairs(entries, keys, nodes, similarity, block) if whole else _hub_pairs(entries, keys, similarity)
+        new = kept.write(new.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         alike = alike.union(confirmed(new))
         if whole:
             break
         tested = tested.union(new)
-        entries = entries.join(keys, "key", "left_semi").drop("comp")
+        last = entries
+        entries = kept.write(entries.join(keys, "key", "left_semi").drop("comp"), "entries")
+        kept.drop(last, keys)
     comps = connected_components(alike, "a", "b")
-    linked = comps.join(nodes.select("node", "low"), "node")
-    least = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = linked.join(least, "component").select("node", "component_id")
-    labels = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
-    return found.select("doc_id", "node").join(labels, "node").select("doc_id", "component_id")
+    linked = kept.write(comps.join(nodes.select("node", "low"), "node"), "linked")
+    least = linked.groupBy("component").agg(F.min(F.struct(F.col("low"), F.col("node").alias("of"))).alias("least"))
+    named = join_one(linked, least, ["component"], "node").select("node", "least")
+    own = F.struct(F.col("low"), F.col("node").alias("of"))
+    labels = nodes.join(named, "node", "left").select("node", F.coalesce("least", own).alias("least"))
+    out = kept.write(join_one(found.select("doc_id", "node"), labels, ["node"], "doc_id").select("doc_id", "node", F.col("least.low").alias("component_id"), ((F.col("doc_id") == F.col("least.low")) & (F.col("node") == F.col("least.of"))).alias("first")), "groups")
+    kept.drop(*(x for x in kept.tables if x is not out))
+    return out
