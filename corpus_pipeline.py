@@ -18,7 +18,10 @@ _OWN = "__pipeline_{}__"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject (score of at least 0.3)."""
+    """Documents that the classifier doesn't reject (score of at least 0.3).
+
+    Each row is scored by its own text; a null text is scored like an empty one.
+    """
     score = _OWN.format("score")
     model = gam_quality.train(docs, table(spark, sf_dir, "labels"))
     return gam_quality.score(docs, model, out=score).filter(F.col(score) >= 0.3).drop(score)
@@ -27,21 +30,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Rows without an id can't be told apart and stay; of rows that share an id one stays.
+    Rows without an id can't be told apart and stay. Rows that share an id but not a text
+    are documents of their own; of rows that share both one stays. Null, empty and
+    wordless texts are copies of each other.
     """
-    kept = golay_simhash.similar_groups(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = _OWN.format("node")
+    named = docs.filter("doc_id is not null").withColumn(own, golay_simhash.node_of(F.col("text")))
+    kept = golay_simhash.similar_groups(docs).filter("first").select("doc_id", F.col("node").alias(own))
+    named = named.join(kept, ["doc_id", own], "left_semi").dropDuplicates(["doc_id", own])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
-    bad = wu_manber.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a passage of a benchmark item.
+
+    Each row is judged by its own text, whatever its id; null and empty texts have no
+    words and stay.
+    """
+    hits = _OWN.format("hits")
+    return wu_manber.with_hits(docs, table(spark, sf_dir, "benchmark"), out=hits).filter(F.col(hits) == 0).drop(hits)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with personal data in its text replaced by its kind; n_chars follows where a text changed."""
+    """Every document, with personal data in its text replaced by its kind; n_chars follows where a text changed.
+
+    Null and empty texts hold none and stay as they are.
+    """
     own = _OWN.format("spans")
     text = F.col("text")
     found = docs.withColumn(own, pii.spans(text))
