@@ -18,12 +18,12 @@ from __future__ import annotations
 import itertools
 import os
 import re
-from collections import Counter
 
 import numpy as np
 
-#: Pieces in a worker's cache above which only those stay that the last texts held twice or more.
-CACHE_PIECES = 150_000
+#: Pieces that stay in a worker's cache, the first that it met, as frequent ones come early; up
+#: to twice as many are held during a task. Ten thousand take about three megabytes.
+CACHE_PIECES = 400_000
 
 _RUN = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -44,6 +44,7 @@ class PieceEncoder:
         self.led = cut == "lead_space"
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.most = CACHE_PIECES
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -84,17 +85,18 @@ class PieceEncoder:
             coded = self.tokenizer.encode_batch_fast(list(plain.values()), add_special_tokens=False)
             known.update((p, np.asarray(e.ids, self.dtype).tobytes()) for p, e in zip(plain, coded, strict=True))
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        if len(known) > CACHE_PIECES:
-            self.known = {p: known[p] for p, n in Counter(itertools.chain.from_iterable(cut)).items() if n > 1}
+        if len(known) > 2 * self.most:
+            self.trim()
         return out
 
-    def clear(self) -> None:
-        """Forget all pieces; a worker that waits for its next task holds the vocabulary alone."""
-        self.known = {}
+    def trim(self) -> None:
+        """Forget all but the first pieces: during a task when they grow too many, and when it has ended."""
+        self.known = dict(itertools.islice(self.known.items(), self.most))
 
 
-def encoder(path: str, cut: str) -> PieceEncoder:
-    """This worker's encoder for a vocabulary file."""
+def encoder(path: str, cut: str, cache: int = CACHE_PIECES) -> PieceEncoder:
+    """This worker's encoder for a vocabulary file, with a cache of `cache` pieces."""
     if (path, cut) not in _ENCODERS:
         _ENCODERS[path, cut] = PieceEncoder(path, cut)
+    _ENCODERS[path, cut].most = cache
     return _ENCODERS[path, cut]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrilith.llm.bpe import encoder
+from metrilith.llm.bpe import CACHE_PIECES, encoder
 from metrilith.llm.common import id_and_text, slices, strings
 from metrilith.operators.tables import Scratch
 
@@ -33,7 +33,7 @@ _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 _PLACED = _PIECE + ", row bigint, sequence_id bigint, offset bigint, room int, bins int, bound int"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, cut: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, cut: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_PIECES) -> DataFrame:
     """Tokenise whole texts, append `end_id`, cut what is longer than `capacity`.
 
     All pieces of a cut document but the first have `capacity` ids. A null or empty text
@@ -41,7 +41,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, cut: str, end_id: int, capacity:
     """
 
     def pieces(batches):
-        enc = encoder(tokenizer, cut)
+        enc = encoder(tokenizer, cut, cache)
         end = np.asarray([end_id], enc.dtype).tobytes()
         for batch in slices(batches):
             rows: list[tuple] = []
@@ -51,7 +51,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, cut: str, end_id: int, capacity:
                 rows += ((doc_id, k, s, e - s, zlib.crc32(ids[s:e].tobytes())) for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False)))
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        enc.clear()
+        enc.trim()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(pieces, _PIECE)
 
@@ -173,6 +173,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, cut: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, cut: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_PIECES) -> DataFrame:
     """Tokenise, cut and pack whole documents."""
-    return pack(cut_pieces(docs, tokenizer, cut, end_id, capacity, id_col, text_col), capacity)
+    return pack(cut_pieces(docs, tokenizer, cut, end_id, capacity, id_col, text_col, cache), capacity)

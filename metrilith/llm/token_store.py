@@ -132,7 +132,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, cut: str, end_id: in
                 held += len(ids[-1]) // width
                 if held >= BLOCK_IDS or len(ids) >= BLOCK_DOCS:
                     yield close()
-        enc.clear()
+        enc.trim()
         if ids:
             yield close()
 
