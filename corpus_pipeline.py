@@ -65,7 +65,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, placed in sequences of 2048 tokens."""
-    found = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), "lead_space", 0)
+    # a smaller cache of pieces: the workers have held the stages before
+    found = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), "lead_space", 0, cache=80_000)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
