@@ -60,9 +60,9 @@ def uniform(key):
 
 @register(
     "a15_a16_paired_bootstrap",
-    f"WITH {MEASURES}, s AS (SELECT source, avg(abs(err)) FILTER (status='O') - avg(abs(err)) FILTER (status='F') AS diff FROM m GROUP BY 1), u AS (SELECT i AS round_no, diff, {UNIFORM.format(chr(39) + '2026:' + chr(39) + '||source||' + chr(39) + ':' + chr(39) + '||i')} AS u FROM s, range(200) r(i) WHERE diff IS NOT NULL), w AS (SELECT round_no, diff, CASE {' '.join(f'WHEN u<{p:.8f} THEN {k}' for k, p in enumerate(POISSON))} ELSE 6 END AS w FROM u), b AS (SELECT round_no, sum(diff*w)/nullif(sum(w),0) AS mean FROM w GROUP BY 1) SELECT (SELECT count(diff) FROM s) AS pairs, (SELECT round(avg(diff),4) FROM s) AS mean, round(quantile_cont(mean,0.025),4) AS low, round(quantile_cont(mean,0.975),4) AS high FROM b",
+    f"WITH {MEASURES}, s AS (SELECT source, avg(abs(err)) FILTER (status='O') - avg(abs(err)) FILTER (status='F') AS diff FROM m GROUP BY 1), u AS (SELECT i AS round_no, diff, {UNIFORM.format(chr(39) + '2026:' + chr(39) + '||source||' + chr(39) + ':' + chr(39) + '||i')} AS u FROM s, range(10000) r(i) WHERE diff IS NOT NULL), w AS (SELECT round_no, diff, CASE {' '.join(f'WHEN u<{p:.8f} THEN {k}' for k, p in enumerate(POISSON))} ELSE 6 END AS w FROM u), b AS (SELECT round_no, sum(diff*w)/nullif(sum(w),0) AS mean FROM w GROUP BY 1) SELECT (SELECT count(diff) FROM s) AS pairs, (SELECT round(avg(diff),4) FROM s) AS mean, round(quantile_cont(mean,0.025),4) AS low, round(quantile_cont(mean,0.975),4) AS high FROM b",
 )
-def a15(spark, d, rounds: int = 200):
+def a15(spark, d, rounds: int = 10_000):
     """Mean paired difference of sequences and the 95 % interval of its resamples.
 
     Each sequence counts in each round as often as a Poisson variable of mean one, so a
