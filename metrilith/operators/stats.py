@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrilith.operators.tables import Scratch
+
 
 def mae(e: Column) -> Column:
     return F.avg(F.abs(e))
@@ -30,14 +32,15 @@ def pearson(x: Column, y: Column) -> Column:
 def with_ranks(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Average ranks of numeric `cols` within `by`, as rank_<col>: equal values share the mean of their places.
 
-    Rows with a null or NaN in one of the columns go.
+    Rows with a null or NaN in one of the columns, or a null key, go and take no part in any rank.
     """
     for c in cols:
-        v = F.col(c)
-        df = df.filter(v.isNotNull() & ~F.isnan(v.cast("double")))
+        df = df.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    out = df
+    for c in cols:
         place = running(df.groupBy(*by, c).agg(F.count("*").alias("__n")), by, c, "__n")
-        df = df.join(place.select(*by, c, (F.col("upto") - (F.col("__n") - 1) / 2).alias(f"rank_{c}")), [*by, c])
-    return df
+        out = out.join(place.select(*by, c, (F.col("upto") - (F.col("__n") - 1) / 2).alias(f"rank_{c}")), [*by, c])
+    return out
 
 
 def sweep(df: DataFrame, grid: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
@@ -53,32 +56,38 @@ def confusion(df: DataFrame, truth: str, guess: str, labels: Sequence) -> DataFr
     return out.select(truth, *(F.col(f"`{x}`").alias(f"n_{x}") for x in labels))
 
 
-def _cells(rows: DataFrame, by: Sequence[str], value: str, weight: str) -> tuple[DataFrame, DataFrame]:
+def _cells(rows: DataFrame, by: Sequence[str], value: str, weight: str, then: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Rows with a cell number __c, and each cell's weight __s, the weight before it and of its whole key.
 
-    Approximate quantiles cut a key's values into 256 cells: a cell is found by 15 coarse and
-    15 fine comparisons. Only the cells' sums, at most 256 for a key, meet in one place.
+    One range sort by key, value and `then` cuts all rows into partitions of like size, whose numbers are
+    the cells. The rows are written, so both tables see the same cuts. Only sums, one for each
+    cell and key, meet in one place: at most as many for a key as there are partitions.
     """
-    edges = rows.groupBy(*by).agg(F.percentile_approx(value, [k / 256 for k in range(1, 256)], 5000).alias("__e"))
-    keyed = rows.join(edges, list(by)) if by else rows.crossJoin(F.broadcast(edges))  # one row without keys
-    below = lambda places: sum(((F.get("__e", k) < F.col(value)).cast("int") for k in places), F.lit(0))
-    keyed = keyed.withColumn("__k", below(F.lit(16 * k + 15) for k in range(15)))
-    rows = keyed.withColumn("__c", F.col("__k") * 16 + below(F.col("__k") * 16 + k for k in range(15))).drop("__e", "__k")
+    cut = rows.repartitionByRange(*by, value, *then).withColumn("__c", F.spark_partition_id())
+    rows = Scratch(rows.sparkSession, "places").write(cut, "rows")
     w = Window.partitionBy(*by)
     sizes = rows.groupBy(*by, "__c").agg(F.sum(weight).alias("__s"))
     before = F.coalesce(F.sum("__s").over(w.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows, sizes.withColumn("__before", before).withColumn("__all", F.sum("__s").over(w))
 
 
+def _with_sizes(rows: DataFrame, sizes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows beside the sums of their cell; a null key is a key."""
+    sizes = sizes.select(*(F.col(c).alias(f"__key_{i}") for i, c in enumerate(by)), F.col("__c").alias("__cell"), "__s", "__before", "__all")
+    same = [F.col(c).eqNullSafe(F.col(f"__key_{i}")) for i, c in enumerate(by)]
+    joined = rows.join(sizes, [*same, F.col("__c") == F.col("__cell")])
+    return joined.drop("__cell", *(f"__key_{i}" for i in range(len(by))))
+
+
 def running(rows: DataFrame, by: Sequence[str], value: str, weight: str, then: Sequence[str] = ()) -> DataFrame:
     """Adds upto, the sum of weights up to and with each row in the order of value and `then`, and total, that of its key.
 
     A key may hold any number of rows: sums run inside cells of neighbouring values. Rows
     with equal places share no order; values must be numbers, neither null nor NaN.
     """
-    rows, sizes = _cells(rows, by, value, weight)
+    rows, sizes = _cells(rows, by, value, weight, then)
     w = Window.partitionBy(*by, "__c").orderBy(value, *then).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(sizes, [*by, "__c"]).withColumn("upto", F.sum(weight).over(w) + F.col("__before"))
+    out = _with_sizes(rows, sizes, by).withColumn("upto", F.sum(weight).over(w) + F.col("__before"))
     return out.withColumnRenamed("__all", "total").drop("__c", "__s", "__before")
 
 
@@ -96,7 +105,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, at: dict[str, float]
     inside = lambda c: ((c >= F.col("__before")) & (c < F.col("__before") + F.col("__s"))).cast("int")
     needed = sizes.filter(F.greatest(*map(inside, places)) > 0)
     last = F.sum("__n").over(Window.partitionBy(*by, "__c").orderBy("__v")) + F.col("__before")
-    ranked = rows.join(needed, [*by, "__c"]).withColumn("__last", last).withColumn("__first", F.col("__last") - F.col("__n"))
+    ranked = _with_sizes(rows, needed, by).withColumn("__last", last).withColumn("__first", F.col("__last") - F.col("__n"))
     here = lambda c: F.max(F.when((c >= F.col("__first")) & (c < F.col("__last")), F.col("__v")))
     out = []
     for n, s in spot.items():

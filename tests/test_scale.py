@@ -41,6 +41,15 @@ def test_running_sums(spark, values):
     assert (got.groupby("k").total.first() == 2 * values.groupby("k").size()).all()
 
 
+def test_null_keys_are_keys_and_rows_that_go_take_no_part(spark):
+    df = spark.createDataFrame([(None, 1.0, 5.0), (None, 3.0, 6.0), ("a", 1.0, None), ("a", 2.0, 7.0)], "k string, v double, u double")
+    got = {r.k: r.mid for r in stats.quantiles(df, ["k"], "v", {"mid": 0.5}).collect()}
+    assert got == {None: 2.0, "a": 1.5}
+    sums = stats.running(df.withColumn("w", F.lit(1)), ["k"], "v", "w").collect()
+    assert sorted((str(r.k), r.upto, r.total) for r in sums) == [("None", 1, 2), ("None", 2, 2), ("a", 1, 2), ("a", 2, 2)]
+    assert [(r.rank_v, r.rank_u) for r in stats.with_ranks(df, ["k"], ["v", "u"]).collect()] == [(1.0, 1.0)]
+
+
 def test_ranks_of_ties(spark, values):
     got = stats.with_ranks(spark.createDataFrame(values), ["k"], ["v"]).toPandas()
     want = values.assign(rank_v=values.groupby("k").v.rank())
