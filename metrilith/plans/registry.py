@@ -32,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from metrilith.plans import choices, decisions, errors, fixtures, selections, series, summaries  # noqa: F401
+    from metrilith.plans import choices, decisions, errors, fixtures, reports, selections, series, summaries  # noqa: F401
