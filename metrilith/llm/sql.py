@@ -46,3 +46,26 @@ a AS (SELECT doc_id, email.v AS e, ip.v AS i, card.v AS c, phone.v AS p
       FROM email JOIN ip USING (doc_id) JOIN card USING (doc_id) JOIN phone USING (doc_id))
 SELECT doc_id, len(e)::BIGINT AS n_email, len(i)::BIGINT AS n_ip, len(c)::BIGINT AS n_card, len(p)::BIGINT AS n_phone,
 sha256(array_to_string(list_transform(list_sort(list_concat({_ALL})), lambda x: ['email','ip','card','phone'][x.k+1]||':'||x.a||':'||x.b),',')) AS base_sha256 FROM a"""
+
+FILTER_AUDIT = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang,'') AS part, coalesce(text,'') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+q AS (SELECT doc_id, max(CASE WHEN quality=1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic=1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, (len(w)<200)::INT AS a, (100*len(list_distinct(w))<50*len(w))::INT AS b,
+ (100*length(regexp_replace(t,'[^A-Z]','','g'))>3*length(t))::INT AS c, regexp_matches(t,'[#$%&*|]')::INT AS d,
+ coalesce(doc_id>first_id,false)::INT AS e, coalesce(good,0) AS good, coalesce(toxic,0) AS toxic FROM w LEFT JOIN q USING (doc_id)),
+m AS (SELECT part, a+2*b+4*c+8*d+16*e AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+orders AS (SELECT '' AS o UNION ALL SELECT o||x FROM orders, (SELECT unnest(['A','B','C','D','E']) AS x) WHERE NOT contains(o, x)),
+steps AS (SELECT o AS filter_order, s::INT AS step, 1<<(ascii(substr(o,s,1))-65) AS f,
+ coalesce(list_sum(list_transform(range(1,s), lambda j: 1<<(ascii(substr(o,j,1))-65))),0)::BIGINT AS earlier
+ FROM orders, (SELECT unnest(range(1,6)) AS s) WHERE length(o)=5),
+r AS (SELECT part, filter_order, step, f,
+ sum(CASE WHEN fails & (earlier | f) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+ sum(CASE WHEN fails & earlier = 0 AND fails & f <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+ sum(CASE WHEN fails & earlier <> 0 AND fails & f <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+ sum(CASE WHEN fails = f THEN n ELSE 0 END)::BIGINT AS unique_fails,
+ sum(CASE WHEN fails & earlier = 0 AND fails & f <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+ sum(CASE WHEN fails & earlier = 0 AND fails & f <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+ FROM m, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r"""
