@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrilith.llm import collision_ann, filter_audit, gam_quality, golay_simhash, html_diff, license_rules, packing, pii, span_dedup, sql, token_store, wu_manber
+from metrilith.llm import collision_ann, filter_audit, gam_quality, golay_simhash, html_diff, license_rules, packing, pii, span_dedup, spelling, sql, token_store, wu_manber
 from metrilith.llm.common import table
 
 
@@ -82,6 +82,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("filter").withColumnsRenamed({"removed_good": "good_lost", "removed_toxic": "toxic_lost"})
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.misspelt(spelling.runs(table(spark, sf_dir, "documents")))
+    return spelling.variants(spelling.vocabulary(found))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_pii, op3_substring_dedup, op4_simhash_near_dedup, op5_quality_classifier, op6_token_ids, op7_decontamination, op8_nearest_neighbours, op9_license_scan, op10_best_fit_packing, op11_filter_audit, pipeline, pii_base_spans)
+    for f in (op1_html_extraction, op2_pii, op3_substring_dedup, op4_simhash_near_dedup, op5_quality_classifier, op6_token_ids, op7_decontamination, op8_nearest_neighbours, op9_license_scan, op10_best_fit_packing, op11_filter_audit, op13_spelling_variants, pipeline, pii_base_spans)
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": sql.DECONTAMINATION, "pii_base_spans": sql.PII_BASE, "op11_filter_audit": sql.FILTER_AUDIT}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": sql.DECONTAMINATION, "pii_base_spans": sql.PII_BASE, "op11_filter_audit": sql.FILTER_AUDIT, "op13_spelling_variants": sql.SPELLING}

