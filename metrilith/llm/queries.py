@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrilith.llm import collision_ann, filter_audit, gam_quality, golay_simhash, html_diff, license_rules, packing, pii, span_dedup, spelling, sql, token_store, wu_manber
+from metrilith.llm import collision_ann, filter_audit, gam_quality, golay_simhash, grammar, html_diff, license_rules, packing, pii, span_dedup, spelling, sql, token_store, wu_manber
 from metrilith.llm.common import table
 
 
@@ -82,6 +82,20 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("filter").withColumnsRenamed({"removed_good": "good_lost", "removed_toxic": "toxic_lost"})
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = grammar.detect(docs, grammar.learn(docs))
+    joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*grammar.BASE))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", *(count(k) for k in grammar.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op12_secret_scan that SQL can express: without the spans that the automata add."""
+    return op12_secret_scan(spark, sf_dir).drop("spans", "n_spans")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.misspelt(spelling.runs(table(spark, sf_dir, "documents")))
     return spelling.variants(spelling.vocabulary(found))
@@ -95,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_pii, op3_substring_dedup, op4_simhash_near_dedup, op5_quality_classifier, op6_token_ids, op7_decontamination, op8_nearest_neighbours, op9_license_scan, op10_best_fit_packing, op11_filter_audit, op13_spelling_variants, pipeline, pii_base_spans)
+    for f in (op1_html_extraction, op2_pii, op3_substring_dedup, op4_simhash_near_dedup, op5_quality_classifier, op6_token_ids, op7_decontamination, op8_nearest_neighbours, op9_license_scan, op10_best_fit_packing, op11_filter_audit, op12_secret_scan, op13_spelling_variants, pipeline, pii_base_spans, secret_base_spans)
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": sql.DECONTAMINATION, "pii_base_spans": sql.PII_BASE, "op11_filter_audit": sql.FILTER_AUDIT, "op13_spelling_variants": sql.SPELLING}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": sql.DECONTAMINATION, "pii_base_spans": sql.PII_BASE, "op11_filter_audit": sql.FILTER_AUDIT, "op13_spelling_variants": sql.SPELLING, "secret_base_spans": sql.SECRET_BASE}

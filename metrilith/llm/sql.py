@@ -92,3 +92,20 @@ f AS (SELECT word, n, count(*) AS n_near, max(near_n) AS form_n, arg_min(near, (
 g AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5*w.n THEN form END AS form, CASE WHEN form_n >= 5*w.n THEN form_n END AS form_n FROM w LEFT JOIN f ON w.word = f.word),
 t AS (SELECT word, word AS root FROM g UNION ALL SELECT t.word, g.form FROM t JOIN g ON g.word = t.root WHERE g.form IS NOT NULL)
 SELECT g.word, g.n, g.n_near, g.form, g.form_n, t.root FROM g JOIN t ON t.word = g.word JOIN g z ON z.word = t.root WHERE z.form IS NULL"""
+
+_EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""(?:{_EITHER})["'']? *[:=] *["'']?[A-Za-z0-9+/_.=-]+"""
+_VALUE = rf"""^(?:{_EITHER})["'']? *[:=] *["'']?"""
+_SECRETS = [
+    _kind("assign", _ASSIGN, f"length(regexp_replace(x.s, '{_VALUE}', '')) >= 6"),
+    _kind("access", "AKIA[A-Z0-9]+", "length(x.s) >= 20"),
+    _kind("hexes", "[0-9a-f]{24,}", "true"),
+]
+_EACH = ", ".join(f"list_transform({c}, lambda x: {{'a': x.a, 'k': {k}, 'b': x.a+length(x.s)}})" for k, c in enumerate("sch"))
+
+SECRET_BASE = f"""
+WITH d AS (SELECT row_number() OVER () AS doc_row, doc_id AS id, coalesce(text,'') AS t FROM documents), {", ".join(_SECRETS).replace("doc_id", "doc_row")},
+a AS (SELECT id, assign.v AS s, access.v AS c, hexes.v AS h
+      FROM d JOIN assign USING (doc_row) JOIN access USING (doc_row) JOIN hexes USING (doc_row))
+SELECT id AS doc_id, len(s)::BIGINT AS n_assign, len(c)::BIGINT AS n_access, len(h)::BIGINT AS n_hex,
+sha256(array_to_string(list_transform(list_sort(list_concat({_EACH})), lambda x: ['assign','access','hex'][x.k+1]||':'||x.a||':'||x.b),',')) AS base_sha256 FROM a"""
