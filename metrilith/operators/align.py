@@ -43,6 +43,64 @@ def nearest_in_time(left: DataFrame, right: DataFrame, by: Sequence[str], t: str
     return left.join(best, row, "left").select(*left.columns, F.col("__m.distance").alias("distance"), *(F.col(f"__m.__v.{v}").alias(v) for v in values))
 
 
+#: Groups in which the rows of one stretch of time meet truth without a point.
+SALTS = 32
+
+
+def _of_any(point: str):
+    return F.col(point).isNull() | (F.trim(F.col(point).cast("string")) == "")
+
+
+def truth_of_frame(rows: DataFrame, truth: DataFrame, point: str, frame: str, order: str, values: Sequence[str]) -> DataFrame:
+    """Left join on the frame with truth of the same point, or of any where its point is null or blank: the first by `order`.
+
+    Both ways are equi-joins of rows that are first of their key already; a row whose own
+    point is blank meets blank truth only. Rows without a frame have no truth.
+    """
+    blank = _of_any(point)
+    packed = F.struct(F.col(order).alias("__o"), F.struct(*values).alias("__v"))
+    own = truth.filter(~blank).groupBy(point, frame).agg(F.min(packed).alias("__own"))
+    wide = truth.filter(blank).groupBy(frame).agg(F.min(packed).alias("__wide"))
+    out = rows.join(own, [point, frame], "left").join(wide, frame, "left").withColumn("__t", F.least("__own", "__wide"))
+    return out.select(*rows.columns, *(F.col(f"__t.__v.{v}").alias(v) for v in values))
+
+
+def _beside(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, tolerance: float, row: str, order: str, values: Sequence[str]) -> DataFrame:
+    """(row, distance, order, values): for each left row the nearest right row of its key within the tolerance, if any.
+
+    Each key's times are cut into stretches of the tolerance's length, a right row stands in
+    its own and both next to it, and the last and next right time of each left row are seen
+    in one sort of the stretch: nothing is paired.
+    """
+    stretch = F.floor(F.col(t) / tolerance).cast("bigint")
+    firsts = right.groupBy(*by, t).agg(F.min(F.struct(F.col(order).alias("__o"), F.struct(*values).alias("__v"))).alias("__s"))
+    seen = firsts.select(*by, t, F.lit(None).cast(left.schema[row].dataType).alias(row), F.struct(F.col(t).alias("t"), "__s").alias("__x"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("__b"))
+    line = left.select(*by, t, row, F.lit(None).cast(seen.schema["__x"].dataType).alias("__x"), stretch.alias("__b")).unionByName(seen)
+    w = Window.partitionBy(*by, "__b").orderBy(t)
+    sides = [F.last("__x", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first("__x", True).over(w.rangeBetween(0, Window.unboundedFollowing))]
+    found = line.select(row, t, *(x.alias(n) for x, n in zip(sides, ("__a", "__z"), strict=True))).filter(F.col(row).isNotNull())
+    at = lambda x: F.when(F.abs(F.col(f"{x}.t") - F.col(t)) <= tolerance, F.struct(F.abs(F.col(f"{x}.t") - F.col(t)).alias("distance"), F.col(f"{x}.__s.__o").alias("__o"), F.col(f"{x}.__s.__v").alias("__v")))
+    return found.select(row, F.least(at("__a"), at("__z")).alias("__m"))
+
+
+def nearest_truth(left: DataFrame, right: DataFrame, point: str, t: str, tolerance: float, row: str, order: str, values: Sequence[str]) -> DataFrame:
+    """For each left row the truth nearest in time, of its point or of any where the truth's point is null or blank.
+
+    Ties go to the smaller `order`; rows without truth within the tolerance keep nulls. The
+    two ways are searched apart and the nearer is taken. Truth for all points would put all
+    rows of a stretch of time in one task: there rows are dealt to SALTS groups by `row`,
+    each with its own copy of that truth. `row` identifies a left row. `values` have to be
+    types that compare.
+    """
+    blank = _of_any(point)
+    own = _beside(left.filter(~blank), right.filter(~blank), [point], t, tolerance, row, order, values)
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int"))
+    wide = right.filter(blank).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = own.unionByName(_beside(dealt, wide, ["__salt"], t, tolerance, row, order, values))
+    best = both.filter("__m is not null").groupBy(row).agg(F.min("__m").alias("__m"))
+    return left.join(best, row, "left").select(*left.columns, F.col("__m.distance").alias("distance"), *(F.col(f"__m.__v.{v}").alias(v) for v in values))
+
+
 def interpolated(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, value: str, row: str) -> DataFrame:
     """`value` of the right series at each left time, linear between the samples around it; null outside them.
 

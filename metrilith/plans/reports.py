@@ -100,16 +100,30 @@ def src1(spark, d):
     return t.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
 
 
-@register("src2_snk2_method_tables", f"WITH {MEASURES} SELECT method, count(*) AS n, count(confidence) FILTER (status='F') AS n_confidence, round(avg(err),4) AS bias FROM m GROUP BY 1")
+@register(
+    "src2_snk2_method_tables",
+    f"""WITH {MEASURES} SELECT CASE WHEN method='A' THEN 'first' ELSE method END AS method, count(*) AS n,
+ count(confidence) FILTER (method='N') AS n_confidence, count(*) FILTER (method='R') AS n_points,
+ round(avg(err),4) AS bias FROM m GROUP BY m.method""",
+)
 def src2(spark, d):
-    """Measurements written in parts whose columns differ, scanned as one folder of method tables."""
+    """Methods written as CSV with headers that differ in order and in columns, scanned as one folder by each file's own header.
+
+    The file of one method has no method column and takes its file's name; summary.csv and a
+    file without rows play no part.
+    """
     path = f"{folder(spark, 'methods')}/parts"
     m = measures(spark, d)
-    valid = F.col("status") == "F"
-    both = readers.union_columns(m.filter(~valid).select("method", "frame", "err"), m.filter(valid).select("method", "err", "confidence"))
-    readers.write_csv(both, path, both.columns)
-    t = readers.method_tables(spark, path).select("method", F.col("err").cast("double").alias("err"), "confidence")
-    return t.groupBy("method").agg(F.count("*").alias("n"), F.count("confidence").alias("n_confidence"), r(F.avg("err"), "bias"))
+    quoted = F.concat(F.lit('said "so", '), "status").alias("note")
+    readers.write_named_csv(m.filter("method = 'A'").select("err", "frame"), path, "first")
+    readers.write_named_csv(m.filter("method = 'N'").select("frame", "confidence", quoted, "err", "method"), path, "second")
+    readers.write_named_csv(m.filter("method = 'R'").select("method", "point_id", "err"), path, "third")
+    readers.write_named_csv(m.filter("method = 'R'").select("method", "err").limit(3), path, "summary")
+    readers.write_named_csv(m.filter("false").select("method", "err"), path, "zero")
+    t = readers.method_tables(spark, path, ["err", "confidence", "point_id", "note"])
+    err = F.col("err").cast("double")
+    whole = F.col("note").isNull() | F.col("note").startswith('said "so", ')
+    return t.filter(whole).groupBy("method").agg(F.count("*").alias("n"), F.count("confidence").alias("n_confidence"), F.count("point_id").alias("n_points"), r(F.avg(err), "bias"))
 
 
 @register("src3_sample_index", "SELECT 's' || doc_id AS sample_id, source AS dataset_name, lang AS official_split, n_chars::INT AS width FROM documents")

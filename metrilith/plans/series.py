@@ -38,11 +38,20 @@ def j2(spark, d):
     return align.last_of(base.unionByName(over), ["k"], "pri").select("k", r(F.col("v"), "v", 4))
 
 
-@register("j3_frame_alignment", "WITH g AS (SELECT l_orderkey AS frame, arg_min(l_extendedprice, (l_linenumber, l_extendedprice)) AS truth FROM lineitem WHERE l_linenumber>1 GROUP BY 1) SELECT o_orderkey, round(o_totalprice,4) AS total, round(truth,4) AS truth FROM orders LEFT JOIN g ON frame=o_orderkey")
+@register(
+    "j3_frame_alignment",
+    """WITH g AS (SELECT l_orderkey AS frame, CASE WHEN l_linenumber%3=0 THEN '' ELSE l_returnflag END AS point, l_extendedprice AS truth, (l_linenumber, l_extendedprice) AS row_no FROM lineitem WHERE l_linenumber>1),
+ p AS (SELECT row_number() OVER () AS id, l_orderkey AS frame, l_linenumber, l_returnflag AS point, l_extendedprice FROM lineitem)
+ SELECT p.frame, p.l_linenumber, round(p.l_extendedprice,4) AS measured, round(arg_min(g.truth, g.row_no),4) AS truth
+ FROM p LEFT JOIN g ON g.frame=p.frame AND (g.point=p.point OR g.point='') GROUP BY p.id, 1, 2, 3""",
+)
 def j3(spark, d):
-    g = table(spark, d, "lineitem").filter("l_linenumber > 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("truth"), F.struct("l_linenumber", "l_extendedprice").alias("row_no"))
-    g = align.first_of(g, ["o_orderkey"], "row_no")
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").join(g, "o_orderkey", "left").select("o_orderkey", r(F.col("o_totalprice"), "total", 4), r(F.col("truth"), "truth", 4))
+    """Each line with the first truth of its frame that is of its point or of any."""
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame"), "l_linenumber", F.col("l_returnflag").alias("point"), "l_extendedprice")
+    point = F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("point"))
+    g = line.filter("l_linenumber > 1").select("frame", point.alias("point"), F.col("l_extendedprice").alias("truth"), F.struct("l_linenumber", "l_extendedprice").alias("row_no"))
+    out = align.truth_of_frame(line, g, "point", "frame", "row_no", ["truth"])
+    return out.select("frame", "l_linenumber", r(F.col("l_extendedprice"), "measured", 4), r(F.col("truth"), "truth", 4))
 
 
 NEAR = "WITH p AS (SELECT event_id, user_id, epoch(ts) AS t FROM events WHERE event_type='purchase'), e AS (SELECT event_id AS other, user_id, epoch(ts) AS t, value FROM events WHERE event_type='error'), n AS (SELECT p.event_id, e.other, e.value, abs(e.t-p.t) AS distance, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(e.t-p.t), e.other) AS k FROM p JOIN e ON p.user_id=e.user_id AND abs(e.t-p.t)<=86400)"
@@ -55,9 +64,21 @@ def _near(spark, d):
     return align.nearest_in_time(left, right, ["user_id"], "t", 86400.0, "event_id", "other", ["other", "value"])
 
 
-@register("j4_nearest_in_time", f"{NEAR} SELECT p.event_id, n.other, round(n.value,6) AS value, round(n.distance,3) AS distance FROM p LEFT JOIN n ON p.event_id=n.event_id AND n.k=1")
+@register(
+    "j4_nearest_in_time",
+    """WITH p AS (SELECT event_id, user_id, epoch(ts) AS t FROM events WHERE event_type='purchase'),
+ e AS (SELECT event_id AS other, CASE WHEN event_id%5=0 THEN NULL ELSE user_id END AS point, epoch(ts) AS t, value FROM events WHERE event_type='error'),
+ n AS (SELECT p.event_id, e.other, e.value, abs(e.t-p.t) AS distance, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(e.t-p.t), e.other) AS k
+ FROM p JOIN e ON (p.user_id=e.point OR e.point IS NULL) AND abs(e.t-p.t)<=86400)
+ SELECT p.event_id, n.other, round(n.value,6) AS value, round(n.distance,3) AS distance FROM p LEFT JOIN n ON p.event_id=n.event_id AND n.k=1""",
+)
 def j4(spark, d):
-    return _near(spark, d).select("event_id", "other", r(F.col("value"), "value"), r(F.col("distance"), "distance", 3))
+    """Each purchase with the error nearest in time of its user, or of none: one in five errors has no user."""
+    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    left = e.filter("event_type = 'purchase'").select("event_id", "user_id", "t")
+    right = e.filter("event_type = 'error'").select(F.col("event_id").alias("other"), F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("user_id"), "t", "value")
+    out = align.nearest_truth(left, right, "user_id", "t", 86400.0, "event_id", "other", ["other", "value"])
+    return out.select("event_id", "other", r(F.col("value"), "value"), r(F.col("distance"), "distance", 3))
 
 
 @register("j5_alignment_rate", f"{NEAR} SELECT count(*) AS n, count(n.other) AS aligned, round(100.0*count(n.other)/count(*),6) AS rate FROM p LEFT JOIN n ON p.event_id=n.event_id AND n.k=1")

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from metrilith.operators.tables import Scratch
+
 SAMPLE = "dataset_name string, sequence_name string, frame_id string, left_path string, right_path string, disparity_gt_path string, depth_gt_path string, calibration_path string, disparity_scale double, timestamp double, official_split string, width int, height int, is_sequence boolean, sample_id string"
 ENTRY = "sequence_id string, split string, measurement_csv string, gt_csv string, alignment_mode string, max_time_offset_ms double, calibration_id string, distance_m double, baseline_mm double, method string, repeat int, target_sigma_z_mm double"
 
@@ -18,10 +20,90 @@ def csv_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("nullValue", "").csv(path)
 
 
-def method_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """All CSV files of a folder but summary.csv, with `method`: the file's own column, else its name."""
-    df = csv_text(spark, f"{folder}/*.csv").withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv\z", 1)).filter("file <> 'summary'")
-    return df.withColumn("method", F.coalesce(F.col("method"), F.col("file")) if "method" in df.columns else F.col("file"))
+#: Headers are broadcast if they have about so many bytes together at most; else both sides are shuffled by file.
+HEADERS = 32 << 20
+#: A cell with the comma before it: quoted, with doubled quotes inside, or plain.
+_CELL = r',("(?:[^"]|"")*+"|[^,]*+)'
+
+
+def _cells(line: Column) -> Column:
+    """The cells of one CSV line. A quoted cell that the line doesn't end stops the read."""
+
+    def plain(x: Column) -> Column:
+        s = F.substr(x, F.lit(2))
+        inside = F.replace(F.substr(s, F.lit(2), F.length(s) - 2), F.lit('""'), F.lit('"'))
+        whole = s.rlike(r'(?s)\A"(?:[^"]|"")*"\z')
+        return F.when(~F.startswith(s, F.lit('"')), s).when(whole, inside).otherwise(F.raise_error(F.lit("a quoted cell goes over the line's end")).cast("string"))
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(0)), plain)
+
+
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, columns, first) of each CSV file: where its header stands, its columns (name, place), its first row's cells.
+
+    Files without a row under their header have no row here. A byte order mark is skipped;
+    of columns with one name the last counts. A header is the first line with anything in
+    it, and the next such line is numbered after it, so that both come from one aggregation by the parity of their
+    numbers; only the first block of a file is looked at.
+    """
+    lines = _csv_lines(spark, path).filter("block = 0")
+    line = F.struct("at", "line")
+    two = lines.groupBy("file").agg(F.min(F.when(F.col("at") % 2 == 0, line)).alias("even"), F.min(F.when(F.col("at") % 2 == 1, line)).alias("odd"))
+    two = two.select("file", F.least("even", "odd").alias("head"), F.greatest("even", "odd").alias("first")).filter(F.col("first.at") == F.col("head.at") + 1)
+    names = two.select("file", "head.at", _cells(F.regexp_replace("head.line", "\\A\ufeff", "")).alias("names"), _cells(F.col("first.line")).alias("first"))
+    last = lambda x: F.size("names") - F.array_position(F.reverse("names"), x["name"])
+    columns = F.filter(F.transform("names", lambda n, i: F.struct(n.alias("name"), i.alias("place"))), lambda x: x["place"] == last(x))
+    return names.select("file", "at", columns.alias("columns"), "first")
+
+
+def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, line) of all lines that aren't empty; `at` goes up by one from line to line within a block."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    return lines.filter("line <> ''").select("file", "block", F.monotonically_increasing_id().alias("at"), "line")
+
+
+def _named(cells: Column, columns: Column) -> Column:
+    return F.map_from_entries(F.transform(F.filter(columns, lambda c: c["place"] < F.size(cells)), lambda c: F.struct(c["name"], F.get(cells, c["place"]))))
+
+
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, cells) of each row of CSV files whose headers may differ: column name to cell, by the file's own header.
+
+    Cells stay text, empty ones too; a short row lacks its last columns, cells beyond the
+    header are left out. Lines are split where they are read, so that a file of any size is
+    read by many tasks. Headers, one row a file, are written first, so that their size
+    is known when they are joined. Quoted line breaks aren't read: they stop the query.
+    """
+    heads = Scratch(spark, "headers").write(csv_headers(spark, path), "heads")
+    return _rows_under(spark, path, heads).select("file", "cells")
+
+
+def _rows_under(spark: SparkSession, path: str, heads: DataFrame) -> DataFrame:
+    size = heads.agg(F.sum(F.length("file") + 64 + F.aggregate("columns.name", F.lit(0), lambda n, c: n + F.length(c) + 32))).first()[0] or 0
+    heads = heads.withColumnRenamed("at", "head")
+    rows = _csv_lines(spark, path).join(F.broadcast(heads) if size <= HEADERS else heads, "file").filter("at <> head")
+    return rows.withColumn("cells", _named(_cells(F.col("line")), F.col("columns")))
+
+
+def method_tables(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows of all CSV files of a folder but summary.csv, each read by its own header, with `file` and `method`.
+
+    A file's method is its first row's cell of that name, else the file's own name; of files
+    with one method the last by name counts, files without rows don't. `columns` are all
+    that any file has if they aren't given, in alphabetical order; a column that a file
+    lacks, and an empty cell, is null.
+    """
+    path = f"{folder}/*.csv"
+    heads = csv_headers(spark, path)
+    name = F.regexp_extract("file", r"([^/]+)\.csv\z", 1)
+    own = _named(F.col("first"), F.col("columns"))
+    heads = heads.filter(name != "summary").withColumn("method", F.coalesce(F.nullif(F.try_element_at(own, F.lit("method")), F.lit("")), name))
+    last = heads.groupBy("method").agg(F.max_by(F.struct("file", "at", "columns"), "file").alias("f"))
+    heads = Scratch(spark, "headers").write(last.select("method", "f.*"), "heads")
+    if columns is None:
+        columns = [r.name for r in heads.select(F.explode("columns.name").alias("name")).distinct().orderBy("name").collect()]
+    cell = lambda c: F.nullif(F.try_element_at("cells", F.lit(c)), F.lit("")).alias(c)
+    return _rows_under(spark, path, heads).select(F.regexp_extract("file", r"([^/]+)\.csv\z", 1).alias("file"), "method", *(cell(c) for c in columns if c not in ("file", "method")))
 
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
@@ -81,23 +163,23 @@ def float_maps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_remaining(df: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key isn't in the table at `path` yet; the number of rows written.
+    """Append the rows whose key isn't in the table at `path` yet, one for each key; the number of rows written.
 
     A run that was interrupted goes on where it stopped: what has been committed is read
-    back and left out.
+    back and left out. A null key is a key like others; of rows with one key one is written.
+    The plan runs once, and rows are counted while they are written.
     """
     spark = df.sparkSession
     try:
-        done = spark.read.parquet(path).select(key)
+        done = spark.read.parquet(path).select(F.col(key).alias("__done"))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = None
-    rest = df if done is None else df.join(done, key, "left_anti")
-    n = rest.count()
-    if n:
-        rest.write.mode("append").parquet(path)
-    return n
+    rest = df if done is None else df.join(done, F.col(key).eqNullSafe(F.col("__done")), "left_anti")
+    written = Observation()
+    rest.dropDuplicates([key]).observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return written.get["n"]
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -107,6 +189,23 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*(cell(c) for c in columns)).write.option("header", True).option("nullValue", "").csv(path)
 
 
+def write_named_csv(df: DataFrame, folder: str, name: str) -> None:
+    """The rows as one file `name`.csv of `folder`, beside others of other columns.
+
+    One task writes it: a table of one method, to be read by people. It is moved to its
+    name when it is whole, so that readers never see a part of it.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    beside = f"{folder}/_{name}"
+    df.coalesce(1).write.option("header", True).option("nullValue", "").option("escape", '"').csv(beside)
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = files.globStatus(path(f"{beside}/part-*.csv"))[0].getPath()
+    if not files.rename(part, path(f"{folder}/{name}.csv")):
+        raise FileExistsError(f"{folder}/{name}.csv")
+    files.delete(path(beside), True)
+
+
 #: Names of folders with left images, and of their right siblings.
 SIBLINGS = {"left": "right", "image_0": "image_1", "image_2": "image_3", "cam0": "cam1", "l": "r"}
 IMAGES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "ppm", "pgm")
