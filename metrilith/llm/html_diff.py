@@ -28,33 +28,51 @@ from metrilith.llm.common import slices, strings
 from metrilith.operators.tables import Scratch
 
 #: A comment or a tag. An attribute's quotes may hold anything; outside of them a tag ends
-#: before the next "<", so that broken ones cost no search to the page's end.
-_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^<>]*+>""", re.S)
+#: before the next "<", so that broken ones cost no search to the page's end; what looks like
+#: a tag up to there is markup even if no ">" ends it.
+_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^<>]*+>|</?[a-zA-Z][^<>]*+(?=<)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose content is no article text.
-DROPPED = frozenset("aside button canvas dialog footer form head iframe math menu nav noscript object script select style svg template textarea title".split())
+DROPPED = frozenset("aside button canvas dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split())
 #: Of these, the ones whose content isn't markup.
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark what isn't the article.
-MARKS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice pagination popup promo related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+MARKS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu menubar modal nav navbar navigation newsletter notice pagination popup promo related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar topbar topmenu widget".split())
 _ROLES = frozenset("banner complementary contentinfo navigation search".split())
 #: Words that turn a mark into a remark on the page's layout.
 _LAYOUT = frozenset("body content has is layout main no not page with without wrap wrapper".split())
+#: Words beside which a mark in the same name stays one; beside others the name is about something else.
+_BESIDE = frozenset("a area article articles bar block bottom box button buttons col column container desktop fixed form global group icons inner item items label left link links list media mobile news outer overlay panel policy popular post posts primary right row secondary section short site slot stories story text thread title top unit user web".split())
+#: Names, without hyphens, of what stands above an article; inside one they are part of it.
+_ABOVE = frozenset("header siteheader pageheader globalheader topheader topbar topnav topmenu menubar".split())
+#: Elements that end without an end tag, and the elements whose beginning ends them; a p ends where any block begins.
+_IMPLIED = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
 #: What markup says of a line: it isn't the article's, nothing, it is the article's.
 OUTSIDE, OPEN, INSIDE = 0, 1, 2
 _RAW_END = {name: re.compile(rf"</{name}\b[^<>]*+>", re.I) for name in RAW}
 
 
-def _marked(attributes: str) -> bool:
-    """Whether a class, id or role says that an element isn't the article's."""
+def _marked(attributes: str, body: bool, main: int) -> bool:
+    """Whether a class, id or role says that an element isn't the article's.
+
+    A name counts if its words are marks and words that may stand beside them: "share-links"
+    is one, "share-prices" isn't. An article or main element needs a mark for its whole name,
+    as its class may hold the article's subjects.
+    """
     for found in _ATTRIBUTE.findall(attributes):
         for token in "".join(found).lower().split():
+            if body:
+                if token in MARKS:
+                    return True
+                continue
             words = set(_WORD.findall(token))
-            if token in _ROLES or words & MARKS and not words & _LAYOUT:
+            if token in _ROLES or words & MARKS and not words & _LAYOUT and words <= MARKS | _BESIDE:
+                return True
+            if not main and token.replace("-", "").replace("_", "") in _ABOVE:
                 return True
     return False
 
@@ -69,7 +87,7 @@ def text_lines(page: str) -> list[tuple[str, int]]:
     parts: list[str] = []
     dropped: str | None = None
     by_name = False
-    depth = main = 0
+    depth = main = inner = 0
     at, n = 0, len(page)
 
     def close():
@@ -96,13 +114,22 @@ def text_lines(page: str) -> list[tuple[str, int]]:
         body = name in ("article", "main")
         if name in BLOCKS or name == dropped:
             close()
+        if dropped in _IMPLIED and name in BLOCKS:
+            # an element of this kind ends by its own end tag, by what begins after it or by the end of what it stands in
+            around = name == dropped or name not in _IMPLIED or name == "tr" and dropped in ("td", "th")
+            if not inner and (around if closing else name in _IMPLIED[dropped]):
+                dropped = None
+                if name in _IMPLIED and closing:
+                    continue
+            elif name not in _IMPLIED:
+                inner += -1 if closing else 1
         if dropped:
-            if name == dropped and not m[0].endswith("/>"):
+            if name == dropped and dropped not in _IMPLIED and not m[0].endswith("/>"):
                 depth += -1 if closing else 1
                 if not depth:
                     close()
                     dropped = None
-            elif body and not by_name and not closing and not _marked(m[3] or ""):
+            elif body and not by_name and not closing and not _marked(m[3] or "", True, main):
                 dropped = None
                 main += 1
             elif name in RAW and not closing:
@@ -115,7 +142,7 @@ def text_lines(page: str) -> list[tuple[str, int]]:
             continue
         if name in VOID or m[0].endswith("/>"):
             continue
-        marked = bool(m[3]) and name not in ("html", "body") and "articlebody" not in m[3].lower() and _marked(m[3])
+        marked = bool(m[3]) and name not in ("html", "body") and "articlebody" not in m[3].lower() and _marked(m[3], body, main)
         if body and not marked:
             main += 1
         elif name in RAW:
@@ -124,7 +151,7 @@ def text_lines(page: str) -> list[tuple[str, int]]:
             at = stop.end() if stop else n
         elif name in DROPPED or name == "header" and not main or marked:
             close()
-            dropped, depth, by_name = name, 1, name in DROPPED or name == "header"
+            dropped, depth, inner, by_name = name, 1, 0, name in DROPPED or name == "header"
     close()
     return out
 
