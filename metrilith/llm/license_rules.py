@@ -179,8 +179,18 @@ def sentence_ids(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.flatten(F.transform(F.split(lines, _END), ids))).otherwise(F.array().cast("array<string>"))
 
 
-def _holds(joined: Column, rule: tuple[str, ...]) -> Column:
-    return joined.rlike(",(?:.*,)?".join(f"<{x}>" for x in rule))
+def _holds(ids: Column, rule: tuple[str, ...]) -> Column:
+    """Whether the identifiers of a rule stand in `ids` in its order, with or without others between.
+
+    One pass whose state is how much of the rule has been seen: linear however often its
+    sentences repeat.
+    """
+    first = F.array_contains(ids, rule[0])
+    if len(rule) == 1:
+        return first
+    names = F.array(*map(F.lit, rule))
+    seen = F.aggregate(ids, F.lit(0), lambda at, x: F.when(x == F.get(names, at), at + 1).otherwise(at))
+    return first & (seen == len(rule))
 
 
 def _yielding(name: str, others: tuple[str, ...]):
@@ -191,11 +201,13 @@ def _yielding(name: str, others: tuple[str, ...]):
 def scan(docs: DataFrame, text_col: str = "text", sentences: str = "license_sentences", licenses: str = "licenses") -> DataFrame:
     """`docs` with two more columns: the identifiers of known sentences, and the licences whose rules hold, in the order of RULES.
 
-    Both are empty for a null or empty text. All rows and columns stay.
+    Both are empty for a null or empty text, and an empty table gives an empty one. All
+    rows and columns stay, repeated rows too; a column of either name in `docs` stops the call.
     """
+    if clash := {sentences, licenses} & set(docs.columns):
+        raise ValueError(f"columns exist already: {', '.join(sorted(clash))}")
     found = docs.withColumn(sentences, sentence_ids(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    joined = F.array_join(F.transform(F.col(sentences), lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ",")
-    names = let(joined, lambda j: F.array_distinct(F.array_compact(F.array(*(F.when(_holds(j, rule), F.lit(name)) for name, rule in RULES)))))
+    names = F.array_distinct(F.array_compact(F.array(*(F.when(_holds(F.col(sentences), rule), F.lit(name)) for name, rule in RULES))))
     for name, others in YIELDS.items():
         names = let(names, _yielding(name, others))
     return found.withColumn(licenses, F.when(F.size(sentences) > 0, names).otherwise(F.array().cast("array<string>")))

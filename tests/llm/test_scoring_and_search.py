@@ -1,10 +1,12 @@
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from metrilith.llm import collision_ann, gam_quality, license_rules, queries, wu_manber
 
@@ -348,3 +350,17 @@ def test_licences(spark, odd_docs, no_docs):
     got = {r.doc_id: (r.license_sentences, r.licenses) for r in license_rules.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: (["apache-2-notice"], ["Apache-2.0"]), 2: (["mit-notice", "rights-reserved"], ["MIT"]), 3: (["rights-reserved"], ["Proprietary"]), 4: ([], []), 5: ([], []), 6: (["bsd-3-names"], [])}
     assert license_rules.scan(odd_docs).filter("size(licenses) > 0").count() == 0 and license_rules.scan(no_docs).count() == 0
+
+
+def test_licence_rules_over_very_many_known_sentences(spark):
+    known = {name: text for text, name in license_rules.SENTENCES.items()}
+    some = " ".join(known[x].capitalize() + "." for x in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-3-names", "bsd-warranty"))
+    texts = [(1, some * 400), (2, some * 400 + " " + known["bsd-liability"].capitalize() + "."), (3, some * 400)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    license_rules.scan(docs).collect()
+    began = time.time()
+    got = {r.doc_id: (len(r.license_sentences), r.licenses) for r in license_rules.scan(docs).collect()}
+    assert time.time() - began < 4
+    assert got == {1: (2000, ["BSD-3-Clause"]), 2: (2001, ["BSD-3-Clause"]), 3: (2000, ["BSD-3-Clause"])}
+    with pytest.raises(ValueError, match="exist"):
+        license_rules.scan(docs.withColumn("licenses", F.lit("own")))
