@@ -113,18 +113,27 @@ def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
+def sequence_ids(group: int, round_no: int, local: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for the sequences of a group and round: 46 bits of group, 3 of round and 14 of place.
+
+    Rows are dealt to groups of GROUP_PIECES on average by a hash of distinct numbers, so that
+    none comes near 2^14 pieces; one that did stops the task.
+    """
+    if len(local) and (int(local.max()) >> 14 or round_no >> 3 or group >> 46):
+        raise OverflowError("a group's sequences don't fit their numbers")
+    return (group << 17 | round_no << 14) + local.astype(np.int64)
+
+
 def _pack_groups(pieces: DataFrame, n: int, round_no: int, capacity: int) -> DataFrame:
     """One round over `n` pieces, in groups."""
     groups = max(1, -(-n // GROUP_PIECES))
     seed = F.lit(round_no)
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy()
         where, offset, room = best_fit(lengths, capacity)
-        # 2^40 sequences in a group, 2^20 groups, 8 rounds
-        base = (round_no << 60) | (int(key[0]) << 40)
-        return pdf.assign(sequence_id=base + where, offset=offset, room=room[where].astype("int32"), bins=np.int32(len(room)), bound=np.int32(lower_bound(lengths, capacity)))[_COLUMNS]
+        return pdf.assign(sequence_id=sequence_ids(int(key[0]), round_no, where), offset=offset, room=room[where].astype("int32"), bins=np.int32(len(room)), bound=np.int32(lower_bound(lengths, capacity)))[_COLUMNS]
 
     key = F.pmod(F.xxhash64("row", seed), F.lit(groups)).alias("g")
     return pieces.select(key, *_COLUMNS[:6]).groupBy("g").applyInPandas(pack, _PLACED)
@@ -144,8 +153,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     pieces = kept.write(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     whole = pieces.filter(F.col("length") == capacity)
     rest = pieces.filter(F.col("length") < capacity)
-    # a piece of full length is a sequence by itself; 7 is no round
-    done = [whole.select(*_COLUMNS[:6], (F.lit(7 << 60) + F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(0).alias("room"), F.lit(1).alias("bins"), F.lit(1).alias("bound"))]
+    # a piece of full length is a sequence by itself, numbered below zero
+    done = [whole.select(*_COLUMNS[:6], (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(0).alias("room"), F.lit(1).alias("bins"), F.lit(1).alias("bound"))]
     count = np.zeros(capacity + 1, np.int64)
     for length, times in rest.groupBy("length").count().collect():  # fewer rows than `capacity`
         count[length] = times

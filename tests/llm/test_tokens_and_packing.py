@@ -132,3 +132,28 @@ def test_groups_with_a_gap_exchange_pieces(spark, monkeypatch):
     first, last = count(0), count(6)
     assert packing.lower_bound(np.asarray([r[3] for r in rows]), 100) == 43
     assert 43 <= last < first
+
+
+def test_sequence_numbers_of_many_groups_dont_meet():
+    local = np.arange(1 << 14)
+    seen = {}
+    for group in (0, 1, (1 << 20) - 1, 1 << 20, (1 << 20) + 1, 1 << 23, (1 << 40) - 1, 1 << 40, (1 << 46) - 1):
+        for round_no in range(8):
+            ids = packing.sequence_ids(group, round_no, local)
+            assert (np.diff(ids) == 1).all() and ids[0] >= 0
+            seen[int(ids[0])] = (group, round_no)
+    starts = sorted(seen)
+    assert len(starts) == 72 and all(b - a >= 1 << 14 for a, b in zip(starts, starts[1:], strict=False))
+    with pytest.raises(OverflowError):
+        packing.sequence_ids(0, 0, np.array([1 << 14]))
+
+
+def test_groups_of_one_piece(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 1)
+    pieces = spark.createDataFrame([(k, 0, 0, 100 + k, 0) for k in range(60)] + [(99, 0, 0, 2048, 0)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    got = packing.pack(pieces, rounds=2).collect()
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert len(got) == 61 and max(ends.values()) <= 2048
