@@ -69,6 +69,40 @@ def frame_motion(df: DataFrame) -> DataFrame:
     return df.groupBy("frame").applyInPandas(run, schema)
 
 
+def rotations(covariance: np.ndarray) -> np.ndarray:
+    """For each 3 x 3 sum of w (p - cp)(q - cq)^T, n of them, the rotation that takes p to q with the least weighted squared distance."""
+    u, _, vt = np.linalg.svd(covariance)
+    turn = np.linalg.det(np.swapaxes(vt, 1, 2) @ np.swapaxes(u, 1, 2)) < 0
+    vt[turn, 2] *= -1
+    return np.swapaxes(vt, 1, 2) @ np.swapaxes(u, 1, 2)
+
+
+def rigid_fits(p: np.ndarray, q: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotations and shifts of n weighted groups of points (n, k, 3)."""
+    w = w / w.sum(1, keepdims=True)
+    cp, cq = np.einsum("nk,nki->ni", w, p), np.einsum("nk,nki->ni", w, q)
+    r = rotations(np.einsum("nk,nki,nkj->nij", w, p - cp[:, None], q - cq[:, None]))
+    return r, cq - np.einsum("nij,nj->ni", r, cp)
+
+
+def flat(points: np.ndarray) -> np.ndarray:
+    """Whether each of n groups of points (n, k, 3) lies on a line."""
+    return np.linalg.matrix_rank(points - points.mean(1, keepdims=True), tol=1e-10) < 2
+
+
+def triplets(n: int, most: int) -> np.ndarray:
+    """All triplets of n places, or, if they are more than `most`, as many that don't meet (from 3 * most places on) or are drawn by a fixed seed."""
+    if n * (n - 1) * (n - 2) // 6 <= most:
+        return np.array(list(itertools.combinations(range(n), 3)), np.int64).reshape(-1, 3)
+    if n >= 3 * most:
+        return np.arange(3 * most).reshape(most, 3)
+    rng = np.random.default_rng(0)
+    picks: set[tuple[int, ...]] = set()
+    while len(picks) < most:
+        picks.add(tuple(sorted(rng.choice(n, 3, replace=False).tolist())))
+    return np.array(sorted(picks), np.int64)
+
+
 def _segments(x: np.ndarray, n: int) -> np.ndarray:
     """Half-overlapping segments, each without its line of best fit, under a Hann window."""
     step = n - n // 2

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from metrilith.functions import decisions, kernels, rules
-from metrilith.operators import align, stats, temporal
+from metrilith.functions import decisions, rules
+from metrilith.operators import align, motion, stats, temporal
 from metrilith.plans.registry import register
 from metrilith.plans.views import MEASURES, TRACKS, measures, table, tracks
 
@@ -173,11 +173,11 @@ def w12(spark, d):
 
 @register("k1_st9_reference_motion")
 def k1(spark, d):
-    """Each frame's rigid motion against the first place of its reference points, and the points moved back by it."""
+    """Each frame's weighted rigid motion against the first place of its reference points, and the points moved back by it."""
     t = tracks(spark, d)
     w = temporal.series(["point_id"], "frame")
     ref = t.select("frame", "point_id", *(F.col(c).alias(f"p{c}") for c in XYZ), *(F.first(c).over(w).alias(f"q{c}") for c in XYZ))
-    fit = kernels.frame_motion(ref)
+    fit = motion.frame_motion(ref.join(t.select("frame", "point_id", (1.0 + F.col("event_id") % 3).alias("w")), ["frame", "point_id"]))
     q = [[F.col("rotation")[3 * i + j] for j in range(3)] for i in range(3)]
     back = decisions.moved(q, [F.col("shift")[i] for i in range(3)], [F.col(c) for c in XYZ])
     return t.join(fit, "frame").select("event_id", "status", "inliers", *(r(c, n) for c, n in zip(back, XYZ, strict=True)))
