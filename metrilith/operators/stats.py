@@ -91,6 +91,18 @@ def running(rows: DataFrame, by: Sequence[str], value: str, weight: str, then: S
     return out.withColumnRenamed("__all", "total").drop("__c", "__s", "__before")
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """`df` with each row's place in the order of columns, from 1, over range partitions: no task sorts more than its part."""
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows = Scratch(df.sparkSession, "numbers").write(cut, "rows")
+    part = F.shiftright("__at", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    # a row for each partition
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = rows.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return placed.select(*df.columns, (F.col("__before") + F.col("__at") - F.shiftleft("__part", 33) + 1).alias(out))
+
+
 def quantiles(df: DataFrame, by: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact quantiles, linear between neighbours, one row for each key; {name: share} in `at`.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metrilith.functions import decisions, rules
-from metrilith.operators import align, motion, stats, temporal
+from metrilith.operators import align, constraints, motion, spectral, stats, temporal
 from metrilith.plans.registry import register
 from metrilith.plans.views import MEASURES, TRACKS, measures, table, tracks
 
@@ -133,6 +133,43 @@ def t5(spark, d):
     return table(spark, d, "documents").select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(100).select("doc_id")
 
 
+_DAMAGED = """CASE WHEN l_linenumber%7=0 THEN '' ELSE l_returnflag END AS point, CASE WHEN l_suppkey%11=0 THEN 'nan' WHEN l_suppkey%13=0 THEN '' ELSE l_quantity::VARCHAR END AS x,
+ CASE WHEN l_tax=0.01 THEN '-1' WHEN l_tax=0.02 THEN '1.5' WHEN l_tax=0.03 THEN '' ELSE l_suppkey::VARCHAR END AS frame,
+ CASE WHEN l_discount=0.01 THEN 'inf' WHEN l_discount=0.02 THEN '' ELSE (epoch(l_shipdate)//86400)::VARCHAR END AS t"""
+
+
+@register(
+    "r10_truth_data_quality",
+    f"""WITH n AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)+1 AS line, l_partkey%40 AS file FROM lineitem),
+ g AS (SELECT file, line, {_DAMAGED} FROM n WHERE file NOT IN (37, 39)), h AS (SELECT file, line, point, x, CASE WHEN file<>38 THEN frame END AS frame, CASE WHEN file<>38 THEN t END AS t FROM g),
+ c AS (SELECT file, line, trim(point) AS point, try_cast(x AS DOUBLE) AS x, frame, try_cast(frame AS DOUBLE) AS f, t, try_cast(t AS DOUBLE) AS u FROM h),
+ v AS (SELECT *, coalesce(isfinite(x), false) AS fx, CASE WHEN isfinite(f) AND f>=0 AND f=floor(f) THEN f END AS ff, CASE WHEN isfinite(u) THEN u END AS fu FROM c),
+ o AS (SELECT *, row_number() OVER (PARTITION BY file, point, ff ORDER BY line) AS nf, row_number() OVER (PARTITION BY file, point, fu ORDER BY line) AS nt,
+  last_value(fu IGNORE NULLS) OVER (PARTITION BY file, point ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
+ i AS (SELECT file, 'GT_POINT_ID' AS code FROM o WHERE point='' UNION ALL SELECT file, 'GT_XYZ' FROM o WHERE NOT fx UNION ALL SELECT file, 'GT_FRAME' FROM o WHERE frame<>'' AND ff IS NULL
+  UNION ALL SELECT file, 'GT_DUPLICATE_FRAME' FROM o WHERE ff IS NOT NULL AND nf>1 UNION ALL SELECT file, 'GT_TIMESTAMP' FROM o WHERE t<>'' AND fu IS NULL
+  UNION ALL SELECT file, 'GT_DUPLICATE_TIMESTAMP' FROM o WHERE fu IS NOT NULL AND nt>1 UNION ALL SELECT file, 'GT_TIMESTAMP_ORDER' FROM o WHERE fu<=before
+  UNION ALL SELECT 37, 'GT_FIELDS' UNION ALL SELECT 38, 'GT_ALIGNMENT_FIELD' UNION ALL SELECT 39, 'GT_EMPTY')
+ SELECT file, code, count(*) AS n, 'FAIL' AS status FROM i GROUP BY 1, 2""",
+)
+def r10(spark, d):
+    """Damaged truth tables, one for each part of a key, against the constraints on truth: issues of each code by file, and its status.
+
+    One file lacks a coordinate, one its alignment's column, one has no rows.
+    """
+    n = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_quantity", "l_tax", "l_discount", "l_shipdate", (F.col("l_partkey") % 40).alias("file"))
+    n = stats.numbered(n, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "line").filter("file <> 39").withColumn("line", F.col("line") + 1)
+    x = F.when(F.col("l_suppkey") % 11 == 0, "nan").when(F.col("l_suppkey") % 13 == 0, "").otherwise(F.col("l_quantity").cast("string"))
+    frame = F.when(F.col("l_tax") == 0.01, "-1").when(F.col("l_tax") == 0.02, "1.5").when(F.col("l_tax") == 0.03, "").otherwise(F.col("l_suppkey").cast("string"))
+    t = F.when(F.col("l_discount") == 0.01, "inf").when(F.col("l_discount") == 0.02, "").otherwise(F.unix_date(F.col("l_shipdate").cast("date")).cast("string"))
+    cells = {"point_id": F.when(F.col("l_linenumber") % 7 == 0, "").otherwise(F.col("l_returnflag")), "gt_x_mm": x, "gt_y_mm": x, "gt_z_mm": x, "frame": frame, "timestamp_s": t}
+    pairs = lambda *less: F.create_map(*(v for k, c in cells.items() if k not in less for v in (F.lit(k), c)))
+    rows = n.select("file", "line", F.when(F.col("file") == 37, pairs("gt_z_mm")).when(F.col("file") == 38, pairs("timestamp_s", "frame")).otherwise(pairs()).alias("cells"))
+    files = spark.range(40).select(F.col("id").alias("file"), F.when(F.col("id") % 2 == 0, "timestamp").otherwise("frame").alias("alignment"))
+    found = constraints.truth_issues(rows, files)
+    return found.groupBy("file", "code").agg(F.count("*").alias("n")).join(constraints.verdicts(found, files), "file").select("file", "code", "n", "status")
+
+
 @register("r5_sensitivity_best_beside_base", f"WITH {MEASURES}, s AS (SELECT g.v AS level, count(*) FILTER (confidence>=g.v-1e-9) AS kept, avg(abs(err)) FILTER (confidence>=g.v-1e-9) AS mae FROM m, (VALUES (0.0),(0.25),(0.5),(0.75)) g(v) GROUP BY 1) SELECT level::DOUBLE AS level, kept, round(mae,4) AS mae, round(mae-(SELECT mae FROM s WHERE level=0),4) AS over_base FROM s")
 def r5(spark, d):
     grid = spark.createDataFrame([(k / 4,) for k in range(4)], "level double")
@@ -165,10 +202,28 @@ def r18(spark, d):
     return j.select("l_orderkey", "l_linenumber", r(F.col("l_extendedprice"), "measured", 4), r(F.col("z"), "truth", 4), r(F.abs(F.col("l_extendedprice") - F.col("z")), "error", 4))
 
 
-@register("w12_k2_k3_spectral_window")
+@register(
+    "w12_k2_k3_spectral_window",
+    f"""WITH {TRACKS},
+ w AS (SELECT point_id, frame, row_number() OVER s AS i, list(x) OVER (s ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS v FROM t WINDOW s AS (PARTITION BY point_id ORDER BY frame)),
+ a AS (SELECT *, len(v) AS n, list_avg(v) AS m FROM w WHERE i >= 16),
+ b AS (SELECT *, list_sum(list_transform(range(n), lambda l: (l-(n-1)/2)*v[l+1])) / (n*(n*n-1)/12.0) AS slope FROM a),
+ h AS (SELECT point_id, frame, i, n, list_transform(range(n), lambda l: (v[l+1]-m-slope*(l-(n-1)/2))*(0.5-0.5*cos(2*pi()*l/n))) AS h FROM b),
+ k AS (SELECT *, unnest(range(n//2+1)) AS k FROM h),
+ p AS (SELECT point_id, frame, i, n, k, (list_sum(list_transform(range(n), lambda l: h[l+1]*cos(2*pi()*k*l/n)))**2 + list_sum(list_transform(range(n), lambda l: h[l+1]*sin(2*pi()*k*l/n)))**2)
+  / (30.0*3*n/8) * CASE WHEN k=0 OR 2*k=n THEN 1 ELSE 2 END AS p FROM k),
+ d AS (SELECT point_id, frame, arg_max(k, (p, -k)) FILTER (k>0) AS top, max(p) FILTER (k>0) AS best FROM p GROUP BY 1, 2),
+ e AS (SELECT p.point_id, p.frame, any_value(p.i) AS i, any_value(p.n) AS n, any_value(top) AS top, any_value(best) AS best,
+  coalesce(sum((p.p+q.p)/2*30.0/p.n) FILTER (abs(p.k-top)*30.0/p.n<=0.5 AND abs(q.k-top)*30.0/p.n<=0.5), 0) AS energy
+  FROM p JOIN d USING (point_id, frame) LEFT JOIN p q ON q.point_id=p.point_id AND q.frame=p.frame AND q.k=p.k+1 GROUP BY 1, 2),
+ f AS (SELECT *, top*30.0/n AS frequency FROM e), c AS (SELECT frame, median(frequency) AS consensus FROM f GROUP BY 1)
+ SELECT f.point_id, f.frame, round(frequency,6) AS frequency, round(sqrt(best),4) AS amplitude, round(energy,3) AS energy, round(consensus,6) AS consensus,
+ round(exp(-abs(frequency-consensus)/greatest(30.0/i,0.1)),6) AS agreement FROM f JOIN c ON f.frame=c.frame""",
+)
 def w12(spark, d):
-    """Dominant frequency of each point's last 64 samples, from 16 on."""
-    return temporal.spectral(tracks(spark, d), ["point_id"], "frame", "x", 30.0)
+    """Dominant frequency of each point's last 64 samples, from 16 on, and how well it agrees with its frame's median."""
+    found = spectral.consensus(spectral.dominant(tracks(spark, d), ["point_id"], "frame", "x", 30.0), "frame", 30.0)
+    return found.select("point_id", "frame", r(F.col("frequency"), "frequency"), r(F.col("amplitude"), "amplitude", 4), r(F.col("energy"), "energy", 3), r(F.col("consensus"), "consensus"), r(F.col("agreement"), "agreement"))
 
 
 @register("k1_st9_reference_motion")
