@@ -160,13 +160,13 @@ def t8(spark, d):
     return table(spark, d, "orders").orderBy(F.when(p.startswith("1"), 0).when(p.startswith("2"), 1).otherwise(2), "o_orderkey").limit(100).select("o_orderkey", "o_orderpriority")
 
 
-@register("t9_numeric_then_text", "WITH f AS (SELECT DISTINCT CASE WHEN event_id%3=0 THEN 'f'||event_id ELSE event_id::VARCHAR END AS id FROM events) SELECT id, row_number() OVER (ORDER BY TRY_CAST(id AS BIGINT) IS NULL, TRY_CAST(id AS BIGINT), id) AS place FROM f QUALIFY place<=40")
+@register("t9_numeric_then_text", "WITH f AS (SELECT DISTINCT CASE WHEN event_id%3=0 THEN 'f'||event_id ELSE event_id::VARCHAR END AS id FROM events) SELECT id, row_number() OVER (ORDER BY TRY_CAST(id AS BIGINT) IS NULL, TRY_CAST(id AS BIGINT), id) AS place FROM f")
 def t9(spark, d):
     i = F.col("event_id")
     f = table(spark, d, "events").select(F.when(i % 3 == 0, F.concat(F.lit("f"), i)).otherwise(i.cast("string")).alias("id")).distinct()
     n = F.col("id").try_cast("bigint")
-    top = f.orderBy(n.isNull(), n, "id").limit(40)
-    return top.select("id", F.row_number().over(Window.orderBy(n.isNull(), n, "id")).cast("bigint").alias("place"))  # forty rows
+    placed = stats.numbered(f.select("id", n.isNull().alias("text"), n.alias("number")), ["text", "number", "id"], "place")
+    return placed.select("id", "place")
 
 
 @register("t11_argmin_first_tie", "SELECT l_orderkey, arg_min(l_linenumber, (l_discount, l_linenumber)) AS line FROM lineitem GROUP BY 1")
@@ -192,7 +192,12 @@ def u1(spark, d):
     return count(a.union(b).distinct(), "union").unionByName(count(a.intersect(b), "intersection")).unionByName(count(a.subtract(b), "difference"))
 
 
-@register("j20_case_grid", "SELECT count(*) AS cells, count(DISTINCT event_type) AS modes FROM (SELECT DISTINCT event_type FROM events), range(10)")
+@register(
+    "j20_case_grid",
+    "SELECT event_type AS mode, t.range::INT AS seed, s.x AS severity FROM (SELECT DISTINCT event_type FROM events), range(10) t, (SELECT unnest(['low','medium','high']) AS x) s",
+)
 def j20(spark, d):
-    modes = table(spark, d, "events").select("event_type").distinct()
-    return modes.crossJoin(F.broadcast(spark.range(10))).agg(F.count("*").alias("cells"), F.count_distinct("event_type").alias("modes"))
+    """Every case of a grid: modes of the data by ten seeds by three severities."""
+    modes = table(spark, d, "events").select(F.col("event_type").alias("mode")).distinct()
+    seeds = modes.select("mode", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seed"))
+    return seeds.select("mode", "seed", F.explode(F.array(*map(F.lit, ("low", "medium", "high")))).alias("severity"))

@@ -10,6 +10,7 @@ from metrilith.operators.tables import Scratch
 from metrilith.plans.registry import register
 from metrilith.plans.views import MEASURES, measures, table
 from metrilith.sources import readers
+from metrilith.streaming import fan_out
 
 
 def r(c, name, n=4):
@@ -164,3 +165,27 @@ def snk3(spark, d):
     readers.write_remaining(table(spark, d, "orders").filter("o_orderstatus = 'F'").select(*o.columns), path, "o_orderkey")
     readers.write_remaining(o, path, "o_orderkey")
     return spark.read.parquet(path)
+
+
+@register(
+    "snk4_fan_out",
+    """SELECT output, count(*) AS n, sum(event_id)::BIGINT AS frames, sum(user_id)::BIGINT AS points
+ FROM events, (SELECT unnest(['raw_measurements','validated_measurements','final_measurements','measurement_confidence','physics_confidence','fault_log','runtime']) AS output) GROUP BY 1""",
+)
+def snk4(spark, d):
+    """Events as facts that arrive in several files, streamed to seven outputs; the first batch has reached two of them before."""
+    root = folder(spark, "facts")
+    e, v = table(spark, d, "events"), F.col("value")
+    facts = e.select(
+        F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("frame_id"), F.col("user_id").alias("point_id"), v.alias("x_raw"), (v / 2).alias("y_raw"), (v + 100).alias("z_raw"),
+        (v % 1).alias("measurement_confidence"), (1 - v % 1).alias("physics_confidence"), F.col("event_type").alias("fault_type"), v.alias("fault_score"),
+        F.when(F.col("event_type") == "error", "remeasure").otherwise("none").alias("recovery_action"), (F.col("event_type") != "error").alias("recovery_success"), (v * 10).alias("runtime_ms"),
+    )
+    facts.repartition(4, "frame_id").write.parquet(f"{root}/in")
+    fan = fan_out.FanOut(f"{root}/out")
+    source = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    some = fan_out.FanOut(f"{root}/out", {n: fan_out.OUTPUTS[n] for n in ("raw_measurements", "runtime")})
+    # as if the driver had been lost between the outputs of the first batches: another checkpoint, the same folders
+    fan_out.run(source, some, f"{root}/lost")
+    fan_out.run(source, fan, f"{root}/state")
+    return fan_out.summary(fan, spark)
