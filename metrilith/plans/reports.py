@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from metrilith.operators import stats
+from metrilith.operators import stats, variants
 from metrilith.operators.tables import Scratch
 from metrilith.plans.registry import register
 from metrilith.plans.views import MEASURES, measures, table
@@ -189,3 +189,23 @@ def snk4(spark, d):
     fan_out.run(source, some, f"{root}/lost")
     fan_out.run(source, fan, f"{root}/state")
     return fan_out.summary(fan, spark)
+
+
+_GATES = [(margin, confidence) for margin in (0.0, 0.02, 0.04) for confidence in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)]
+
+
+@register(
+    "r12_snk5_variants_with_record",
+    f"""WITH {MEASURES}, v AS (SELECT * FROM (VALUES {", ".join(f"('m{100 * m:.0f}_c{10 * c:.0f}', {m}, {c})" for m, c in _GATES)}) AS v(name, least_margin, least_confidence))
+ SELECT name AS method, count(*) AS n, count(*) FILTER (margin>=least_margin AND confidence>=least_confidence) AS accepted,
+ count(*) FILTER (margin>=least_margin AND confidence>=least_confidence AND rel<=20) AS accurate FROM m, v GROUP BY 1""",
+)
+def r12(spark, d):
+    """Eighteen gates over the same measurements, written under their own labels; counted while they are written, and settings kept beside them."""
+    m = measures(spark, d)
+    root = folder(spark, "variants")
+    passes = lambda margin, confidence: (F.col("margin") >= margin) & (F.col("confidence") >= confidence)
+    gates = {f"m{100 * a:.0f}_c{10 * b:.0f}": {"accepted": passes(a, b), "near": passes(a, b) & (F.col("rel") <= 20)} for a, b in _GATES}
+    record = variants.run(m, gates, ["frame", "point_id"], {"accepted": F.col("accepted"), "accurate": F.col("near")}, f"{root}/rows")
+    variants.write_summary(m, record, f"{root}/summary", {"gates": len(gates)})
+    return variants.record_table(m, record)

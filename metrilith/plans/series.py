@@ -124,12 +124,19 @@ def j14(spark, d):
     return table(spark, d, "customer").join(done, "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
-@register("j16_duplicate_components", "WITH RECURSIVE d AS (SELECT doc_id, lower(trim(text)) AS a, lang||':'||n_chars AS b FROM documents), k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY a) AS v FROM d UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY b) FROM d), e AS (SELECT doc_id AS u, v FROM k UNION SELECT v, doc_id FROM k), reach(a,b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.v FROM reach r JOIN e ON r.b=e.u) SELECT a AS doc_id, min(b) AS component FROM reach GROUP BY 1")
+@register(
+    "j16_duplicate_components",
+    """WITH RECURSIVE d AS (SELECT doc_id, lower(trim(text)) AS a, lang||':'||n_chars AS b, source||':'||lang||':'||left(text, 24) AS c FROM documents),
+ k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY a) AS v FROM d UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY b) FROM d UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY c) FROM d),
+ e AS (SELECT doc_id AS u, v FROM k UNION SELECT v, doc_id FROM k), reach(a,b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.v FROM reach r JOIN e ON r.b=e.u)
+ SELECT a AS doc_id, min(b) AS component FROM reach GROUP BY 1""",
+)
 def j16(spark, d):
-    """Documents joined by equal text or by equal language and length, over any chain of both."""
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.lower(F.trim("text")), 256).alias("a"), F.concat_ws(":", "lang", "n_chars").alias("b"))
+    """Documents joined by any of three composite keys, over any chain of them: text, language and length, or source, language and beginning."""
+    text = F.sha2(F.lower(F.trim("text")), 256)
+    docs = table(spark, d, "documents").select("doc_id", text.alias("a"), F.concat_ws(":", "lang", "n_chars").alias("b"), F.concat_ws(":", "source", "lang", F.left("text", F.lit(24))).alias("c"))
     edges = None
-    for key in ("a", "b"):
+    for key in ("a", "b", "c"):
         low = docs.groupBy(key).agg(F.min("doc_id").alias("v"))
         e = docs.join(low, key).select(F.col("doc_id").alias("u"), "v")
         edges = e if edges is None else edges.union(e)
