@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metrilith.functions import decisions, rules
 from metrilith.operators import align, constraints, motion, spectral, stats, temporal
 from metrilith.plans.registry import register
 from metrilith.plans.views import MEASURES, TRACKS, measures, table, tracks
+from metrilith.sources import readers
 
 XYZ = ["x", "y", "z"]
 
@@ -54,13 +58,26 @@ def j18(spark, d):
     return s.select("s_suppkey", r(off, "deviation"), (off <= 20).alias("identical"))
 
 
-@register("j19_raster_lookup", "WITH m AS (SELECT vec_id AS y, i-1 AS x, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 9) r(i)), p AS (SELECT event_id, event_id%500 AS y, round_even(value/10,0)::BIGINT AS x FROM events) SELECT event_id, round(v,6) AS truth FROM p LEFT JOIN m ON p.y=m.y AND p.x=m.x AND v>0")
+@register(
+    "j19_raster_lookup",
+    """WITH n AS (SELECT max(vec_id)//24+1 AS maps FROM embeddings), m AS (SELECT vec_id//24 AS map, vec_id%24 AS y, i-1 AS x, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 257) r(i) WHERE i<=len(embedding)),
+ p AS (SELECT event_id, event_id%(maps+1) AS map, event_id//7%30-2 AS y, round_even(value/3-1,0)::BIGINT AS x FROM events, n)
+ SELECT event_id, round(v,6) AS truth FROM p LEFT JOIN m ON p.map=m.map AND p.y=m.y AND p.x=m.x AND v>0 AND isfinite(v)""",
+)
 def j19(spark, d):
-    """The map's value at rounded coordinates; outside it, or where it isn't above zero, none."""
-    maps = table(spark, d, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode(F.slice("embedding", 1, 8)).alias("x", "v"))
-    maps = maps.select("y", F.col("x").cast("bigint").alias("x"), F.col("v").cast("double").alias("v")).filter((F.col("v") > 0) & ~F.isnan("v"))
-    p = table(spark, d, "events").select("event_id", (F.col("event_id") % 500).alias("y"), F.rint(F.col("value") / 10).cast("bigint").alias("x"))
-    return p.join(maps, ["y", "x"], "left").select("event_id", r(F.col("v"), "truth"))
+    """Values of float maps, 24 vectors each, at rounded coordinates; none outside a map, without one, or where it isn't above zero."""
+
+    @F.pandas_udf(T.BinaryType())
+    def content(rows: pd.Series) -> pd.Series:
+        return pd.Series([readers.encode_pfm(len(x), len(x[0]), np.stack(list(x))) for x in rows])
+
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 24).alias("map"), F.struct("vec_id", "embedding").alias("row"))
+    # 24 rows each
+    maps = e.groupBy("map").agg(F.sort_array(F.collect_list("row")).alias("rows")).select(F.col("map").cast("string").alias("path"), content("rows.embedding").alias("content"))
+    number = table(spark, d, "embeddings").agg(F.floor(F.max("vec_id") / 24).alias("maps"))
+    events = table(spark, d, "events").select("event_id", (F.floor(F.col("event_id") / 7) % 30 - 2).alias("y"), (F.col("value") / 3 - 1).alias("x")).join(F.broadcast(number))  # one row
+    points = events.select("event_id", "x", "y", (F.col("event_id") % (F.col("maps") + 2)).cast("string").alias("path"))
+    return readers.map_values(points, readers.float_tiles(maps, 16), "x", "y", "truth", 16).select("event_id", r(F.col("truth"), "truth"))
 
 
 @register("w3_innovation_shares", f"WITH {TRACKS}, {LAGS} SELECT point_id, count(d) AS n, round(100.0*count(*) FILTER (d>10)/nullif(count(d),0),6) AS over_10, round(100.0*count(*) FILTER (d>50)/nullif(count(d),0),6) AS over_50 FROM i GROUP BY 1")

@@ -162,6 +162,45 @@ def float_maps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, h int, w int, values array<float>")
 
 
+def encode_pfm(height: int, width: int, values: np.ndarray) -> bytes:
+    """A one-channel portable float map of values given row by row, top row first."""
+    rows = np.asarray(values, "<f4").reshape(height, width)
+    return b"Pf\n%d %d\n-1.0\n" % (width, height) + rows[::-1].tobytes()
+
+
+def float_tiles(files: DataFrame, side: int = 64) -> DataFrame:
+    """(path, h, w, tile_y, tile_x, values) of float maps given as (path, content): squares of `side`, smaller at the right and lower edge.
+
+    A file is decoded where it is read; a point's value is then one row of one tile away,
+    however large the map is.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                h, w, flat = decode_pfm(bytes(content))
+                image = flat.reshape(h, w)
+                at = [(y, x) for y in range(0, h, side) for x in range(0, w, side)]
+                yield pd.DataFrame({"path": path, "h": h, "w": w, "tile_y": [y // side for y, _ in at], "tile_x": [x // side for _, x in at], "values": [image[y : y + side, x : x + side].ravel() for y, x in at]})
+
+    return files.select("path", "content").mapInPandas(cut, "path string, h int, w int, tile_y int, tile_x int, values array<float>")
+
+
+def map_values(points: DataFrame, tiles: DataFrame, x: str, y: str, out: str, side: int = 64) -> DataFrame:
+    """`points`, which have a path, with the map's value at (x, y) rounded half to even as `out`.
+
+    Null outside the map, without a map, and where the value isn't a finite number above zero.
+    """
+    at = lambda c: F.rint(F.col(c)).cast("bigint")
+    tile = lambda c: F.floor(at(c) / side).cast("int")
+    kept = tiles.select("path", F.col("tile_y").alias("__ty"), F.col("tile_x").alias("__tx"), F.least(F.lit(side), F.col("w") - F.col("tile_x") * side).alias("__w"), F.col("values").alias("__v"))
+    met = points.withColumn("__ty", tile(y)).withColumn("__tx", tile(x)).join(kept, ["path", "__ty", "__tx"], "left")
+    row, column = F.pmod(at(y), F.lit(side)), F.pmod(at(x), F.lit(side))
+    value = F.when(column < F.col("__w"), F.get("__v", (row * F.col("__w") + column).cast("int"))).cast("double")
+    good = (value > 0) & (value < float("inf")) & ~F.isnan(value)
+    return met.withColumn(out, F.when(good, value)).select(*points.columns, out)
+
+
 def write_remaining(df: DataFrame, path: str, key: str) -> int:
     """Append the rows whose key isn't in the table at `path` yet, one for each key; the number of rows written.
 
