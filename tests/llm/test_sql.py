@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in want.description]
