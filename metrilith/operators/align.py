@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrilith.operators.tables import join_one
+
 
 def last_of(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """The last row by `order` of each key."""
@@ -43,8 +45,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, by: Sequence[str], t: str
     return left.join(best, row, "left").select(*left.columns, F.col("__m.distance").alias("distance"), *(F.col(f"__m.__v.{v}").alias(v) for v in values))
 
 
-#: Groups in which the rows of one stretch of time meet truth without a point.
-SALTS = 32
+#: Rows of one stretch of time that meet truth without a point in one group.
+CROWD = 250_000
 
 
 def _of_any(point: str):
@@ -65,17 +67,25 @@ def truth_of_frame(rows: DataFrame, truth: DataFrame, point: str, frame: str, or
     return out.select(*rows.columns, *(F.col(f"__t.__v.{v}").alias(v) for v in values))
 
 
-def _beside(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, tolerance: float, row: str, order: str, values: Sequence[str]) -> DataFrame:
+def _beside(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, tolerance: float, row: str, order: str, values: Sequence[str], deal: bool = False) -> DataFrame:
     """(row, distance, order, values): for each left row the nearest right row of its key within the tolerance, if any.
 
     Each key's times are cut into stretches of the tolerance's length, a right row stands in
     its own and both next to it, and the last and next right time of each left row are seen
-    in one sort of the stretch: nothing is paired.
+    in one sort of the stretch: nothing is paired. With `deal` the left rows of a stretch are dealt to groups
+    of about CROWD, and right rows are repeated for the groups of the stretches that have left rows.
     """
     stretch = F.floor(F.col(t) / tolerance).cast("bigint")
     firsts = right.groupBy(*by, t).agg(F.min(F.struct(F.col(order).alias("__o"), F.struct(*values).alias("__v"))).alias("__s"))
     seen = firsts.select(*by, t, F.lit(None).cast(left.schema[row].dataType).alias(row), F.struct(F.col(t).alias("t"), "__s").alias("__x"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("__b"))
-    line = left.select(*by, t, row, F.lit(None).cast(seen.schema["__x"].dataType).alias("__x"), stretch.alias("__b")).unionByName(seen)
+    line = left.select(*by, t, row, F.lit(None).cast(seen.schema["__x"].dataType).alias("__x"), stretch.alias("__b"))
+    if deal:
+        counts = line.groupBy("__b").agg(F.count("*").alias("n")).filter("__b is not null")
+        groups = counts.select("__b", F.ceil(F.col("n") / CROWD).cast("int").alias("__groups"))
+        line = join_one(line, groups, ["__b"], row, counts=counts).withColumn("__salt", F.pmod(F.xxhash64(row), F.col("__groups")).cast("int")).drop("__groups")
+        seen = seen.join(groups, "__b").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__groups") - 1))).drop("__groups")
+        by = [*by, "__salt"]
+    line = line.unionByName(seen)
     w = Window.partitionBy(*by, "__b").orderBy(t)
     sides = [F.last("__x", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first("__x", True).over(w.rangeBetween(0, Window.unboundedFollowing))]
     found = line.select(row, t, *(x.alias(n) for x, n in zip(sides, ("__a", "__z"), strict=True))).filter(F.col(row).isNotNull())
@@ -88,15 +98,13 @@ def nearest_truth(left: DataFrame, right: DataFrame, point: str, t: str, toleran
 
     Ties go to the smaller `order`; rows without truth within the tolerance keep nulls. The
     two ways are searched apart and the nearer is taken. Truth for all points would put all
-    rows of a stretch of time in one task: there rows are dealt to SALTS groups by `row`,
-    each with its own copy of that truth. `row` identifies a left row. `values` have to be
+    rows of a stretch of time in one task: there a stretch's rows are dealt to groups by `row`,
+    as many as its rows need, each with its own copy of the truth around. `row` identifies a left row. `values` have to be
     types that compare.
     """
     blank = _of_any(point)
     own = _beside(left.filter(~blank), right.filter(~blank), [point], t, tolerance, row, order, values)
-    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int"))
-    wide = right.filter(blank).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = own.unionByName(_beside(dealt, wide, ["__salt"], t, tolerance, row, order, values))
+    both = own.unionByName(_beside(left, right.filter(blank), [], t, tolerance, row, order, values, deal=True))
     best = both.filter("__m is not null").groupBy(row).agg(F.min("__m").alias("__m"))
     return left.join(best, row, "left").select(*left.columns, F.col("__m.distance").alias("distance"), *(F.col(f"__m.__v.{v}").alias(v) for v in values))
 

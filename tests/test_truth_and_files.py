@@ -85,7 +85,9 @@ def series():
     return left, right
 
 
-def test_nearest_truth_of_the_point_or_of_any(spark, series):
+@pytest.mark.parametrize("crowd", [3, 250_000])
+def test_nearest_truth_of_the_point_or_of_any(spark, series, monkeypatch, crowd):
+    monkeypatch.setattr(align, "CROWD", crowd)
     left, right = series
 
     def pick(at, fits):
