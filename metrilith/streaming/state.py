@@ -14,7 +14,8 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # --- quarantine -------------------------------------------------------------------------
@@ -170,56 +171,120 @@ def quarantine_stream(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
 SOFT, HARD, INFLATE = 7.815, 16.266, 4.0
 
 
-def filter_series(z: np.ndarray, dt: np.ndarray, noise: np.ndarray, q_pos: float = 0.05, q_vel: float = 0.05, p_pos: float = 1.0, p_vel: float = 10.0) -> tuple[np.ndarray, list[str]]:
-    """Constant-velocity filter over measurements z (n, 3): estimates and statuses.
-
-    The three coordinates share gates: a measurement is judged by the sum over all of them.
-    """
-    n, d = z.shape
-    f, h = np.eye(2 * d), np.eye(d, 2 * d)
-    x = np.concatenate([z[0], np.zeros(d)])
-    p = np.diag([p_pos] * d + [p_vel] * d)
-    out, status = [z[0]], ["initialized"]
-    for k in range(1, n):
-        f[:d, d:] = np.eye(d) * dt[k]
-        x = f @ x
-        p = f @ p @ f.T + np.diag([q_pos * dt[k] ** 2] * d + [q_vel * dt[k]] * d)
-        e, r = z[k] - x[:d], np.diag(noise[k])
-        s = p[:d, :d] + r
-        nis = e @ np.linalg.solve(s, e)
-        if nis > HARD:
-            status.append("predict_only_outlier")
-        else:
-            status.append("variance_inflated" if nis > SOFT else "updated")
-            if nis > SOFT:
-                s, r = s + (INFLATE - 1) * r, INFLATE * r
-            g = np.linalg.solve(s, p[:d]).T
-            x = x + g @ e
-            a = np.eye(2 * d) - g @ h
-            p = a @ p @ a.T + g @ r @ g.T
-            p = (p + p.T) / 2
-        out.append(x[:d].copy())
+@dataclass(frozen=True)
+class Filter:
+    """Variances: of a step's process for places and speeds, and of both at the beginning."""
+
+    q_pos: float = 0.05
+    q_vel: float = 0.05
+    p_pos: float = 1.0
+    p_vel: float = 10.0
+
+    def begin(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States (n, 2d) and covariances (n, 2d, 2d) of points first seen at z (n, d)."""
+        n, d = z.shape
+        return np.concatenate([z, np.zeros((n, d))], 1), np.tile(np.diag([self.p_pos] * d + [self.p_vel] * d), (n, 1, 1))
+
+    def step(self, x: np.ndarray, p: np.ndarray, z: np.ndarray, dt: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """New states and covariances, and statuses, of n points at once, each with its own dt (n) and noise (n, d).
+
+        The coordinates of a point share gates: a measurement is judged by the sum over all
+        of them. One that isn't finite is no measurement: the point is only predicted.
+        """
+        n, d = z.shape
+        f, q = np.tile(np.eye(2 * d), (n, 1, 1)), np.zeros((n, 2 * d, 2 * d))
+        at = np.arange(d)
+        f[:, at, at + d] = dt[:, None]
+        q[:, at, at], q[:, at + d, at + d] = self.q_pos * dt[:, None] ** 2, self.q_vel * dt[:, None]
+        x = (f @ x[:, :, None])[:, :, 0]
+        p = f @ p @ f.transpose(0, 2, 1) + q
+        seen = np.isfinite(z).all(1)
+        e = np.where(seen[:, None], z - x[:, :d], 0.0)
+        r = np.zeros((n, d, d))
+        r[:, at, at] = noise
+        s = p[:, :d, :d] + r
+        nis = (e * np.linalg.solve(s, e[:, :, None])[:, :, 0]).sum(1)
+        soft = nis > SOFT
+        r[soft] *= INFLATE
+        g = np.linalg.solve(p[:, :d, :d] + r, p[:, :d]).transpose(0, 2, 1)
+        a = np.eye(2 * d) - g @ np.eye(d, 2 * d)
+        after = a @ p @ a.transpose(0, 2, 1) + g @ r @ g.transpose(0, 2, 1)
+        taken = seen & (nis <= HARD)
+        x = np.where(taken[:, None], x + (g @ e[:, :, None])[:, :, 0], x)
+        p = np.where(taken[:, None, None], (after + after.transpose(0, 2, 1)) / 2, p)
+        return x, p, np.select([~seen, ~taken, soft], ["predict_only", "predict_only_outlier", "variance_inflated"], "updated").astype(object)
+
+
+def filter_series(z: np.ndarray, dt: np.ndarray, noise: np.ndarray, model: Filter = Filter()) -> tuple[np.ndarray, list[str]]:
+    """Constant-velocity filter over one point's measurements z (n, d): estimates and statuses."""
+    d = z.shape[1]
+    x, p = model.begin(z[:1])
+    out, status = [x[0, :d]], ["initialized"]
+    for k in range(1, len(z)):
+        x, p, named = model.step(x, p, z[k : k + 1], dt[k : k + 1], noise[k : k + 1])
+        out.append(x[0, :d])
+        status.append(named[0])
     return np.asarray(out), status
 
 
-def kalman(df: DataFrame, noise: float = 1.0) -> DataFrame:
-    """Filter each point's (t, x, y, z); rows with equal times of a point follow in order of frame, a thousandth apart."""
+class _Bank:
+    """The filters of all points of a task; rows come by place in the series, so that points step together."""
+
+    def __init__(self, model: Filter, noise: float):
+        self.model, self.noise = model, noise
+        self.ids, self.alive = np.empty(0, np.int64), np.empty(0, bool)
+        self.x, self.p = np.empty((0, 6)), np.empty((0, 6, 6))
+
+    def take(self, ids: np.ndarray, first: bool, z: np.ndarray, dt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates and statuses of one row of each of some points, whose ids go up."""
+        n = len(ids)
+        if first:
+            self.ids, self.alive = np.concatenate([self.ids, ids]), np.concatenate([self.alive, np.zeros(n, bool)])
+            self.x, self.p = np.concatenate([self.x, np.full((n, 6), np.nan)]), np.concatenate([self.p, np.zeros((n, 6, 6))])
+        slot = np.searchsorted(self.ids, ids)
+        status = np.full(n, "not_initialized", object)
+        old = self.alive[slot]
+        new = ~old & np.isfinite(z).all(1)
+        if old.any():
+            at = slot[old]
+            self.x[at], self.p[at], status[old] = self.model.step(self.x[at], self.p[at], z[old], dt[old], np.full((len(at), 3), self.noise))
+        if new.any():
+            at = slot[new]
+            self.x[at], self.p[at] = self.model.begin(z[new])
+            self.alive[at], status[new] = True, "initialized"
+        return self.x[slot, 0], status
+
+
+def kalman(df: DataFrame, noise: float = 1.0, model: Filter = Filter()) -> DataFrame:
+    """Filter each point's (t, x, y, z); rows with equal times of a point follow in order of frame, a thousandth apart.
+
+    A task holds the states of its points, not their rows: rows reach it by place in the
+    series, in batches, and all points of a batch at one place step together. A row with a coordinate
+    that isn't finite is only predicted (`not_initialized`, without an estimate, before the first
+    whole one). Rows without a point or a time have no place and are left out.
+    """
     schema = "point_id bigint, frame bigint, x double, est_x double, status string"
+    w = Window.partitionBy("point_id").orderBy("t", "frame", "x", "y", "z")
+    kept = df.filter("point_id is not null and t is not null").select(F.col("point_id").cast("bigint").alias("point_id"), F.col("frame").cast("bigint").alias("frame"), "t", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    placed = kept.withColumn("place", F.row_number().over(w)).withColumn("dt", F.greatest(F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(0.0)), F.lit(1e-3)))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "frame"])
-        dt = np.maximum(np.diff(pdf["t"].to_numpy(), prepend=pdf["t"].iloc[0]), 1e-3)
-        est, status = filter_series(pdf[["x", "y", "z"]].to_numpy(float), dt, np.full((len(pdf), 3), noise))
-        return pd.DataFrame({"point_id": key[0], "frame": pdf["frame"], "x": pdf["x"], "est_x": est[:, 0], "status": status})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bank = _Bank(model, noise)
+        for pdf in batches:
+            ids, place, dt = (pdf[c].to_numpy() for c in ("point_id", "place", "dt"))
+            z = pdf[["x", "y", "z"]].to_numpy(float)
+            cuts = [0, *(np.flatnonzero(np.diff(place)) + 1), len(pdf)]
+            found = [bank.take(ids[i:j], place[i] == 1, z[i:j], dt[i:j]) for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
+            if found:
+                yield pdf[["point_id", "frame", "x"]].assign(est_x=np.concatenate([f[0] for f in found]), status=np.concatenate([f[1] for f in found]))
 
-    return df.groupBy("point_id").applyInPandas(run, schema)
+    # the window has brought a point's rows together; the order by place needs no further exchange
+    out = placed.select("point_id", "frame", "x", "y", "z", "place", "dt").sortWithinPartitions("place", "point_id").mapInPandas(run, schema)
+    return out.withColumn("est_x", F.nanvl("est_x", F.lit(None).cast("double")))
 
 
 def lifecycle(df: DataFrame, max_failures: int = 3) -> DataFrame:
     """tracking, recovering or lost after each row of (point_id, frame, ok): lost for good once failures in a row reach the limit, until a success begins a new count."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     w = Window.partitionBy("point_id").orderBy("frame")
     d = df.withColumn("__g", F.count_if("ok").over(w))
     fails = F.count_if(~F.col("ok")).over(Window.partitionBy("point_id", "__g").orderBy("frame"))
