@@ -246,18 +246,19 @@ def st3(spark, d):
 
 @register(
     "st1_st8_tracker_stream",
-    f"""WITH {TRACKS}, o AS (SELECT point_id, frame, t, x, event_type<>'error' AS ok, CASE WHEN event_type<>'error' THEN t END AS to, CASE WHEN event_type<>'error' THEN x END AS xo FROM t),
- l AS (SELECT *, lag(to, 1 IGNORE NULLS) OVER w AS t1, lag(xo, 1 IGNORE NULLS) OVER w AS x1, lag(to, 2 IGNORE NULLS) OVER w AS t0, lag(xo, 2 IGNORE NULLS) OVER w AS x0,
+    f"""WITH {TRACKS}, o AS (SELECT point_id, frame, t, x, event_type<>'error' AS ok, CASE WHEN event_type<>'error' THEN t END AS tok, CASE WHEN event_type<>'error' THEN x END AS xo FROM t),
+ l AS (SELECT *, lag(tok, 1 IGNORE NULLS) OVER w AS t1, lag(xo, 1 IGNORE NULLS) OVER w AS x1, lag(tok, 2 IGNORE NULLS) OVER w AS t0, lag(xo, 2 IGNORE NULLS) OVER w AS x0,
   count(*) FILTER (ok) OVER w AS good, count(*) FILTER (x>=20) OVER w AS shown FROM o WINDOW w AS (PARTITION BY point_id ORDER BY frame)),
  c AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY point_id, good ORDER BY frame) AS failures, count(*) FILTER (x<20) OVER (PARTITION BY point_id, shown ORDER BY frame) AS low_frames,
   min(frame) FILTER (NOT ok) OVER (PARTITION BY point_id, good ORDER BY frame) AS started FROM l),
- d AS (SELECT *, CASE WHEN ok THEN greatest(1, frame - lag(started) OVER (PARTITION BY point_id ORDER BY frame)) END AS took FROM c)
+ d AS (SELECT *, lag(started) OVER (PARTITION BY point_id ORDER BY frame) AS since FROM c),
+ e AS (SELECT *, CASE WHEN ok AND since IS NOT NULL THEN greatest(1, frame - since) END AS took FROM d)
  SELECT point_id, frame, CASE WHEN failures=0 THEN 'tracking' WHEN failures<3 THEN 'recovering' ELSE 'lost' END AS state, failures::INT AS failures,
-  count(took) OVER w::INT AS recoveries, coalesce(sum(took) OVER w, 0)::BIGINT AS recovery_frames,
+  (count(took) OVER w)::INT AS recoveries, (coalesce(sum(took) OVER w, 0))::BIGINT AS recovery_frames,
   CASE WHEN x>=80 THEN 'HIGH' WHEN x>=50 THEN 'MEDIUM' WHEN x>=20 THEN 'LOW' WHEN low_frames>=3 THEN 'LOST' ELSE 'LOW' END AS confidence, low_frames::INT AS low_frames,
   round(CASE WHEN ok AND x1 IS NOT NULL AND x<60 AND abs(x-x1)<=15 THEN x1+0.2*(x-x1) WHEN ok THEN x END, 6) AS stabilised,
-  round(CASE WHEN t0 IS NULL OR t0=t1 THEN x1 ELSE x1+(x1-x0)/(t1-t0)*(t-t1) END, 6) AS predicted, round(1+0.01*count(x1) OVER w, 6) AS spread
- FROM d WINDOW w AS (PARTITION BY point_id ORDER BY frame)""",
+  round(CASE WHEN t0 IS NULL OR t0=t1 THEN x1 ELSE x1+(x1-x0)/(t1-t0)*(t-t1) END, 6) AS predicted, round(1+0.01::DOUBLE*count(x1) OVER w, 6) AS spread
+ FROM e WINDOW w AS (PARTITION BY point_id ORDER BY frame)""",
 )
 def st1_st8(spark, d):
     """All states of tracked points from a stream that stops twice and goes on from its checkpoint."""
@@ -265,9 +266,9 @@ def st1_st8(spark, d):
     t = tracks(spark, d).select("point_id", "frame", "t", *XYZ, F.col("x").alias("score"), (F.col("event_type") != "error").alias("ok"))
     first, second = t.agg(F.percentile_approx("t", [0.3, 0.7])).first()[0] or (0.0, 0.0)  # a stop may be anywhere, so about there will do
     rules = tracked.Rules(low=20, medium=50, high=80, smooth=15, far=60, noise=100)
-    stream = spark.readStream.schema(t.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
     for k, part in enumerate([t.filter(F.col("t") <= first), t.filter((F.col("t") > first) & (F.col("t") <= second)), t.filter(F.col("t") > second)]):
         part.write.parquet(f"{root}/in/batch={k}")
+        stream = spark.readStream.schema(t.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
         tracked.run(tracked.track(stream, rules), f"{root}/out", f"{root}/checkpoint")
     kept = ["point_id", "frame", "state", "failures", "recoveries", "recovery_frames", "confidence", "low_frames"]
     return spark.read.schema(tracked.OUT).parquet(f"{root}/out").select(*kept, *(r(F.col(c), c) for c in ("stabilised", "predicted", "spread")))
