@@ -9,7 +9,7 @@ from metrilith.operators import stats, variants
 from metrilith.operators.tables import Scratch
 from metrilith.plans.registry import register
 from metrilith.plans.views import MEASURES, measures, table
-from metrilith.sources import readers
+from metrilith.sources import calibration, readers
 from metrilith.streaming import fan_out
 
 
@@ -209,3 +209,42 @@ def r12(spark, d):
     record = variants.run(m, gates, ["frame", "point_id"], {"accepted": F.col("accepted"), "accurate": F.col("near")}, f"{root}/rows")
     variants.write_summary(m, record, f"{root}/summary", {"gates": len(gates)})
     return variants.record_table(m, record)
+
+
+@register(
+    "src15_snk10_calibrations",
+    """WITH s AS (SELECT s_suppkey AS k, round(500 + s_acctbal / 100, 2) AS f, round(s_acctbal / 50, 2) AS b FROM supplier)
+ SELECT 'camera ' || k AS name, CASE k % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'xml' ELSE 'copy' END AS form, round(f, 6) AS focal, 640 AS width, round(abs(b), 6) AS baseline, round(f * -b, 6) AS shift,
+  CASE WHEN k % 3 <> 2 AND k % 11 = 0 THEN 'unit' ELSE '' END AS issues
+ FROM s WHERE k % 3 <> 2 OR k % 11 <> 0""",
+)
+def src15(spark, d):
+    """A calibration for each supplier, written as JSON by long names or as XML, and as JSON of what has been read; scanned as one folder.
+
+    Copies are made of what was sound after reading another form.
+    """
+    root = folder(spark, "calibrations")
+    focal, side = F.round(500 + F.col("s_acctbal") / 100, 2), F.round(F.col("s_acctbal") / 50, 2)
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("camera "), "s_suppkey").alias("name"), focal.alias("f"), side.alias("b"), F.when(F.col("s_suppkey") % 11 == 0, "inch").otherwise("mm").alias("unit"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    camera = F.array(F.array("f", zero, F.lit(320.0)), F.array(zero, "f", F.lit(240.0)), F.array(zero, zero, one))
+    moved = F.array(-F.col("b"), zero, zero)
+    plain = s.select("k", "name", "unit", F.array(F.lit(640), F.lit(480)).alias("imageSize"), camera.alias("left_camera_matrix"), camera.alias("right_camera_matrix"), moved.alias("translation"))
+    plain.filter("k % 3 = 0").write.partitionBy("k").json(f"{root}/json")
+    cell = lambda c, rows, cols: F.struct(F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), F.lit("d").alias("dt"), F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias("data"))
+    coded = s.select("k", "name", "unit", cell(F.array(F.lit(640), F.lit(480)), 1, 2).alias("image_size"), cell(F.flatten(camera), 3, 3).alias("K_left"), cell(F.flatten(camera), 3, 3).alias("K_right"), cell(moved, 3, 1).alias("T"))
+    store = {"rootTag": "calibrations", "rowTag": "opencv_storage"}
+    coded.filter("k % 3 = 1").write.format("xml").options(**store).partitionBy("k").save(f"{root}/xml")
+    coded.filter("k % 3 = 2").write.format("xml").options(**store).partitionBy("k").save(f"{root}/_first")
+    sound = calibration.calibrations(spark, f"{root}/_first").filter(F.size("issues") == 0)
+    text = calibration.as_json(sound)
+    part = lambda c: F.get_json_object("text", f"$.{c}")
+    matrix = lambda c: F.from_json(part(c), calibration.MATRIX).alias(c)
+    text.select(
+        F.col("name").alias("camera"), "name", part("unit").alias("unit"), F.from_json(part("image_size"), "array<int>").alias("image_size"), F.from_json(part("translation"), "array<double>").alias("translation"),
+        *(matrix(c) for c in ("left_camera_matrix", "right_camera_matrix", "P1", "P2")),
+    ).write.partitionBy("camera").json(f"{root}/copy")
+    t = calibration.calibrations(spark, root)
+    form = F.regexp_extract("path", r"/(json|xml|copy)/[^/]+/[^/]+$", 1)
+    p2 = F.get(F.get("P2", 0), 3)
+    return t.select("name", form.alias("form"), r(F.get(F.get("K_left", 0), 0), "focal", 6), F.get("image_size", 0).alias("width"), r(F.col("baseline"), "baseline", 6), r(p2, "shift", 6), F.array_join("issues", ",").alias("issues"))
