@@ -9,7 +9,7 @@ from metrilith.operators import stats, variants
 from metrilith.operators.tables import Scratch
 from metrilith.plans.registry import register
 from metrilith.plans.views import MEASURES, measures, table
-from metrilith.sources import calibration, readers
+from metrilith.sources import calibration, index, readers
 from metrilith.streaming import fan_out
 
 
@@ -248,3 +248,34 @@ def src15(spark, d):
     form = F.regexp_extract("path", r"/(json|xml|copy)/[^/]+/[^/]+$", 1)
     p2 = F.get(F.get("P2", 0), 3)
     return t.select("name", form.alias("form"), r(F.get(F.get("K_left", 0), 0), "focal", 6), F.get("image_size", 0).alias("width"), r(F.col("baseline"), "baseline", 6), r(p2, "shift", 6), F.array_join("issues", ",").alias("issues"))
+
+
+@register(
+    "src9_src11_sample_index",
+    """WITH e AS (SELECT event_id AS k, user_id AS u FROM events),
+ a AS (SELECT 'FlyingThings3D_subset' AS dataset_name, CASE k % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS sequence_name, k::VARCHAR AS frame_id, -1.0::DOUBLE AS disparity_scale, k % 7 = 0 AS truth, 'FlyingThings3D_subset_image_clean.tar' AS top FROM e WHERE k % 4 = 0),
+ g AS (SELECT CASE WHEN k % 8 = 1 THEN 'FlyingThings3D_subset' ELSE 'city' || u % 10 END AS dataset_name, CASE WHEN k % 8 = 1 THEN 'train' ELSE 'u' || u END AS sequence_name, CASE WHEN k % 8 = 1 THEN (k - 1)::VARCHAR ELSE 'd' || k % 5 || '/' || k END AS frame_id, 1.0::DOUBLE AS disparity_scale, false AS truth, CASE WHEN k % 8 = 1 THEN 'FlyingThings3D_subset' ELSE 'city' || u % 10 END AS top FROM e WHERE k % 4 <> 0 AND k % 4 <> 3)
+ SELECT dataset_name || '/' || sequence_name || '/' || frame_id AS sample_id, top, disparity_scale, truth FROM
+  (SELECT * FROM a UNION ALL SELECT * FROM g WHERE (dataset_name, sequence_name, frame_id) NOT IN (SELECT (dataset_name, sequence_name, frame_id) FROM a))""",
+)
+def src9(spark, d):
+    """An index of samples over a listing with a sample of each event, by two adapters; a second build has replaced one of the second adapter alone.
+
+    Every fourth event lies in archives, the next one of two of these in folders that give the same
+    sample again or not, others in left and right folders of several namings; the last of four has no partner.
+    """
+    k, u = F.col("event_id"), F.col("user_id")
+    text = lambda *c: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in c))
+    name, split = k.cast("string"), F.when(k % 3 == 0, "train").when(k % 3 == 1, "val").otherwise("test")
+    archive = lambda part, side, end: text(f"FlyingThings3D_subset_{part}.tar/FlyingThings3D_subset/", split, f"/{part}/{side}/", name, end)
+    again = lambda side: text(f"FlyingThings3D_subset/train/{side}/", (k - 1).cast("string"), ".png")
+    side = lambda left, right: F.array(*(text("city", (u % 10).cast("string"), "/u", u.cast("string"), f"/{s}/d", (k % 5).cast("string"), "/", name, ".png") for s in (left, right)))
+    own = F.when(k % 4 == 0, F.array(archive("image_clean", "left", ".png"), archive("image_clean", "right", ".png"), F.when(k % 7 == 0, archive("disparity", "left", ".pfm"))))
+    own = own.when(k % 8 == 1, F.array(again("left"), again("right"))).when(k % 4 == 1, side("Left", "right")).when(k % 4 == 2, side("image_2", "IMAGE_3")).otherwise(side("cam0", "image_1"))
+    files = table(spark, d, "events").select(F.explode(own).alias("path")).filter("path is not null")
+    at = index.Index(spark, f"{folder(spark, 'index')}/samples")
+    found = index.discovered(files, "root")
+    at.build(found.filter("adapter = 'generic'"), "root")
+    at.build(found, "root")
+    top = F.regexp_extract("left_path", "^[^/]+", 0)
+    return at.read().select("sample_id", top.alias("top"), "disparity_scale", F.col("disparity_gt_path").isNotNull().alias("truth"))
