@@ -235,16 +235,25 @@ def track(df: DataFrame, rules: Rules = Rules(), model: Filter = Filter(), initi
     return df.groupBy("point_id").transformWithStateInPandas(Tracker(rules, model), OUT, "append", mode, begin)
 
 
+#: Several state variables need this store; it uploads what changed in a batch, and a partition's local files go with its commit.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
+
+
 @contextlib.contextmanager
 def state_store(spark: SparkSession):
-    """The store that holds several state variables, for streams that start inside."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Settings of the state store, for streams that start inside."""
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run(stream: DataFrame, path: str, checkpoint: str) -> None:
