@@ -171,7 +171,9 @@ def validity(depth: Column, motion: Column, least: float, most: float, most_moti
 
 def precision_plan(target: Column, depth_mm: Column, focal: float, baseline_mm: float, sigma: Column, floor: Column) -> dict[str, Column]:
     """Needed disparity noise of a depth target, the depth noise there is, their ratio, and whether the target can be met."""
-    need = F.try_divide(target * focal * baseline_mm, depth_mm * depth_mm)
+    square = depth_mm * depth_mm
+    # at no depth any noise will do
+    need = F.when((square == 0) & (target > 0), float("inf")).otherwise(F.try_divide(target * focal * baseline_mm, square))
     low = F.coalesce(floor, sigma)
     feasible = F.coalesce(low <= need, F.lit(False))
     reason = first_rule(

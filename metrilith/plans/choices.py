@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from metrilith.functions import parse, rules
 from metrilith.operators import stats
 from metrilith.plans.registry import register
-from metrilith.plans.views import MEASURES, measures, table
+from metrilith.plans.views import MEASURES, measures, rounded, table
 
 
 def r(c, name, n=6):
-    return F.round(c, n).alias(name)
+    return rounded(c, n).alias(name)
 
 
 @register("parse_clean_cells", "WITH c AS (SELECT event_id, CASE event_id%5 WHEN 0 THEN '' WHEN 1 THEN 'nan' WHEN 2 THEN 'inf' WHEN 3 THEN ' 1.5 ' ELSE '3' END AS s FROM events) SELECT event_id, CASE event_id%5 WHEN 3 THEN 1.5::DOUBLE WHEN 4 THEN 3.0::DOUBLE END AS number, CASE event_id%5 WHEN 4 THEN 3 ELSE -1 END::INTEGER AS frame FROM c")

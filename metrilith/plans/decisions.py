@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from metrilith.functions import decisions as ds
 from metrilith.functions import rules
 from metrilith.plans.registry import register
-from metrilith.plans.views import TRACKS, table, tracks
+from metrilith.plans.views import TRACKS, rounded, table, tracks
 
 EV = "e AS (SELECT event_id AS id, value AS v, (event_id%7)::INTEGER AS k, event_type AS kind, user_id FROM events)"
 
 
 def r(c, name, n=6):
-    return F.round(c, n).alias(name)
+    return rounded(c, n).alias(name)
 
 
 def events(spark, d):

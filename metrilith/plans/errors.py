@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from metrilith.functions import rules
 from metrilith.operators import stats
 from metrilith.plans.registry import register
-from metrilith.plans.views import MEASURES, measures, table
+from metrilith.plans.views import MEASURES, measures, rounded, table
 
 def valid():
     return F.col("status") == "F"
 
 
 def r(c, name, n=4):
-    return F.round(c, n).alias(name)
+    return rounded(c, n).alias(name)
 
 
 def quantiles(df, by, value, at, digits):

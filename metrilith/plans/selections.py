@@ -11,14 +11,14 @@ from pyspark.sql import types as T
 from metrilith.functions import decisions, rules
 from metrilith.operators import align, constraints, motion, spectral, stats, temporal
 from metrilith.plans.registry import register
-from metrilith.plans.views import MEASURES, TRACKS, measures, table, tracks
+from metrilith.plans.views import MEASURES, TRACKS, measures, rounded, table, tracks
 from metrilith.sources import readers
 
 XYZ = ["x", "y", "z"]
 
 
 def r(c, name, n=6):
-    return F.round(c, n).alias(name)
+    return rounded(c, n).alias(name)
 
 
 LAGS = "l AS (SELECT *, lag(x,1) OVER w x1, lag(x,2) OVER w x2, lag(y,1) OVER w y1, lag(y,2) OVER w y2, lag(z,1) OVER w z1, lag(z,2) OVER w z2 FROM t WINDOW w AS (PARTITION BY point_id ORDER BY frame)), i AS (SELECT *, sqrt((x-2*x1+x2)**2+(y-2*y1+y2)**2+(z-2*z1+z2)**2) AS d FROM l)"

@@ -9,14 +9,14 @@ from metrilith.operators import align, stats, temporal
 from metrilith.operators.components import connected_components
 from metrilith.operators.tables import Scratch
 from metrilith.plans.registry import register
-from metrilith.plans.views import MEASURES, TRACKS, measures, table, tracks
+from metrilith.plans.views import MEASURES, TRACKS, measures, rounded, table, tracks
 from metrilith.streaming import state, tracked
 
 XYZ = ["x", "y", "z"]
 
 
 def r(c, name, n=6):
-    return F.round(c, n).alias(name)
+    return rounded(c, n).alias(name)
 
 
 # --- joins -------------------------------------------------------------------------------

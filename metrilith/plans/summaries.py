@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from metrilith.functions import rules
 from metrilith.operators import stats, temporal
 from metrilith.plans.registry import register
-from metrilith.plans.views import MEASURES, TRACKS, measures, table, tracks
+from metrilith.plans.views import MEASURES, TRACKS, measures, rounded, table, tracks
 
 
 def r(c, name, n=6):
-    return F.round(c, n).alias(name)
+    return rounded(c, n).alias(name)
 
 
 def valid():
@@ -102,7 +102,7 @@ def a20(spark, d):
 @register("a27_a60_r3_method_summary", f"WITH {MEASURES} SELECT method, round(100.0*count(*) FILTER (status='F')/count(*),6) AS coverage, round(avg(abs(err)) FILTER (status='F'),4) AS mae, coalesce(round(avg(qty) FILTER (qty>60),4)::VARCHAR,'') AS blank_mean, 'N/A' AS temporal FROM m GROUP BY 1")
 def a27(spark, d):
     """Means over blanks alone are blank, and what a method can't have is N/A."""
-    blank = F.coalesce(F.round(F.avg(F.when(F.col("qty") > 60, F.col("qty"))), 4).cast("string"), F.lit(""))
+    blank = F.coalesce(rounded(F.avg(F.when(F.col("qty") > 60, F.col("qty"))), 4).cast("string"), F.lit(""))
     return measures(spark, d).groupBy("method").agg(r(stats.share(valid()), "coverage"), r(stats.mae(F.when(valid(), F.col("err"))), "mae", 4), blank.alias("blank_mean"), F.lit("N/A").alias("temporal"))
 
 
@@ -127,7 +127,7 @@ def a31(spark, d):
     is_ = lambda x: F.count_if(F.col("o0") == x)
     o = _arms(spark, d)
     counts = o.groupBy("arm").agg(F.count("*").alias("n"), is_("BENEFICIAL").alias("beneficial"), is_("HARMFUL").alias("harmful"))
-    return counts.join(stats.quantiles(o, ["arm"], "g0", {"median_gain": 0.5}), "arm", "left").withColumn("median_gain", F.round("median_gain", 4))
+    return counts.join(stats.quantiles(o, ["arm"], "g0", {"median_gain": 0.5}), "arm", "left").withColumn("median_gain", rounded("median_gain", 4))
 
 
 @register("a50_predictor_acceptance", f"{ARMS}, c AS (SELECT count(*) FILTER (arm='F' AND o0='HARMFUL') AS h0, count(*) FILTER (arm='F' AND o1='HARMFUL') AS h1, count(*) FILTER (arm='F' AND o0='BENEFICIAL') AS b0, count(*) FILTER (arm='F' AND o1='BENEFICIAL') AS b1, count(*) FILTER (arm='O' AND o0='HARMFUL') AS c0, count(*) FILTER (arm='O' AND o1='HARMFUL') AS c1, quantile_cont(g0,0.5) FILTER (arm='F') AS m0, quantile_cont(g1,0.5) FILTER (arm='F') AS m1 FROM o) SELECT h0-h1 AS harmful_reduction, round(m0,4) AS median_0, round(m1,4) AS median_1, h0-h1>=2 AS less_harm, b1>=b0 AS no_less_good, m1>m0 AS better_median, c1<=c0 AS clean_kept, h0-h1>=2 AND b1>=b0 AND m1>m0 AND c1<=c0 AS accepted FROM c")
@@ -196,7 +196,7 @@ def a48(spark, d, most: int = 3):
     t = tracks(spark, d)
     a = t.select("point_id", F.col("frame").alias("f"), "x", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")).withColumn("frame", F.col("f") - F.col("lag"))
     s = a.join(t.select("point_id", "frame", "y"), ["point_id", "frame"]).groupBy("point_id", "lag").agg(F.avg((F.col("x") - F.col("y")) ** 2).alias("mse"))
-    return s.groupBy("point_id").agg(F.min_by("lag", F.struct(F.round("mse", 9), "lag")).alias("lag"))
+    return s.groupBy("point_id").agg(F.min_by("lag", F.struct(rounded("mse", 9), "lag")).alias("lag"))
 
 
 CLEAN = f"WITH {TRACKS}, e AS (SELECT *, max(frame) FILTER (event_type='error') OVER (PARTITION BY point_id) AS ended FROM t)"
@@ -232,7 +232,7 @@ def a53(spark, d):
     e = table(spark, d, "events").select("event_type", (F.col("value") - F.col("event_id") % 100).alias("dy")).withColumn("a", F.abs("dy"))
     rms = stats.rmse(F.col("dy"))
     q = stats.quantiles(e, ["event_type"], "a", {"median": 0.5, "p95": 0.95})
-    return e.groupBy("event_type").agg(r(rms, "rms"), r(F.exp(-rms / 50), "health")).join(q, "event_type").withColumns({c: F.round(c, 6) for c in ("median", "p95")})
+    return e.groupBy("event_type").agg(r(rms, "rms"), r(F.exp(-rms / 50), "health")).join(q, "event_type").withColumns({c: rounded(c, 6) for c in ("median", "p95")})
 
 
 @register("a54_w9_displacement_error", f"WITH {TRACKS}, s AS (SELECT x-first_value(x) OVER w AS dx, y-first_value(y) OVER w AS dy FROM t WINDOW w AS (PARTITION BY point_id ORDER BY frame)) SELECT round(sqrt(avg((dx-dy)**2)),6) AS rmse, round(100*abs(max(abs(dx))-max(abs(dy)))/max(abs(dy)),6) AS peak_error_percent FROM s")

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MEASURES = """m AS (SELECT l_returnflag AS method, l_linestatus AS status, l_orderkey AS frame, l_linenumber AS point_id, l_partkey AS part,
@@ -22,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(c: Column | str, places: int) -> Column:
+    """A double rounded as the SQL does it: half away from zero after it is multiplied by the power of ten.
+
+    Spark's own rounding goes by the decimal digits of the number itself: 1.005 (which times 100
+    is less than 100.5) becomes 1.01 there. What the power takes out of range stays as it is.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    scaled = c * 10.0**places
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**places).otherwise(c)
+
+
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted against true price of each order line."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
