@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrilith.operators.tables import join_one
@@ -67,12 +67,22 @@ def truth_of_frame(rows: DataFrame, truth: DataFrame, point: str, frame: str, or
     return out.select(*rows.columns, *(F.col(f"__t.__v.{v}").alias(v) for v in values))
 
 
+def _last_and_next(x: Column, by: Sequence[str], t: str) -> tuple[Column, Column]:
+    """The last value of `x` that isn't null up to each row's time, and the next one from it on.
+
+    Both frames only grow as the rows go by, the second in falling order of time: a frame
+    from each row to the end would be gone through anew for every row.
+    """
+    grown = lambda order: Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    return F.last(x, True).over(grown(F.col(t).asc())), F.last(x, True).over(grown(F.col(t).desc()))
+
+
 def _beside(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, tolerance: float, row: str, order: str, values: Sequence[str], deal: bool = False) -> DataFrame:
     """(row, distance, order, values): for each left row the nearest right row of its key within the tolerance, if any.
 
     Each key's times are cut into stretches of the tolerance's length, a right row stands in
     its own and both next to it, and the last and next right time of each left row are seen
-    in one sort of the stretch: nothing is paired. With `deal` the left rows of a stretch are dealt to groups
+    in two sorts of the stretch: nothing is paired. With `deal` the left rows of a stretch are dealt to groups
     of about CROWD, and right rows are repeated for the groups of the stretches that have left rows.
     """
     stretch = F.floor(F.col(t) / tolerance).cast("bigint")
@@ -86,8 +96,7 @@ def _beside(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, tolera
         seen = seen.join(groups, "__b").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__groups") - 1))).drop("__groups")
         by = [*by, "__salt"]
     line = line.unionByName(seen)
-    w = Window.partitionBy(*by, "__b").orderBy(t)
-    sides = [F.last("__x", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first("__x", True).over(w.rangeBetween(0, Window.unboundedFollowing))]
+    sides = _last_and_next(F.col("__x"), [*by, "__b"], t)
     found = line.select(row, t, *(x.alias(n) for x, n in zip(sides, ("__a", "__z"), strict=True))).filter(F.col(row).isNotNull())
     at = lambda x: F.when(F.abs(F.col(f"{x}.t") - F.col(t)) <= tolerance, F.struct(F.abs(F.col(f"{x}.t") - F.col(t)).alias("distance"), F.col(f"{x}.__s.__o").alias("__o"), F.col(f"{x}.__s.__v").alias("__v")))
     return found.select(row, F.least(at("__a"), at("__z")).alias("__m"))
@@ -118,8 +127,8 @@ def interpolated(left: DataFrame, right: DataFrame, by: Sequence[str], t: str, v
     samples = right.groupBy(*by, t).agg(F.avg(value).alias("__v"))
     line = left.select(*by, t, row, F.lit(None).cast("double").alias("__v")).unionByName(samples.select(*by, t, F.lit(None).cast(left.schema[row].dataType).alias(row), "__v"))
     sample = F.when(F.col("__v").isNotNull(), F.struct(F.col(t).alias("t"), F.col("__v").alias("v")))
-    w = Window.partitionBy(*by).orderBy(t)
-    line = line.withColumn("__a", F.last(sample, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first(sample, True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    last, after = _last_and_next(sample, by, t)
+    line = line.withColumn("__a", last).withColumn("__b", after)
     share = F.try_divide(F.col(t) - F.col("__a.t"), F.col("__b.t") - F.col("__a.t"))
     at = F.when(F.col("__a.t") == F.col("__b.t"), F.col("__a.v")).otherwise(F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * share)
     return line.filter(F.col(row).isNotNull()).select(row, at.alias(value))

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -183,3 +184,17 @@ def test_readers(spark, tmp_path):
     assert readers.write_remaining(df.filter("id < 4"), f"{tmp_path}/t", "id") == 4 and readers.write_remaining(df, f"{tmp_path}/t", "id") == 6
     readers.write_csv(spark.createDataFrame([(1, float("nan")), (2, 0.5)], "a int, b double"), f"{tmp_path}/out", ["b", "a"])
     assert sorted(x.strip() for f in (tmp_path / "out").glob("*.csv") for x in f.read_text().split("\n") if x and x != "b,a") == [",1", "0.5,2"]
+
+
+def test_a_long_stretch_is_gone_through_once(spark):
+    n = 30_000
+    left = spark.range(n).select(F.col("id").alias("i"), F.lit("p").alias("p"), (F.col("id") * 7 % n / n).alias("t"))
+    right = spark.range(0, n, 9).select(F.col("id").alias("j"), F.when(F.col("id") % 2 == 0, "p").alias("p"), (F.col("id") / n).alias("t"))
+    near = align.nearest_truth(left, right, "p", "t", 2.0, "i", "j", ["j"])
+    between = align.interpolated(left, right.withColumn("p", F.lit("p")).withColumn("v", F.col("t") * 3), ["p"], "t", "v", "i")
+    for df in (near, between):
+        frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^)]*\(?\)?), ([^)]*\(?\)?)\)", df._jdf.queryExecution().optimizedPlan().toString())
+        assert frames and not any("unboundedfollowing" in f[1].lower() for f in frames)
+    got = {x.i: x.j for x in near.collect()}
+    assert all(got[i] == min((k // 9 * 9, k // 9 * 9 + 9), key=lambda j: (abs(j - k), j)) for i, k in ((i, i * 7 % n) for i in range(0, n, 101)) if k < n - 9)
+    assert all(abs(x.v - 3 * (x.i * 7 % n) / n) < 1e-9 for x in between.collect() if x.v is not None)
