@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from metrilith.operators import stats, variants
 from metrilith.operators.tables import Scratch
 from metrilith.plans.registry import register
-from metrilith.plans.views import MEASURES, measures, table
+from metrilith.plans.views import MEASURES, measures, rounded, table
 from metrilith.sources import calibration, index, readers
 from metrilith.streaming import fan_out
 
 
 def r(c, name, n=4):
-    return F.round(c, n).alias(name)
+    return rounded(c, n).alias(name)
 
 
 def folder(spark, label):
@@ -224,18 +224,20 @@ def src15(spark, d):
     Copies are made of what was sound after reading another form.
     """
     root = folder(spark, "calibrations")
-    focal, side = F.round(500 + F.col("s_acctbal") / 100, 2), F.round(F.col("s_acctbal") / 50, 2)
+    focal, side = rounded(500 + F.col("s_acctbal") / 100, 2), rounded(F.col("s_acctbal") / 50, 2)
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("camera "), "s_suppkey").alias("name"), focal.alias("f"), side.alias("b"), F.when(F.col("s_suppkey") % 11 == 0, "inch").otherwise("mm").alias("unit"))
     zero, one = F.lit(0.0), F.lit(1.0)
     camera = F.array(F.array("f", zero, F.lit(320.0)), F.array(zero, "f", F.lit(240.0)), F.array(zero, zero, one))
     moved = F.array(-F.col("b"), zero, zero)
     plain = s.select("k", "name", "unit", F.array(F.lit(640), F.lit(480)).alias("imageSize"), camera.alias("left_camera_matrix"), camera.alias("right_camera_matrix"), moved.alias("translation"))
-    plain.filter("k % 3 = 0").write.partitionBy("k").json(f"{root}/json")
+    # a folder for each calibration: files are made by many tasks, however few bytes they have
+    dealt = lambda df: df.repartition(64, "k").write
+    dealt(plain.filter("k % 3 = 0")).partitionBy("k").json(f"{root}/json")
     cell = lambda c, rows, cols: F.struct(F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), F.lit("d").alias("dt"), F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias("data"))
     coded = s.select("k", "name", "unit", cell(F.array(F.lit(640), F.lit(480)), 1, 2).alias("image_size"), cell(F.flatten(camera), 3, 3).alias("K_left"), cell(F.flatten(camera), 3, 3).alias("K_right"), cell(moved, 3, 1).alias("T"))
     store = {"rootTag": "calibrations", "rowTag": "opencv_storage"}
-    coded.filter("k % 3 = 1").write.format("xml").options(**store).partitionBy("k").save(f"{root}/xml")
-    coded.filter("k % 3 = 2").write.format("xml").options(**store).partitionBy("k").save(f"{root}/_first")
+    dealt(coded.filter("k % 3 = 1")).format("xml").options(**store).partitionBy("k").save(f"{root}/xml")
+    dealt(coded.filter("k % 3 = 2")).format("xml").options(**store).partitionBy("k").save(f"{root}/_first")
     sound = calibration.calibrations(spark, f"{root}/_first").filter(F.size("issues") == 0)
     text = calibration.as_json(sound)
     part = lambda c: F.get_json_object("text", f"$.{c}")

@@ -35,3 +35,8 @@ def test_precision_of_no_depth(spark, tmp_path):
     rows = [(i, v, "error", 1) for i, v in enumerate([0.0, 30.0, 41.5, 55.25, None] * 7)]
     got = _against_sql(spark, tmp_path, "p17_p57_accuracy_annotation", "events", spark.createDataFrame(rows, "event_id bigint, value double, event_type string, user_id bigint"))
     assert any(row[1] == float("inf") and row[3] for row in got)
+
+
+def test_calibrations_of_halves(spark, tmp_path):
+    rows = [(3 * i + i % 3, x) for i, x in enumerate([3698.75, 3805.75, 6814.75, 3305.75, 3741.75, -12.25, 0.25])]
+    _against_sql(spark, tmp_path, "src15_snk10_calibrations", "supplier", spark.createDataFrame(rows, "s_suppkey bigint, s_acctbal double"))
