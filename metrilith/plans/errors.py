@@ -252,7 +252,8 @@ def a57(spark, d):
 def a58(spark, d):
     m = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("method"), F.col("l_extendedprice").alias("v"))
     k = stats.quantiles(m, ["method"], "v", {"med": 0.5})
-    away = m.join(k, "method").select("method", F.abs(F.col("v") - F.col("med")).alias("away"))
+    # a row for each method: joined by method, all rows of one would meet in one task
+    away = m.join(F.broadcast(k), "method").select("method", F.abs(F.col("v") - F.col("med")).alias("away"))
     return k.select("method", r(F.col("med"), "median")).join(quantiles(away, ["method"], "away", {"mad": 0.5}, 4), "method")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from metrilith.functions import decisions
 from metrilith.operators import align, generators, stats, temporal
+from metrilith.plans import errors
 
 SHARES = {"low": 0.0, "mid": 0.5, "p95": 0.95, "top": 1.0}
 
@@ -97,3 +98,11 @@ def test_evenly_spaced_places(spark):
     for n in (3, 7, 8, 50):
         got = [r.id for r in spark.range(n).filter(temporal.evenly(F.col("id"), F.lit(n), 7)).collect()]
         assert got == (list(range(n)) if n <= 7 else np.linspace(0, n - 1, 7, dtype=int).tolist())
+
+
+def test_medians_meet_their_rows_by_broadcast(spark, small, monkeypatch):
+    seen, plain = [], errors.quantiles
+    monkeypatch.setattr(errors, "quantiles", lambda df, *a: (seen.append(df), plain(df, *a))[1])
+    errors.a58(spark, small)
+    # joined by method, all rows of one would meet in one task
+    assert "strategy=broadcast" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
