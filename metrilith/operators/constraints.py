@@ -1,8 +1,8 @@
 """Declared constraints over tables, broken ones as coded issues.
 
-Constraints of a row, of a key and of an order are declared by name and found in one pass:
-one exchange by the keys' group serves what keys and orders need, and all issues of a row
-leave it together.
+Constraints of a row, of a key and of an order are declared by name. What they look at is
+worked out once; keys and orders then have exchanges of their own, of narrow rows, none of
+which brings a whole group together.
 """
 
 from __future__ import annotations
@@ -12,8 +12,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrilith.operators.tables import Scratch
+
 FAIL, WARNING, PASS = "FAIL", "WARNING", "PASS"
 _ISSUE = "array<struct<severity:string,code:string,message:string>>"
+#: Lines of a group whose order is looked at together.
+SPAN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -59,26 +63,32 @@ class Constraints:
 def issues(rows: DataFrame, c: Constraints) -> DataFrame:
     """(file, line, severity, code, message): a row for each broken rule of each row of `rows`.
 
-    The rules' keys and values are worked out once; a single exchange by file and group
-    serves all of them.
+    The rules' keys and values are worked out once and written with what rows break by themselves.
+    Equal keys meet by key; an order is looked at in stretches of SPAN lines, then between the ends of
+    neighbouring stretches, so that a group may hold any number of rows. Lines are numbers.
     """
-    keyed, found = rows, []
     by = [c.file, *c.group]
-    for i, rule in enumerate(c.rules):
-        if isinstance(rule, Rule):
-            found.append((rule, F.coalesce(rule.broken, F.lit(False))))
-            continue
-        name = f"__rule_{i}"
-        keyed = keyed.withColumn(name, rule.key if isinstance(rule, Unique) else rule.value)
+    issue = lambda r: F.struct(F.lit(r.severity).alias("severity"), F.lit(r.code).alias("code"), F.lit(r.message).alias("message"))
+    single = [r for r in c.rules if isinstance(r, Rule)]
+    several = {f"__rule_{i}": r for i, r in enumerate(c.rules) if not isinstance(r, Rule)}
+    broken = F.array_compact(F.array(*(F.when(r.broken, issue(r)) for r in single))).cast(_ISSUE).alias("__issues")
+    keyed = rows.select(*dict.fromkeys([*by, c.line]), broken, *((r.key if isinstance(r, Unique) else r.value).alias(n) for n, r in several.items()))
+    if several:
+        keyed = Scratch(rows.sparkSession, "constraints").write(keyed, "keyed")
+    shape = lambda df, i: df.select(F.col(c.file).alias("file"), F.col(c.line).alias("line"), i)
+    out = shape(keyed, F.inline("__issues"))
+    for name, rule in several.items():
+        held = keyed.select(*by, c.line, name).filter(F.col(name).isNotNull())
         if isinstance(rule, Unique):
-            place = F.row_number().over(Window.partitionBy(*by, name).orderBy(c.line))
-            found.append((rule, F.col(name).isNotNull() & (place > 1)))
+            found = held.withColumn("__place", F.row_number().over(Window.partitionBy(*by, name).orderBy(c.line))).filter("__place > 1")
         else:
-            before = F.last(name, True).over(Window.partitionBy(*by).orderBy(c.line).rowsBetween(Window.unboundedPreceding, -1))
-            found.append((rule, F.coalesce(F.col(name) <= before, F.lit(False))))
-    named = [F.when(broken, F.struct(F.lit(r.severity).alias("severity"), F.lit(r.code).alias("code"), F.lit(r.message).alias("message"))) for r, broken in found]
-    out = keyed.select(c.file, c.line, F.array_compact(F.array(*named)).cast(_ISSUE).alias("__issues"))
-    return out.select(F.col(c.file).alias("file"), F.col(c.line).alias("line"), F.inline("__issues"))
+            held = held.withColumn("__part", F.floor(F.col(c.line) / SPAN))
+            inside = held.withColumn("__before", F.lag(name).over(Window.partitionBy(*by, "__part").orderBy(c.line)))
+            ends = held.groupBy(*by, "__part").agg(F.min(c.line).alias(c.line), F.min_by(name, c.line).alias(name), F.max_by(name, c.line).alias("__last"))
+            between = ends.withColumn("__before", F.lag("__last").over(Window.partitionBy(*by).orderBy("__part")))
+            found = inside.drop("__part").unionByName(between.drop("__part", "__last")).filter(F.col(name) <= F.col("__before"))
+        out = out.unionByName(shape(found, F.inline(F.array(issue(rule)))))
+    return out
 
 
 def truth_rules(number=lambda c: F.col(c).try_cast("double")) -> Constraints:
@@ -116,7 +126,10 @@ def truth_issues(rows: DataFrame, files: DataFrame) -> DataFrame:
     by the file's own columns. A file without rows is GT_EMPTY; one that lacks columns is
     GT_FIELDS, and its rows aren't looked at; one without its alignment's column is GT_ALIGNMENT_FIELD.
     """
-    names = rows.groupBy("file").agg(F.min_by(F.map_keys("cells"), "line").alias("names"))
+    # first lines are found by numbers alone: cells of other rows aren't built or sorted for it; what is broadcast has a row for each file
+    first = rows.groupBy(F.col("file").alias("__file")).agg(F.min("line").alias("__first"))
+    heads = rows.join(F.broadcast(first), (F.col("file") == F.col("__file")) & (F.col("line") == F.col("__first")), "left_semi")
+    names = heads.groupBy("file").agg(F.first(F.map_keys("cells")).alias("names"))
     heads = files.join(names, "file", "left")
     lacks = F.filter(F.array(*map(F.lit, TRUTH)), lambda c: ~F.array_contains("names", c))
     aligned = F.try_element_at(F.create_map(*(F.lit(x) for pair in ALIGNED.items() for x in pair)), F.col("alignment"))
@@ -129,7 +142,7 @@ def truth_issues(rows: DataFrame, files: DataFrame) -> DataFrame:
     of_files = heads.select("file", F.lit(None).cast("bigint").alias("line"), whole.alias("i")).filter("i is not null").select("file", "line", "i.*")
     complete = heads.filter(F.size(lacks) == 0).select("file")
     cell = lambda c: F.try_element_at("cells", F.lit(c))
-    flat = rows.join(complete, "file", "left_semi").select("file", F.col("line").cast("bigint").alias("line"), F.trim(F.coalesce(cell("point_id"), F.lit(""))).alias("point"), *(cell(c).alias(c) for c in (*TRUTH[1:], "frame", "timestamp_s")))
+    flat = rows.join(F.broadcast(complete), "file", "left_semi").select("file", F.col("line").cast("bigint").alias("line"), F.trim(F.coalesce(cell("point_id"), F.lit(""))).alias("point"), *(cell(c).alias(c) for c in (*TRUTH[1:], "frame", "timestamp_s")))
     return of_files.unionByName(issues(flat, truth_rules()))
 
 

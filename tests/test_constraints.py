@@ -43,3 +43,26 @@ def test_warnings_and_no_rows(spark, truth):
 def test_numbers_over_partitions(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as a", "id % 3 as b").repartition(7)
     assert all(r.at == r.a + 1 for r in stats.numbered(df, ["a"], "at").collect())
+
+
+@pytest.mark.parametrize("span", [3, 1 << 20])
+def test_one_large_group_is_looked_at_in_stretches(spark, monkeypatch, span):
+    import random
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(constraints, "SPAN", span, raising=False)
+    rng = random.Random(5)
+    values = [rng.choice([None, *range(12)]) for _ in range(200)]
+    rows = spark.createDataFrame([("a", i + 2, v) for i, v in enumerate(values)] + [("b", 2, 5), ("b", 90, 4)], "file string, line int, v int")
+    found = constraints.issues(rows, constraints.Constraints("file", "line", (), (constraints.Unique("U", F.col("v"), "again"), constraints.Increasing("I", F.col("v"), "not above"))))
+    want, last = [("b", 90, "I")], None
+    for i, v in enumerate(values):
+        if v is None:
+            continue
+        want += [("a", i + 2, "U")] * (v in values[:i]) + [("a", i + 2, "I")] * (last is not None and v <= last)
+        last = v
+    assert sorted((r.file, r.line, r.code) for r in found.collect()) == sorted(want)
+    # a window over whole files sees ends of stretches only
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by(__rule_1" in plan and plan.count("Window [") == 3
