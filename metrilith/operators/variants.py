@@ -1,19 +1,23 @@
 """Variants of a method run over the same rows, with a record of the run.
 
-All variants come from one plan that reads its rows once. What the record says of them is
-counted while they are written, not by another pass over the result.
+All variants come from one plan that reads its rows once and writes them beside each other, a
+row for each row; each variant's columns go from there to its own folder. What the record
+says is counted while they are written, not by another pass over the result.
 """
 
 from __future__ import annotations
 
 import json
 import platform
+import re
 import sys
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from metrilith.operators.tables import Scratch
+
 #: A row of the record: a variant's rows, and how many of them hold each observed condition.
 Record = dict[str, dict[str, int]]
 
@@ -35,12 +39,31 @@ def run(rows: DataFrame, variants: dict[str, dict[str, Column]], keep: list[str]
     rows counts zero.
     """
     seen = Observation("variants")
-    is_ = {name: F.col(label) == name for name in variants}
-    counts = [F.count_if(here).alias(f"{i}:n") for i, here in enumerate(is_.values())]
-    counts += [F.count_if(here & c).alias(f"{i}:{k}") for i, here in enumerate(is_.values()) for k, c in conditions.items()]
-    expanded(rows, variants, keep, label).observe(seen, *counts).write.partitionBy(label).parquet(path)
+    kept = [c for c in keep if c != label]
+    # all variants beside each other, counted a row at a time: the work of counting grows with variants, not with their square
+    wide = rows.select(*(F.col(c).alias(f"__k{j}") for j, c in enumerate(kept)), *(c.alias(f"__v{i}:{k}") for i, columns in enumerate(variants.values()) for k, c in columns.items()))
+    plain = wide.columns
+
+    def one(df: DataFrame, i: int, name: str, *more: str) -> DataFrame:
+        own = (F.col(f"__v{i}:{k}").alias(k) for k in variants[name])
+        return df.select(*more, *(F.col(f"__k{j}").alias(c) for j, c in enumerate(kept)), *own)
+
+    for i, name in enumerate(variants):
+        held = wide.columns
+        wide = one(wide, i, name, *held).withColumn(label, F.lit(name)).select(*held, *(c.alias(f"__c{i}:{k}") for k, c in conditions.items()))
+    counts = [F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(c)).alias(c) for c in wide.columns if c.startswith("__c"))]
+    scratch = Scratch(rows.sparkSession, "variants")
+    beside = scratch.write(wide.observe(seen, *counts).select(*plain), "beside")
+    for i, name in enumerate(variants):
+        one(beside, i, name).write.parquet(f"{path}/{label}={_folder(name)}")
+    scratch.drop(beside)
     got = seen.get
-    return {name: {k: got[f"{i}:{k}"] for k in ("n", *conditions)} for i, name in enumerate(variants)}
+    return {name: {"n": got["n"], **{k: got[f"__c{i}:{k}"] for k in conditions}} for i, name in enumerate(variants)}
+
+
+def _folder(name: str) -> str:
+    """A name as Spark's readers expect it in a folder's."""
+    return re.sub(r"""[\x00-\x1f"#%'*/:=?\\{\[\]^\x7f]""", lambda m: f"%{ord(m[0]):02X}", name)
 
 
 def record_table(rows: DataFrame, record: Record, label: str = "method") -> DataFrame:

@@ -27,3 +27,19 @@ def test_one_scan_and_no_rows(spark, tmp_path):
     plan = variants.expanded(rows, both, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range (") == 1 and "Exchange" not in plan
     assert variants.run(rows.limit(0), both, ["id"], {"odd": F.col("x") == 1}, f"{tmp_path}/none") == {"a": {"n": 0, "odd": 0}, "b": {"n": 0, "odd": 0}}
+
+
+def test_counting_sees_each_row_once(spark, tmp_path, monkeypatch):
+    """Conditions may read the label, kept columns and the variant's, which hide the row's own of the same name."""
+    rows = spark.range(1000).selectExpr("id", "id % 10 as v")
+    many = {f"v{k}": {"v": F.col("v") + k, "x": F.col("v") >= k} for k in range(18)}
+    seen = {"odd": F.col("v") % 2 == 1, "own": (F.col("method") == "v3") & (F.col("id") < 10), "null": F.when(F.col("x"), True)}
+    counted_rows, write = [], variants.Scratch.write
+    monkeypatch.setattr(variants.Scratch, "write", lambda self, df, name: counted_rows.append(df) or write(self, df, name))
+    many["a/b=c%"] = many["v1"]
+    record = variants.run(rows, many, ["id"], seen, f"{tmp_path}/out")
+    assert len(counted_rows) == 1 and counted_rows[0].count() == 1000  # not once for each variant
+    written = spark.read.parquet(f"{tmp_path}/out")
+    counted = written.groupBy("method").agg(F.count("*").alias("n"), *(F.count_if(c).alias(k) for k, c in seen.items()))
+    assert record == {r.method: {"n": r.n, "odd": r.odd, "own": r.own, "null": r["null"]} for r in counted.collect()}
+    assert record["v3"]["own"] == 10 and record["v4"]["own"] == 0
