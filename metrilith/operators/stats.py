@@ -103,6 +103,20 @@ def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     return placed.select(*df.columns, (F.col("__before") + F.col("__at") - F.shiftleft("__part", 33) + 1).alias(out))
 
 
+def placed(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """`df` with each row's place within its key in the order of columns, from 1; a null key is a key.
+
+    One range sort by key and order numbers all rows; what precedes a key's rows in a partition is
+    counted by key and partition, so that rows of a key don't meet, however many it holds.
+    """
+    cut = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id())
+    rows = Scratch(df.sparkSession, "places").write(cut, "rows").withColumn("__c", F.shiftright("__at", 33))
+    w = Window.partitionBy(*by).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*by, "__c").agg(F.min("__at").alias("__s"), F.count("*").alias("__all"))
+    cells = cells.withColumn("__before", F.coalesce(F.sum("__all").over(w), F.lit(0)))
+    return _with_sizes(rows, cells, by).select(*df.columns, (F.col("__at") - F.col("__s") + F.col("__before") + 1).alias(out))
+
+
 def quantiles(df: DataFrame, by: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact quantiles, linear between neighbours, one row for each key; {name: share} in `at`.
 

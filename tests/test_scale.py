@@ -106,3 +106,14 @@ def test_medians_meet_their_rows_by_broadcast(spark, small, monkeypatch):
     errors.a58(spark, small)
     # joined by method, all rows of one would meet in one task
     assert "strategy=broadcast" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_of_hot_null_and_tiny_keys(spark):
+    """Each row's place in its key; no window brings a key's rows together."""
+    rows = [("hot" if i % 7 else None, (i * 7919) % 1000, i) for i in range(1000)] + [("one", 5, 0)]
+    got = stats.placed(spark.createDataFrame(rows, "k string, v int, index int").repartition(5), ["k"], ["v"], "at")
+    want = {k: sorted(v for key, v, _ in rows if key == k) for k in ("hot", None, "one")}
+    assert sorted((str(r.k), r.v, r["at"]) for r in got.collect()) == sorted((str(k), v, i + 1) for k, x in want.items() for i, v in enumerate(x))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    assert len(joins) == 1 and "__c" in joins[0]  # by key and partition, not by key
