@@ -1,55 +1,32 @@
-"""Spectra of sliding windows from sums, without a list of a window's values.
-
-A window's discrete Fourier transform is a set of sums over its rows. With angles by a row's
-place in the whole series all windows use the same terms, so that each sum is one over a
-moving frame of rows; turning it to the window's own beginning comes after. What the
-detrended series under a Hann window needs follows from the plain sums: a line's transform
-is known, and the Hann window mixes neighbouring frequencies. Windows that are shorter, at
-the beginning of a series, have angles of their own and are summed row by row.
+"""Spectra of sliding windows, many windows of one length in one transform.
+
+Series are cut into parts that hold the rows which their first windows reach back to. A task
+reads its parts in order, in batches, and keeps the few last values of a batch for the next.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrilith.operators import stats
 
-#: Rows of a series that one part of the moving sums holds, besides those before them that its first windows need.
+#: Rows of a series that one part holds, besides those before them that its first windows need.
 PART = 4096
 
 
-def _sums(most: int, x: Column, place: Column, n: Column | int) -> list[Column]:
-    """x times cosine and sine of each frequency up to most / 2, and x times its place."""
-    terms = []
-    for k in range(most // 2 + 1):
-        angle = F.pmod(place * k, n) * (2 * math.pi) / n
-        terms += [(x * F.cos(angle)).alias(f"__re{k}"), (-x * F.sin(angle)).alias(f"__im{k}")]
-    return [*terms, (x * place).alias("__px")]
-
-
-def _densities(sums: np.ndarray, n: int, start: np.ndarray, fs: float) -> np.ndarray:
-    """One-sided densities at 0 to n / 2 of windows of one length, a row each, detrended and under a Hann window.
-
-    Turns the sums to each window's beginning, takes off the transform of its line of best
-    fit, which at k is n (i cot(pi k / n) - 1) / 2 for a slope of one, and mixes neighbours.
-    """
+def _densities(x: np.ndarray, fs: float) -> np.ndarray:
+    """One-sided densities at 0 to n / 2 of windows of n values, a row each, detrended and under a Hann window."""
+    n = x.shape[1]
+    at = np.arange(n) - (n - 1) / 2
+    x = x - x.mean(1, keepdims=True)
+    x = x - (x @ at)[:, None] / (n * (n * n - 1) / 12) * at
+    h = np.fft.rfft(x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)), axis=1)
     k = np.arange(n // 2 + 1)
-    x = (sums[:, 2 * k] + 1j * sums[:, 2 * k + 1]) * np.exp(2j * np.pi * k * start[:, None] / n)
-    total = sums[:, 0]
-    slope = (sums[:, -1] - start * total - (n - 1) / 2 * total) / (n * (n * n - 1) / 12)
-    line = np.zeros(len(k), complex)
-    line[1:] = n * (1j / np.tan(np.pi * k[1:] / n) - 1) / 2
-    x = x - slope[:, None] * line
-    x[:, 0] = 0
-    # real values: the transform is mirrored at zero and beyond the half
-    x = np.concatenate([x[:, 1:2].conj(), x, x[:, [n - n // 2 - 1]].conj()], axis=1)
-    h = 0.5 * x[:, 1:-1] - 0.25 * (x[:, :-2] + x[:, 2:])
     twice = np.where((k == 0) | (2 * k == n), 1, 2)
     return (h.real**2 + h.imag**2) / (fs * 3 * n / 8) * twice
 
@@ -62,31 +39,16 @@ def _peaks(p: np.ndarray, n: int, fs: float, half_width: float) -> list[np.ndarr
     return [top * fs / n, np.sqrt(p[np.arange(len(p)), top]), between.sum(1) * fs / n]
 
 
-def windows(df: DataFrame, by: Sequence[str], order: str, value: str, most: int = 64, least: int = 16) -> DataFrame:
-    """(by, order, i, n, sums): for each row from the `least`-th of its series on, its window's length and sums.
+def parts(df: DataFrame, by: Sequence[str], order: str, value: str, most: int) -> DataFrame:
+    """(by, order, __x, __i, __part): a series' values by place from 0, in parts of PART rows, each with the `most` - 1 rows before it.
 
-    `order` is a number that differs within a series. Rows are numbered over range partitions and moving
-    sums run in parts of PART rows, each with the rows before it that its windows reach back
-    to, so that a series of any length is spread out. Rows without a value take no part.
+    `order` is a number that differs within a series. Rows are numbered over range partitions,
+    so that a series of any length is spread out. Rows without a value take no part.
     """
-    rows = df.select(*by, order, F.col(value).cast("double").alias("__x")).filter("__x is not null and not isnan(__x)").withColumn("__one", F.lit(1))
-    rows = stats.running(rows, by, order, "__one").select(*by, order, "__x", (F.col("upto") - 1).alias("__i"))
-    part = F.floor(F.col("__i") / PART)
-    reached = F.floor((F.col("__i") + most - 1) / PART)
-    parts = rows.withColumn("__part", F.explode(F.array_distinct(F.array(part, reached))))
-    terms = parts.repartition(*by, "__part").select(*by, order, "__x", "__i", "__part", *_sums(most, F.col("__x"), F.col("__i"), most))
-    names = [c for c in terms.columns if c.startswith(("__re", "__im", "__px"))]
-    w = Window.partitionBy(*by, "__part").orderBy("__i").rowsBetween(1 - most, 0)
-    full = terms.select(*by, order, "__i", "__part", *(F.sum(c).over(w).alias(c) for c in names)).filter((F.col("__i") >= most - 1) & (F.col("__part") == part))
-    full = full.select(*by, order, F.col("__i").alias("i"), F.lit(float(most)).alias("n"), (F.col("__i") - most + 1).cast("double").alias("start"), *names)
-    # the first rows of a series: pairs of at most most * most / 2 rows each
-    head = rows.filter(F.col("__i") < most - 1)
-    ends = head.filter(F.col("__i") >= least - 1).select(*by, F.col(order).alias("__end"), F.col("__i").alias("__last"))
-    pairs = head.select(*by, "__x", "__i").join(ends, list(by)).filter("__i <= __last")
-    n = (F.col("__last") + 1).cast("double")
-    short = pairs.select(*by, "__end", "__last", *_sums(most, F.col("__x"), F.col("__i"), n)).groupBy(*by, "__end", "__last").agg(*(F.sum(c).alias(c) for c in names))
-    short = short.select(*by, F.col("__end").alias(order), F.col("__last").alias("i"), n.alias("n"), F.lit(0.0).alias("start"), *names)
-    return full.unionByName(short)
+    rows = df.select(*by, order, F.col(value).cast("double").alias("__x")).filter("__x is not null and not isnan(__x)")
+    rows = stats.placed(rows, by, [order], "__i").withColumn("__i", F.col("__i") - 1)
+    part, reached = F.floor(F.col("__i") / PART), F.floor((F.col("__i") + most - 1) / PART)
+    return rows.withColumn("__part", F.explode(F.array_distinct(F.array(part, reached)))).repartition(*by, "__part").sortWithinPartitions(*by, "__part", "__i")
 
 
 def dominant(df: DataFrame, by: Sequence[str], order: str, value: str, fs: float, most: int = 64, least: int = 16, half_width: float = 0.5) -> DataFrame:
@@ -95,22 +57,28 @@ def dominant(df: DataFrame, by: Sequence[str], order: str, value: str, fs: float
     Frequency is that of the largest density above zero, the lowest of equals; amplitude its root; energy the
     densities around it, up to `half_width`, by trapezoids. `i` is the row's place from 0.
     """
-    found = windows(df, by, order, value, most, least)
-    names = [c for c in found.columns if c.startswith("__")]
-    kinds = ", ".join(f"`{c}` {dict(found.dtypes)[c]}" for c in [*by, order, "i"])
+    found = parts(df, by, order, value, most)
+    kinds = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in [*by, order])
+    kept, size = [*by, order], PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of a part follow each other: a window is a stretch of rows, which may begin in the batch before
+        tail = np.empty(0)
         for batch in batches:
-            n, start = (batch.column(c).to_numpy() for c in ("n", "start"))
-            sums = np.stack([batch.column(c).to_numpy() for c in names], 1)
-            out = np.empty((3, len(n)))
-            for length in np.unique(n).astype(int):  # at most `most` of them
-                at = np.flatnonzero(n == length)
-                out[:, at] = _peaks(_densities(sums[at], length, start[at], fs), length, fs, half_width)
-            kept = [*by, order, "i"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, out)], names=[*kept, "frequency", "amplitude", "energy"])
-
-    return found.mapInArrow(run, f"{kinds}, frequency double, amplitude double, energy double")
+            i = batch.column("__i").to_numpy()
+            x = np.concatenate([tail, batch.column("__x").to_numpy()])
+            lengths = np.where((i >= least - 1) & (i // size == batch.column("__part").to_numpy()), np.minimum(i + 1, most), 0)
+            out = np.empty((3, len(i)))
+            for n in np.unique(lengths[lengths > 0]):  # at most `most` of them
+                at = np.flatnonzero(lengths == n)
+                values = np.lib.stride_tricks.sliding_window_view(x, n)[at + len(tail) - n + 1]
+                out[:, at] = _peaks(_densities(values, fs), int(n), fs, half_width)
+            at = np.flatnonzero(lengths)
+            picked = [batch.column(c).take(pa.array(at)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*picked, pa.array(i[at]), *(pa.array(v[at]) for v in out)], names=[*kept, "i", "frequency", "amplitude", "energy"])
+            tail = x[max(0, len(x) - most + 1) :]
+
+    return found.mapInArrow(run, f"{kinds}, i bigint, frequency double, amplitude double, energy double")
 
 
 def consensus(spectra: DataFrame, order: str, fs: float) -> DataFrame:

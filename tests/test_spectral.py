@@ -32,3 +32,19 @@ def test_consensus_of_a_frame(spark):
     last = spectral.consensus(found, "frame", 30.0).filter("frame = 69").select("p", "frequency", "consensus", "agreement").collect()
     assert all(r.consensus == 3.75 and (r.agreement == 1.0) == (r.p < 3) for r in last) and len(last) == 4
     assert spectral.consensus(found.filter(F.lit(False)), "frame", 30.0).count() == 0
+
+
+def test_windows_go_on_over_batches_and_need_no_moving_sums(spark):
+    rng = random.Random(3)
+    series = {p: [rng.gauss(0, 3) for _ in range(n)] for p, n in ((0, 200), (1, 90), (2, 20))}
+    df = spark.createDataFrame([(p, i, x) for p, v in series.items() for i, x in enumerate(v)], "p int, frame int, x double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = spectral.dominant(df, ["p"], "frame", "x", 30.0)
+        got = {(r.p, r.frame): [r.frequency, r.amplitude, r.energy] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(p, i): kernels.dominant(np.array(v[max(0, i - 63) : i + 1]), 30.0) for p, v in series.items() for i in range(15, len(v))}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=1e-6) for k in want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "COS(" not in plan.upper()
