@@ -181,9 +181,10 @@ def snk4(spark, d):
         (v % 1).alias("measurement_confidence"), (1 - v % 1).alias("physics_confidence"), F.col("event_type").alias("fault_type"), v.alias("fault_score"),
         F.when(F.col("event_type") == "error", "remeasure").otherwise("none").alias("recovery_action"), (F.col("event_type") != "error").alias("recovery_success"), (v * 10).alias("runtime_ms"),
     )
-    facts.repartition(4, "frame_id").write.parquet(f"{root}/in")
+    # four batches of sixteen files, so that many tasks share each batch
+    facts.repartition(64, "frame_id").write.parquet(f"{root}/in")
     fan = fan_out.FanOut(f"{root}/out")
-    source = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    source = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 16).parquet(f"{root}/in")
     some = fan_out.FanOut(f"{root}/out", {n: fan_out.OUTPUTS[n] for n in ("raw_measurements", "runtime")})
     # as if the driver had been lost between the outputs of the first batches: another checkpoint, the same folders
     fan_out.run(source, some, f"{root}/lost")

@@ -42,3 +42,12 @@ def test_a_half_written_batch_is_written_anew(spark, tmp_path):
     batch.limit(2).write.parquet(f"{tmp_path}/out/only/_batch-0")
     assert fan(batch, 0) == ["only"] and fan(batch, 0) == []
     assert rows(fan, spark, "only") == [0, 1, 2, 3, 4]
+
+
+def test_a_batch_of_the_query_has_files_for_many_tasks(spark, small, tmp_path, monkeypatch):
+    from metrilith.plans import reports
+
+    monkeypatch.setattr(reports, "folder", lambda spark, label: str(tmp_path))
+    assert reports.snk4(spark, small).count() == 7
+    assert len(list(tmp_path.glob("in/*.parquet"))) == 64
+    assert all(len(list(tmp_path.glob(f"out/{n}/batch=*"))) == 4 for n in fan_out.OUTPUTS)
