@@ -18,6 +18,8 @@ from metrilith.sources.readers import IMAGES, SIBLINGS, samples
 ARCHIVE, SUBSET, SPLITS = "image_clean.tar", "FlyingThings3D_subset", ("train", "val", "test")
 #: Adapters by rank.
 ADAPTERS = (SUBSET, "generic")
+#: Parts that a folder's files are dealt to.
+DEALS = 32
 _SAMPLE = ("dataset_name", "sequence_name", "frame_id", "left_path", "right_path", "disparity_gt_path", "disparity_scale", "official_split", "is_sequence")
 
 
@@ -41,6 +43,15 @@ def _stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=[^/])\.[^./]+$", "")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys over all partitions of a shuffle.
+
+    Paths of a listing are alike and shrink to a hundredth when they are shuffled, so partitions
+    must not be put together by their size there: a task would hold any number of rows.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def archived_pairs(files: DataFrame) -> DataFrame:
     """Samples of the data set of archives: images of one name left and right, with truth where it is there (disparities are negative)."""
     p = _parts(files).filter((F.size("parts") == 6) & (F.get("parts", 1) == SUBSET) & F.get("parts", 2).isin(*SPLITS))
@@ -50,8 +61,8 @@ def archived_pairs(files: DataFrame) -> DataFrame:
     left = image.filter(here("image_clean", "left")).select(archive.alias("archive"), split.alias("split"), F.col("last").alias("name"), F.col("path").alias("left_path"), "parts")
     right = p.filter(archive.endswith(ARCHIVE) & here("image_clean", "right")).select(archive.alias("archive"), split.alias("split"), F.col("last").alias("name"), F.col("path").alias("right_path"))
     truth = p.filter(here("disparity", "left") & F.col("last").endswith(".pfm")).select(archive.alias("source"), split.alias("split"), _stem(F.col("last")).alias("frame_id"), F.col("path").alias("disparity_gt_path"))
-    met = left.join(right, ["archive", "split", "name"]).withColumn("frame_id", _stem(F.col("name"))).withColumn("source", F.replace("archive", F.lit("image_clean"), F.lit("disparity")))
-    met = met.join(truth, ["source", "split", "frame_id"], "left")
+    met = _spread(left, "archive", "split", "name").join(_spread(right, "archive", "split", "name"), ["archive", "split", "name"]).withColumn("frame_id", _stem(F.col("name"))).withColumn("source", F.replace("archive", F.lit("image_clean"), F.lit("disparity")))
+    met = _spread(met, "source", "split", "frame_id").join(_spread(truth, "source", "split", "frame_id"), ["source", "split", "frame_id"], "left")
     return met.select(
         F.lit(SUBSET).alias("dataset_name"), F.col("split").alias("sequence_name"), "frame_id", "left_path", "right_path", "disparity_gt_path",
         F.lit(-1.0).alias("disparity_scale"), F.col("split").alias("official_split"), F.lit(False).alias("is_sequence"), F.array("parts").alias("place"),
@@ -73,9 +84,13 @@ def sibling_pairs(files: DataFrame, root_name: str) -> DataFrame:
     side = F.lower("folder").alias("side")
     folders = p.filter(side.isin(*SIBLINGS.values())).select(*at, side, "folder", "path")
     chosen = folders.groupBy("parent", "side").agg(F.min("folder").alias("folder"))
-    right = folders.join(chosen, ["parent", "side", "folder"]).select("parent", "below", "side", F.col("path").alias("right_path"))
+    # a folder may hold a large share of all files: they are dealt out, and its row repeated as often
+    keys = ["parent", "side", "folder", "deal"]
+    folders = folders.withColumn("deal", F.pmod(F.xxhash64("path"), F.lit(DEALS)).cast("int"))
+    chosen = chosen.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    right = _spread(folders, *keys).join(_spread(chosen, *keys), keys).select("parent", "below", "side", F.col("path").alias("right_path"))
     top = F.when(F.size("parent") > 0, F.get("parent", 0)).otherwise(root_name)
-    met = left.join(right, ["parent", "below", "side"])
+    met = _spread(left, "parent", "below", "side").join(_spread(right, "parent", "below", "side"), ["parent", "below", "side"])
     return met.select(
         top.alias("dataset_name"), F.coalesce(F.try_element_at("parent", F.lit(-1)), F.lit(root_name)).alias("sequence_name"), _stem(F.col("below")).alias("frame_id"), "left_path", "right_path",
         F.lit(None).cast("string").alias("disparity_gt_path"), F.lit(1.0).alias("disparity_scale"), F.lit(None).cast("string").alias("official_split"), F.lit(False).alias("is_sequence"),
@@ -91,7 +106,7 @@ def discovered(files: DataFrame, root_name: str) -> DataFrame:
     both = archived_pairs(files).withColumn("adapter", F.lit(0)).unionByName(sibling_pairs(files, root_name).withColumn("adapter", F.lit(1)))
     named = both.withColumn("sample_id", F.concat_ws("/", "dataset_name", "sequence_name", "frame_id"))
     first = F.struct("adapter", "place", *(c for c in _SAMPLE))
-    return named.groupBy("sample_id").agg(F.min(first).alias("s")).select("sample_id", *(f"s.{c}" for c in _SAMPLE), F.get(F.array(*map(F.lit, ADAPTERS)), "s.adapter").alias("adapter"))
+    return _spread(named, "sample_id").groupBy("sample_id").agg(F.min(first).alias("s")).select("sample_id", *(f"s.{c}" for c in _SAMPLE), F.get(F.array(*map(F.lit, ADAPTERS)), "s.adapter").alias("adapter"))
 
 
 class Index:

@@ -74,3 +74,12 @@ def test_builds_replace_each_other(spark, tmp_path):
     assert rows(at.read()) == WANT and len(rows(old)) == 4  # who reads the old build goes on
     assert first["build"] in at.clean() and rows(at.read()) == WANT
     assert at.build(found.filter("false"), "tree")["sample_count"] == 0 and at.read().count() == 0
+
+
+def test_files_of_one_folder_are_dealt_out_and_partitions_stay_apart(spark):
+    """Alike paths shrink when they are shuffled: partitions aren't put together by their size."""
+    paths = [f"city/s/{side}/{i}.png" for i in range(300) for side in ("left", "right")]
+    found = index.discovered(spark.createDataFrame([(p,) for p in paths], "path string"), "tree")
+    assert found.count() == 300
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") >= 9 and "deal" in plan
