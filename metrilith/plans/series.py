@@ -262,16 +262,19 @@ def st3(spark, d):
 )
 def st1_st8(spark, d):
     """All states of tracked points from a stream that stops twice and goes on from its checkpoint."""
-    root = Scratch(spark, "tracker").root
+    kept = Scratch(spark, "tracker")
+    root = kept.root
     t = tracks(spark, d).select("point_id", "frame", "t", *XYZ, F.col("x").alias("score"), (F.col("event_type") != "error").alias("ok"))
+    t = kept.write(t, "rows")
     first, second = t.agg(F.percentile_approx("t", [0.3, 0.7])).first()[0] or (0.0, 0.0)  # a stop may be anywhere, so about there will do
     rules = tracked.Rules(low=20, medium=50, high=80, smooth=15, far=60, noise=100)
     for k, part in enumerate([t.filter(F.col("t") <= first), t.filter((F.col("t") > first) & (F.col("t") <= second)), t.filter(F.col("t") > second)]):
         part.write.parquet(f"{root}/in/batch={k}")
         stream = spark.readStream.schema(t.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
         tracked.run(tracked.track(stream, rules), f"{root}/out", f"{root}/checkpoint")
-    kept = ["point_id", "frame", "state", "failures", "recoveries", "recovery_frames", "confidence", "low_frames"]
-    return spark.read.schema(tracked.OUT).parquet(f"{root}/out").select(*kept, *(r(F.col(c), c) for c in ("stabilised", "predicted", "spread")))
+    kept.drop(t)
+    plain = ["point_id", "frame", "state", "failures", "recoveries", "recovery_frames", "confidence", "low_frames"]
+    return spark.read.schema(tracked.OUT).parquet(f"{root}/out").select(*plain, *(r(F.col(c), c) for c in ("stabilised", "predicted", "spread")))
 
 
 @register("w21_every_kth", f"WITH {MEASURES}, k AS (SELECT method, frame, point_id, row_number() OVER (PARTITION BY method ORDER BY frame, point_id) AS k FROM m) SELECT method, frame, point_id FROM k WHERE (k-1)%50=0")

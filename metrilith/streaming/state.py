@@ -214,6 +214,32 @@ class Filter:
         p = np.where(taken[:, None, None], (after + after.transpose(0, 2, 1)) / 2, p)
         return x, p, np.select([~seen, ~taken, soft], ["predict_only", "predict_only_outlier", "variance_inflated"], "updated").astype(object)
 
+    def begin_one(self, z: tuple) -> tuple[list, list]:
+        """State of a single point as `step_one` has it."""
+        return [*map(float, z), *[0.0] * len(z)], [self.p_pos, 0.0, self.p_vel]
+
+    def step_one(self, x: list, p: list, z: tuple | None, dt: float, noise: float) -> tuple[list, list, str]:
+        """The step of one point in plain numbers, which cost far less than arrays of one row.
+
+        With one noise for all coordinates their covariances are equal and none goes from one
+        to another, so p holds only a place's variance, its covariance with the speed and the
+        speed's variance. No z is no measurement.
+        """
+        d = len(x) // 2
+        place, speed = [a + dt * b for a, b in zip(x[:d], x[d:], strict=True)], x[d:]
+        pp, pv, vv = p
+        pp, pv, vv = pp + dt * (2 * pv + dt * (vv + self.q_pos)), pv + dt * vv, vv + self.q_vel * dt
+        if z is None:
+            return [*place, *speed], [pp, pv, vv], "predict_only"
+        e = [a - b for a, b in zip(z, place, strict=True)]
+        nis = sum(a * a for a in e) / (pp + noise)
+        if nis > HARD:
+            return [*place, *speed], [pp, pv, vv], "predict_only_outlier"
+        r = noise * INFLATE if nis > SOFT else noise
+        g, h = pp / (pp + r), pv / (pp + r)
+        p = [(1 - g) * (1 - g) * pp + g * g * r, (1 - g) * (pv - h * pp) + g * h * r, vv - 2 * h * pv + h * h * (pp + r)]
+        return [a + g * b for a, b in zip(place, e, strict=True)] + [a + h * b for a, b in zip(speed, e, strict=True)], p, "variance_inflated" if nis > SOFT else "updated"
+
 
 def filter_series(z: np.ndarray, dt: np.ndarray, noise: np.ndarray, model: Filter = Filter()) -> tuple[np.ndarray, list[str]]:
     """Constant-velocity filter over one point's measurements z (n, d): estimates and statuses."""
