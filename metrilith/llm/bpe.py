@@ -11,6 +11,10 @@ over a cut. Two kinds of cut are known to be safe:
 
 Any other tokenizer takes ``whole``: no cuts. Pieces repeat far more often than texts
 do, so each distinct piece is encoded once for a Python worker.
+
+Pieces of a byte-level tokenizer are split and told apart by Arrow; Python sees each distinct one
+of a call once. A new piece that ends in marks after a letter or digit is joined from
+what stands before them and the marks, as such a tokenizer cuts there by itself.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that stay in a worker's cache, the first that it met, as frequent ones come early; up
 #: to twice as many are held during a task. Ten thousand take about three megabytes.
@@ -29,6 +35,8 @@ _RUN = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Separators to Python's str.split that are no white space to the tokenizer.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: A piece up to its last letter or digit, and marks after that; no apostrophes, which may begin a word's ending.
+_MARKS = re.compile(r"(?s)(.*[0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])([!-&(-/:-@\[-`{-~]+)\Z")
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
 
@@ -40,60 +48,109 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = {"drop_space": self._words, "lead_space": self._led, "whole": lambda text: [text]}[cut]
+        self.cut = {"drop_space": self._words, "lead_space": _CUT.split, "whole": lambda text: [text]}[cut]
         self.led = cut == "lead_space"
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         self.most = CACHE_PIECES
+        # words that are found before all others aren't cut
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     @staticmethod
     def _words(text: str) -> list[str]:
         return re.split(r"[^\S\x1c-\x1f]+", text) if any(x in text for x in _NOT_SPACE) else text.split()
 
-    @staticmethod
-    def _led(text: str) -> list[str]:
-        """Pieces; each but the first starts with its white space."""
-        if not text:
-            return []
-        if _RUN.search(text):
-            return _CUT.split(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        # a piece after a space is written without it, one after a line end with it; the
-        # first is marked by a space, which no other piece here holds
-        return [" " + first, *rest]
-
-    def _plain(self, piece: str, fast: bool) -> str:
-        """What the tokenizer has to encode for a piece."""
-        if not fast:
-            return piece
-        return piece[1:] if piece[:1] == " " else piece if piece[:1] == "\n" else " " + piece
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        packed = np.fromiter(itertools.chain.from_iterable(ids), self.dtype).tobytes()
+        edge = (np.cumsum([0, *map(len, ids)]) * np.dtype(self.dtype).itemsize).tolist()
+        return [packed[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        known, cut = self.known, [self.cut(x) for x in texts]
-        fast = [not self.led or not x or not _RUN.search(x) for x in texts] if self.led else None
-        plain: dict[str, str] = {}
-        for k, pieces in enumerate(cut):
-            if not self.led:
-                plain.update((p, p) for p in set(pieces).difference(known))
-            elif fast[k]:
-                plain.update((p, self._plain(p, True)) for p in set(pieces).difference(known))
-            else:  # pieces with their white space have a key of their own
-                cut[k] = pieces = ["  " + p for p in pieces]
-                plain.update((p, p[2:]) for p in set(pieces).difference(known))
-        if plain:
-            coded = self.tokenizer.encode_batch_fast(list(plain.values()), add_special_tokens=False)
-            known.update((p, np.asarray(e.ids, self.dtype).tobytes()) for p, e in zip(plain, coded, strict=True))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        if len(known) > 2 * self.most:
-            self.trim()
+        if not self.led:
+            return self._encode([self.cut(x) for x in texts], "")
+        out = [b""] * len(texts)
+        some = [k for k, x in enumerate(texts) if x]
+        coded, runs = self._encode_led([texts[k] for k in some]) if some else ([], [])
+        for k, x in zip(some, coded, strict=True):
+            out[k] = x
+        # pieces with their white space have a key of their own
+        for k, x in zip(runs, self._encode([["  " + p for p in self.cut(texts[some[k]])] for k in runs], "  "), strict=True):
+            out[some[k]] = x
+        self._bound()
         return out
 
+    def _encode(self, cut: list[list[str]], mark: str) -> list[bytes]:
+        """Texts from their pieces, whose keys begin with a mark that isn't encoded."""
+        known, new = self.known, {}
+        for pieces in cut:
+            new.update(dict.fromkeys(set(pieces).difference(known)))
+        if new:
+            known.update(zip(new, self._plain([p[len(mark) :] for p in new]), strict=True))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+
+    def _encode_led(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
+        """Texts, none empty, whose white space all stands alone between other characters, and the places of the other texts.
+
+        A piece after a space is written without it, one after a line end with it; the first of a
+        text is marked by a tab, with which no other piece begins where white space stands alone.
+        """
+        pieces = pc.split_pattern(pa.array(["\t" + x.replace("\n", " \n") for x in texts], pa.string()), " ")
+        start, coded = pieces.offsets.to_numpy(), pieces.values.dictionary_encode()
+        at = coded.indices.to_numpy()
+        # one string and a split in place of a Python call for each
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ")
+        held = list(map(self.known.get, distinct))
+        new = [k for k, x in enumerate(held) if x is None]
+        odd = {k for k in new if _odd(distinct[k])}
+        first = np.fromiter((p[:1] == "\t" for p in distinct), bool, len(distinct))[at]
+        first[start[:-1]] = False
+        runs: list[int] = []
+        if odd or first.any():
+            first |= np.isin(at, list(odd))
+            runs = np.unique(np.searchsorted(start, np.flatnonzero(first), "right") - 1).tolist()
+        todo = [k for k in new if k not in odd]
+        for k, x in zip(todo, self._new([distinct[k] for k in todo]), strict=True):
+            held[k] = x
+        held = [x or b"" for x in held]
+        ids = np.frombuffer(b"".join(held), self.dtype)
+        n = np.fromiter(map(len, held), np.int64, len(held)) // ids.itemsize
+        begin, n = (np.cumsum(n) - n)[at], n[at]
+        end = np.cumsum(n)
+        ids = ids[np.repeat(begin - (end - n), n) + np.arange(end[-1])]
+        edge = np.append(0, end)[start].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], runs
+
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """Ids of new pieces as `_encode_led` writes them."""
+        known, cut = self.known, {}
+        for p in pieces:
+            if not p[-1].isalnum() and (m := _MARKS.match(p)) and not any(x in p for x in self.added):
+                cut[p] = m.groups()
+        # marks follow a letter or digit at once, so they have a key of their own
+        parts = dict.fromkeys(x for head, marks in cut.values() for x in (head, "  " + marks))
+        parts.update(dict.fromkeys(p for p in pieces if p not in cut))
+        parts = [p for p in parts if p not in known]
+        known.update(zip(parts, self._plain([p[2:] if p[:2] == "  " else p[1:] if p[0] == "\t" else p if p[0] == "\n" else " " + p for p in parts]), strict=True))
+        known.update((p, known[head] + known["  " + marks]) for p, (head, marks) in cut.items())
+        return list(map(known.__getitem__, pieces))
+
+    def _bound(self) -> None:
+        if len(self.known) > 2 * self.most:
+            self.trim()
+
     def trim(self) -> None:
         """Forget all but the first pieces: during a task when they grow too many, and when it has ended."""
         self.known = dict(itertools.islice(self.known.items(), self.most))
 
 
+def _odd(piece: str) -> bool:
+    """Whether a piece of `_encode_led` shows that white space stands together or at an end of its text."""
+    body = piece[1:] if piece[:1] in ("\t", "\n") else piece
+    return not body or _RUN.search(body) is not None
+
+
 def encoder(path: str, cut: str, cache: int = CACHE_PIECES) -> PieceEncoder:
     """This worker's encoder for a vocabulary file, with a cache of `cache` pieces."""
     if (path, cut) not in _ENCODERS:

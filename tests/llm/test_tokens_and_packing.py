@@ -157,3 +157,28 @@ def test_groups_of_one_piece(spark, monkeypatch):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert len(got) == 61 and max(ends.values()) <= 2048
+
+
+def test_led_pieces_of_odd_texts_and_few_encodings():
+    enc = bpe.PieceEncoder(PATHS["lead_space"], "lead_space")
+    enc.most = 200
+    rng = random.Random(1)
+    letters = ["a", "Bc", "don't", "'s", "12", "...", "!!", "  ", " ", " ", " ", "\n", "\t", "é", "×", "_", "<|endoftext|>", "<|", "|>", "\x1c", "\xa0", "　", "́", "½", "$$$", "\r", "-", "#'"]
+    for _ in range(40):
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(50)] + ["", "\t", "\tx", "a \tb", "\n", "a\n\tb", " ", "\tx \tx"]
+        want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.n = inner, 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.n += len(texts)
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    enc = bpe.PieceEncoder(PATHS["lead_space"], "lead_space")
+    enc.tokenizer = Counted(enc.tokenizer)
+    words = [f"word{k}" for k in range(300)]
+    enc.encode([" ".join(w + marks for w in words) for marks in ("", ",", ".", "***", "###")])
+    assert enc.tokenizer.n <= 310  # 1,500 where marks make pieces of their own
