@@ -542,12 +542,18 @@ def _may_reach(similarity: float, a: str, b: str):
 
 
 def _unequal(entries: DataFrame, comps: DataFrame, turn: int, kept: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows with their components, and the keys in which several meet: members, those of the largest component, a hub that changes by turn."""
+    """Rows with their components, and the keys in which several meet: members, those of the largest component, a hub that changes by turn.
+
+    Of keys with the same members one stays, as every one of them gives the same pairs: a bound
+    on what two sets share holds at any member that they share. Members are told by 128 bits.
+    """
     at = entries.join(comps, "node", "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("comp"))
     at = kept.write(at, "entries")
     hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "pos", "comp")).alias("hub")
-    groups = at.groupBy("key", "comp").agg(F.count("*").alias("n"), hub)
-    keys = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.min("hub").alias("hub")).filter("n > top")
+    same = ["m1", "m2"]
+    groups = at.groupBy("key", "comp").agg(F.count("*").alias("n"), hub, *(F.bit_xor(F.xxhash64(F.lit(m), "node")).alias(m) for m in same))
+    keys = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.min("hub").alias("hub"), *(F.bit_xor(m).alias(m) for m in same)).filter("n > top")
+    keys = keys.groupBy("n", *same).agg(F.min(F.struct("key", "top", "major", "hub")).alias("k")).select("n", "k.*")
     return at, kept.write(keys, "keys")
 
 

@@ -225,3 +225,15 @@ def test_halves_of_a_hash_that_agree_by_chance(spark, monkeypatch):
     assert [x[0] for t in texts for x in span_dedup.runs(t, 10)] and len({x[0] for t in texts for x in span_dedup.runs(t, 10)}) == 1
     rows = spark.createDataFrame([(1, *span_dedup.runs(texts[0], 10)[0][:2]), (2, *span_dedup.runs(texts[1], 10)[0][:2])], "doc_id bigint, h bigint, g bigint")
     assert rows.groupBy("h", "g").count().filter("count > 1").count() == 0 and rows.select("h").distinct().count() == 1
+
+
+def test_keys_with_the_same_members_count_once(spark):
+    """Two long texts share many shingles; each pair is proposed once for a set of members, not once for each key."""
+    rows = [(k, node, 60, k) for k in range(50) for node in (1, 2, 3)] + [(k, node, 60, k) for k in range(50, 55) for node in (1, 4)]
+    comps = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "node bigint, component bigint")
+    entries = spark.createDataFrame(rows, "key bigint, node bigint, size int, pos int")
+    at, keys = g._unequal(entries, comps, 0, g.Scratch(spark, "test"))
+    assert sorted((r.n, r.top, r.key) for r in keys.collect()) == [(2, 1, 50), (3, 2, 0)]
+    nodes = spark.createDataFrame([(n, [0] * g.BRIEF) for n in (1, 2, 3, 4)], "node bigint, brief array<bigint>")
+    got = sorted(tuple(sorted(r)) for r in g._all_pairs(at, keys, nodes, 0.8, 8).collect())
+    assert got == [(1, 3), (1, 4), (2, 3)]
