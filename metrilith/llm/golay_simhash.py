@@ -21,7 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrilith.llm.common import id_and_text, slices, utf8
@@ -407,8 +407,10 @@ PROPOSING, TABLES = 2, 4
 COUNTERS = 22
 #: Least and most bits of a text's sketch, which tell whether an odd number of its shingles falls on each.
 SKETCH, SKETCH_MOST = 1 << 10, 1 << 16
-#: Words of 64 bits in a brief sketch, which every member of a key carries.
-BRIEF = 8
+#: Words of 64 bits in a brief sketch, and most in the wide one behind it, both of which every member of a key carries.
+BRIEF, WIDE = 8, 64
+#: Earlier keys that every member of a key carries.
+EARLIER = 16
 
 
 def _sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -430,6 +432,11 @@ def _sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of at most so many words of 64 bits."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0) if len(sketch) > words else sketch
+
+
 def _differing(a: str, b: str) -> Column:
     """Bits in which two sketches differ, the longer one folded to the other's length; twice as long at most."""
     n = F.least(F.size(a), F.size(b))
@@ -456,7 +463,7 @@ def _printed(rows: DataFrame, tables: int, shingle: int) -> DataFrame:
             fps = fingerprints(texts, PROPOSING, tables).reshape(tables, -1).T.view(np.int64)
             none = pa.nulls(len(texts), ints)
             sketch = [_sketch(x) for x in own]
-            brief = [np.bitwise_xor.reduce(x.reshape(-1, BRIEF), axis=0) for x in sketch]
+            brief = [np.concatenate([_folded(x, n) for n in (BRIEF, WIDE)]) for x in sketch]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(list(fps), longs), pa.array([len(x) for x in own], pa.int32()), pa.array(sketch, longs), pa.array(brief, longs), none, none], names=names)
         mean = n.mean()
         out = np.flatnonzero(n > mean + 4 * np.sqrt(mean) + 2).astype(np.int32)
@@ -564,18 +571,26 @@ def _hub_pairs(at: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
 
 
 def _all_pairs(at: DataFrame, keys: DataFrame, nodes: DataFrame, similarity: float, block: int) -> DataFrame:
-    """The pairs of a key that lie in different components and that brief sketches don't rule out; one of a pair always lies outside the key's largest component."""
+    """The pairs of a key that lie in different components and that sketches don't rule out; one of a pair always lies outside the key's largest component.
+
+    Long texts are told apart by wide sketches, as brief ones are full. A pair that shares many
+    keys is made at the first of them, and later ones leave it out if they see an earlier one that
+    both have; each member sees EARLIER of them, so that few pairs are made twice and none is missed.
+    """
     blocks = F.ceil((F.col("n") - F.col("top")) / block).cast("int")
-    brief = nodes.select("node", *(F.get("brief", F.lit(k)).alias(f"s{k}") for k in range(BRIEF)))
+    brief = nodes.select("node", F.slice("brief", BRIEF + 1, WIDE).alias("wide"), *(F.get("brief", F.lit(k)).alias(f"s{k}") for k in range(BRIEF)))
     met = at.join(keys.select("key", "major", blocks.alias("blocks")), "key").join(brief, "node")
-    met = met.select("key", "blocks", F.struct("node", "size", "pos", "comp", (F.col("comp") != F.col("major")).alias("minor"), *(f"s{k}" for k in range(BRIEF))).alias("x"))
+    met = met.withColumn("earlier", F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(-EARLIER, -1)))
+    met = met.select("key", "blocks", F.struct("node", "size", "pos", "comp", (F.col("comp") != F.col("major")).alias("minor"), *(f"s{k}" for k in range(BRIEF)), "wide", "earlier").alias("x"))
     first = met.filter("x.minor").select("key", F.pmod(F.xxhash64("x.node"), "blocks").cast("int").alias("block"), F.col("x").alias("p"))
     second = met.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("x").alias("q"))
     once = ~F.col("q.minor") | (F.col("p.node") < F.col("q.node"))
     total = F.col("p.size") + F.col("q.size")
     differ = sum((F.bit_count(F.col(f"p.s{k}").bitwiseXOR(F.col(f"q.s{k}"))) for k in range(BRIEF)), F.lit(0))
-    alike = (total - differ) / 2 >= similarity * (total - (total - differ) / 2) - 1e-6
-    pairs = first.join(second, (first["key"] == second["key"]) & (first["block"] == second["block"]) & (F.col("p.comp") != F.col("q.comp")) & once & _may_reach(similarity, "p", "q") & alike)
+    alike = lambda differ: (total - differ) / 2 >= similarity * (total - (total - differ) / 2) - 1e-6
+    new = ~F.arrays_overlap("p.earlier", "q.earlier")
+    same = (first["key"] == second["key"]) & (first["block"] == second["block"]) & (F.col("p.comp") != F.col("q.comp"))
+    pairs = first.join(second, same & once & _may_reach(similarity, "p", "q") & alike(differ) & new & alike(_differing("p.wide", "q.wide")))
     return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
 
 

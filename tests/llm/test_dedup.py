@@ -237,3 +237,21 @@ def test_keys_with_the_same_members_count_once(spark):
     nodes = spark.createDataFrame([(n, [0] * g.BRIEF) for n in (1, 2, 3, 4)], "node bigint, brief array<bigint>")
     got = sorted(tuple(sorted(r)) for r in g._all_pairs(at, keys, nodes, 0.8, 8).collect())
     assert got == [(1, 3), (1, 4), (2, 3)]
+
+
+def test_long_texts_that_share_many_keys_make_few_pairs(spark):
+    """A pair is made at the first key that both share; long texts that share only a few keys are told apart by wide sketches."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 62, 3000, dtype=np.int64).view(np.uint64)
+    own = {n: np.unique(np.concatenate([common[:share], rng.integers(0, 1 << 62, 3000 - share, dtype=np.int64).view(np.uint64)])) for n, share in [(1, 2900), (2, 2900), (3, 20), (4, 20)]}
+    # every key has members of its own besides, so that none stands for another
+    rows = [(k, n, 3000, 10 + k) for k in range(20) for n in (1, 2, 3, 4)] + [(k, n, 3000, 10 + k) for k in range(20, 300) for n in (1, 2)] + [(k, 1000 + k, 3000, 2999) for k in range(300)]
+    others = range(1000, 1300)
+    comps = spark.createDataFrame([(n, n) for n in (*own, *others)], "node bigint, component bigint")
+    at, keys = g._unequal(spark.createDataFrame(rows, "key bigint, node bigint, size int, pos int"), comps, 0, g.Scratch(spark, "test"))
+    assert keys.count() == 300
+    fold = lambda x, n: np.bitwise_xor.reduce(x.reshape(-1, min(n, len(x))), axis=0)
+    sketch = lambda x: np.concatenate([fold(g._sketch(x), 8), fold(g._sketch(x), 64)]).tolist()
+    nodes = [(n, sketch(x)) for n, x in own.items()] + [(n, sketch(common[:1])) for n in others]
+    got = sorted(tuple(sorted(r)) for r in g._all_pairs(at, keys, spark.createDataFrame(nodes, "node bigint, brief array<bigint>"), 0.8, 8).collect())
+    assert got == [(1, 2)]
