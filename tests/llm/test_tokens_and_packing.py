@@ -182,3 +182,18 @@ def test_led_pieces_of_odd_texts_and_few_encodings():
     words = [f"word{k}" for k in range(300)]
     enc.encode([" ".join(w + marks for w in words) for marks in ("", ",", ".", "***", "###")])
     assert enc.tokenizer.n <= 310  # 1,500 where marks make pieces of their own
+
+
+def test_words_that_differ_in_case_or_marks_are_encoded_once():
+    """The ids of such texts are those of the whole text, and the tokenizer itself sees each word once."""
+    enc = bpe.PieceEncoder(queries.vocabulary("word_bpe_49k.json"), "drop_space")
+    texts = ["Word word, WORD. (word) WORD'S word's; \u00c9t\u00e9 \u00c9T\u00c9! \u00e9t\u00e9?", "H\u0331 h\u0331. K\u0331, \u0130x ", "a<|endoftext|> A<|ENDOFTEXT|>b, <|startoftext|>", "", "12, 12. x-1, X-1;"]
+    want = [enc.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
+    enc.known.clear()
+    seen: list[str] = []
+    plain = enc._plain
+    enc._plain = lambda x: seen.extend(x) or plain(x)
+    got = enc.encode(["Word word, WORD. \u00c9t\u00e9 \u00c9T\u00c9! \u00e9t\u00e9?"])
+    assert np.frombuffer(got[0], enc.dtype).tolist() == enc.tokenizer.encode("word word, word. \u00e9t\u00e9 \u00e9t\u00e9! \u00e9t\u00e9?", add_special_tokens=False).ids
+    assert len([x for x in seen if x[:1].isalpha()]) == 2
