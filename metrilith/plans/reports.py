@@ -220,7 +220,7 @@ def r12(spark, d):
  FROM s WHERE k % 3 <> 2 OR k % 11 <> 0""",
 )
 def src15(spark, d):
-    """A calibration for each supplier, written as JSON by long names or as XML, and as JSON of what has been read; scanned as one folder.
+    """A calibration for each supplier, written as JSON lines by long names or as XML, and as JSON lines of what has been read; scanned as one folder.
 
     Copies are made of what was sound after reading another form.
     """
@@ -231,24 +231,18 @@ def src15(spark, d):
     camera = F.array(F.array("f", zero, F.lit(320.0)), F.array(zero, "f", F.lit(240.0)), F.array(zero, zero, one))
     moved = F.array(-F.col("b"), zero, zero)
     plain = s.select("k", "name", "unit", F.array(F.lit(640), F.lit(480)).alias("imageSize"), camera.alias("left_camera_matrix"), camera.alias("right_camera_matrix"), moved.alias("translation"))
-    # a folder for each calibration: files are made by many tasks, however few bytes they have
-    dealt = lambda df: df.repartition(64, "k").write
-    dealt(plain.filter("k % 3 = 0")).partitionBy("k").json(f"{root}/json")
+    # many tasks write, however few bytes they have, but no file of its own for each calibration: the driver lists files
+    dealt = lambda df: df.repartition(64, "k").drop("k").write
+    dealt(plain.filter("k % 3 = 0")).json(f"{root}/json.jsonl")
     cell = lambda c, rows, cols: F.struct(F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), F.lit("d").alias("dt"), F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias("data"))
     coded = s.select("k", "name", "unit", cell(F.array(F.lit(640), F.lit(480)), 1, 2).alias("image_size"), cell(F.flatten(camera), 3, 3).alias("K_left"), cell(F.flatten(camera), 3, 3).alias("K_right"), cell(moved, 3, 1).alias("T"))
     store = {"rootTag": "calibrations", "rowTag": "opencv_storage"}
-    dealt(coded.filter("k % 3 = 1")).format("xml").options(**store).partitionBy("k").save(f"{root}/xml")
-    dealt(coded.filter("k % 3 = 2")).format("xml").options(**store).partitionBy("k").save(f"{root}/_first")
+    dealt(coded.filter("k % 3 = 1")).format("xml").options(**store).save(f"{root}/xml")
+    dealt(coded.filter("k % 3 = 2")).format("xml").options(**store).save(f"{root}/_first")
     sound = calibration.calibrations(spark, f"{root}/_first").filter(F.size("issues") == 0)
-    text = calibration.as_json(sound)
-    part = lambda c: F.get_json_object("text", f"$.{c}")
-    matrix = lambda c: F.from_json(part(c), calibration.MATRIX).alias(c)
-    text.select(
-        F.col("name").alias("camera"), "name", part("unit").alias("unit"), F.from_json(part("image_size"), "array<int>").alias("image_size"), F.from_json(part("translation"), "array<double>").alias("translation"),
-        *(matrix(c) for c in ("left_camera_matrix", "right_camera_matrix", "P1", "P2")),
-    ).write.partitionBy("camera").json(f"{root}/copy")
+    calibration.as_json(sound).select("text").write.text(f"{root}/copy.jsonl")
     t = calibration.calibrations(spark, root)
-    form = F.regexp_extract("path", r"/(json|xml|copy)/[^/]+/[^/]+$", 1)
+    form = F.regexp_extract("path", r"/(json|xml|copy)(?:\.jsonl)?/[^/]+$", 1)
     p2 = F.get(F.get("P2", 0), 3)
     return t.select("name", form.alias("form"), r(F.get(F.get("K_left", 0), 0), "focal", 6), F.get("image_size", 0).alias("width"), r(F.col("baseline"), "baseline", 6), r(p2, "shift", 6), F.array_join("issues", ",").alias("issues"))
 

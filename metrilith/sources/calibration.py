@@ -30,6 +30,8 @@ ALIASES = {
 SHAPES = {"K_left": (3, 3), "K_right": (3, 3), "R": (3, 3), "P1": (3, 4), "P2": (3, 4), "Q": (4, 4)}
 ROWS = ("image_size", "D_left", "D_right", "T")
 MATRIX = "array<array<double>>"
+#: Paths of JSON lines: a file, or a part of a folder.
+_LINES = r"(?i)\.jsonl(?:/part-[^/]+)?\z"
 
 
 def _as_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,12 +113,19 @@ def calibrations(spark: SparkSession, folder: str, units: tuple[str, ...] = ("mm
     alone: no mapping). Missing distortions are five zeros, a missing R is the unit matrix, a missing name
     stereo_camera, a missing unit mm; P1 and P2 follow from the cameras where they aren't given. Q stays
     null where it isn't given. Further parts of a file play no part; an empty folder gives no rows.
-    A file is a row: calibrations are small, their number isn't bounded. YAML needs its library where it is read.
+    JSON, YAML and NPZ files hold one calibration each, XML storages one or more. JSON lines, in .jsonl files or in the
+    parts of a folder so named, hold one in each line. Calibrations are small, their number isn't bounded; Spark lists
+    files at the driver, so a great many belong in JSON lines or storages. YAML needs its library where it is read.
     """
     files = lambda end: spark.read.option("pathGlobFilter", end).option("recursiveFileLookup", True)
-    texts = files("*.{json,JSON}").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    coded = files("*.{yaml,yml,npz,YAML,YML,NPZ}").format("binaryFile").load(folder).select("path", "content").mapInPandas(_as_json, "path string, text string")
-    df = _from_text(texts.unionByName(coded)).unionByName(_from_xml(spark, folder))
+    path = F.col("_metadata.file_path")
+    # these go by the file's path alone, so that Spark leaves other files unread
+    listed, json_end = path.rlike(_LINES), path.rlike(r"(?i)\.json\z")
+    lines = files("{*.[jJ][sS][oO][nN][lL],part-*}").text(folder).filter(listed).select(path.alias("path"), F.col("value").alias("text")).filter(r"text rlike '\\S'")
+    whole = files("*.{json,yaml,yml,npz,JSON,YAML,YML,NPZ}").format("binaryFile").load(folder).filter(~listed)
+    texts = whole.filter(json_end).select(path.alias("path"), F.col("content").cast("string").alias("text"))
+    coded = whole.filter(~json_end).select("path", "content").mapInPandas(_as_json, "path string, text string")
+    df = _from_text(texts.unionByName(coded).unionByName(lines)).unionByName(_from_xml(spark, folder))
 
     default = lambda c, value: F.when(F.col(f"has_{c}"), F.col(c)).otherwise(value)
     zeros = F.array(*[F.lit(0.0)] * 5)

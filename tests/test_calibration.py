@@ -5,7 +5,9 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from metrilith.plans import reports
 from metrilith.sources import calibration
 
 K = [[500.0, 0.0, 320.0], [0.0, 510.0, 240.0], [0.0, 0.0, 1.0]]
@@ -77,3 +79,25 @@ def test_round_trip(spark, tmp_path):
     assert first.drop("path").collect() == calibration.calibrations(spark, str(tmp_path / "out")).drop("path").collect()
     os.mkdir(tmp_path / "none")
     assert calibration.calibrations(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_lines_of_json(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join([json.dumps(GOOD), "", json.dumps({**GOOD, "name": "b", "unit": "m"}), "{broken"]) + "\n")
+    os.mkdir(tmp_path / "parts.jsonl")
+    for k in range(3):
+        (tmp_path / "parts.jsonl" / f"part-{k}.json").write_text("".join(json.dumps({**GOOD, "name": f"{k}{i}"}) + "\n" for i in range(2)))
+    (tmp_path / "part-0.txt").write_text("no calibration")
+    (tmp_path / "single.json").write_text(json.dumps({**GOOD, "name": "single"}, indent=2))
+    got = sorted((os.path.relpath(r.path.removeprefix("file:"), tmp_path).replace("../", ""), r.name, tuple(r.issues)) for r in calibration.calibrations(spark, str(tmp_path)).collect())
+    want = [("a.jsonl", "a", ()), ("a.jsonl", "b", ("unit",)), ("a.jsonl", "stereo_camera", ("file",)), ("single.json", "single", ())]
+    assert got == sorted(want + [(f"parts.jsonl/part-{k}.json", f"{k}{i}", ()) for k in range(3) for i in range(2)])
+
+
+def test_files_do_not_grow_with_calibrations(spark, tmp_path, monkeypatch):
+    """The driver lists every file, so that no calibration has one of its own."""
+    out, n = str(tmp_path / "out"), 600
+    monkeypatch.setattr(reports, "folder", lambda spark, label: out)
+    df = spark.range(1, n + 1).select(F.col("id").alias("s_suppkey"), (F.col("id") * 1.25).alias("s_acctbal"))
+    df.write.parquet(f"{tmp_path}/supplier.parquet")
+    assert reports.src15(spark, str(tmp_path)).count() == sum(k % 3 != 2 or k % 11 != 0 for k in range(1, n + 1))
+    assert sum(f.startswith("part-") for _, _, files in os.walk(out) for f in files) <= 4 * 64
