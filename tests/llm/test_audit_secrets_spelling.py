@@ -5,7 +5,7 @@ import itertools
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +130,31 @@ def test_prefix_counts(spark):
     assert got == {("k", ""): (4, 0, {"0": 4}), ("k", "0"): (4, 1, {"0": 3}), ("k", "00"): (3, 0, {"f": 3}), ("k", "00f"): (3, 3, {}), ("j", ""): (5, 5, {})}
 
 
+def test_trees_reach_the_ends_of_long_values(spark):
+    """All prefixes with a fair share, of any length, by counting them one by one."""
+    draw = random.Random(4)
+    some = lambda n: "".join(draw.choice("0fZ") for _ in range(n))
+    one, two = some(90), some(32)
+    ends = [some(40) for _ in range(3)]
+    values = [("k", some(draw.randrange(60))) for _ in range(400)] + [("k", v) for v in [one, one[:70], one[:64], one[:32]] for _ in range(30)] + [("k", two + e) for e in ends for _ in range(12)]
+    values += [("k", two + ends[0][:10]), ("k", two)] * 9 + [("j", "0" * 40 + "F" * 20)] * 50 + [("j", "")] * 4
+    want = {}
+    for kind in "kj":
+        n, ended, follow = Counter(), Counter(), defaultdict(Counter)
+        mine = [v for k, v in values if k == kind]
+        for v in mine:
+            ended[v] += 1
+            for i in range(len(v) + 1):
+                n[v[:i]] += 1
+                follow[v[:i]].update(v[i : i + 1])
+        want[kind] = {p: (m, ended[p], dict(follow[p])) for p, m in n.items() if m >= max(grammar.FEWEST, len(mine) / grammar.SHARE)}
+    df = spark.createDataFrame([(k, v, 1) for k, v in values], "kind string, value string, n bigint")
+    assert grammar.trees(df) == want and max(map(len, want["k"])) == 90
+    assert grammar.trees(df.limit(0)) == {}
+    a = grammar.infer(df)["j"]
+    assert a.bits("0" * 40 + "F" * 20) > a.bits("0" * 60) + 20
+
+
 def test_automaton_merges_what_agrees():
     # any number of f after 0: one state before, one state that goes on, however deep the tree is
     tree, n = {"": (4096, 0, {"0": 4096})}, 4096
